@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 import numpy as np
 import pyarrow.compute as pc
@@ -44,3 +46,23 @@ def sub_batches(batch, column: int, limit: int = 4_000_000):
     for a, b in zip(cuts[:-1], cuts[1:]):
         if b > a:
             yield batch.slice(a, b - a)
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, which may not have it on their path; once per Spark application."""
+    sc = spark.sparkContext
+    if getattr(sc, "_docket_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[1]
+    target = Path(tempfile.mkdtemp(prefix="docket-code-")) / "docket_spark_code.zip"
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    sc.addPyFile(str(target))
+    sc._docket_shipped = True
+
+
+def map_batches(df: DataFrame, run, schema: str) -> DataFrame:
+    """mapInArrow with this package on the workers' path."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import sub_batches
+from .common import map_batches, sub_batches
 from .piece_codec import codec_of, tables_of
 
 
@@ -134,7 +134,7 @@ def pack(df: DataFrame, model_path: str, size: int = 2048, text: str = "text", d
         if pieces:
             yield rows_of(pieces, part, number)
 
-    return df.select(df[doc_id].cast("bigint"), df[text].alias("__text")).mapInArrow(run, fields)
+    return map_batches(df.select(df[doc_id].cast("bigint"), df[text].alias("__text")), run, fields)
 
 
 def write_packed(df: DataFrame, path: str, **options) -> None:

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import sub_batches
+from .common import map_batches, sub_batches
 
 SPACE = "▁"
 #: Symbols from here on are characters without a piece of their own.
@@ -333,7 +333,7 @@ def encode(df: DataFrame, model_path: str, text: str = "text", keep: tuple[str,
 
     types = dict(df.dtypes)
     schema = ", ".join([*(f"`{k}` {types[k]}" for k in keep), *(f"`{k}` {OUTPUTS[k][0]}" for k in outputs)])
-    return df.select(*keep, df[text].alias("__text")).mapInArrow(run, schema)
+    return map_batches(df.select(*keep, df[text].alias("__text")), run, schema)
 
 
 def decode(df: DataFrame, model_path: str, ids: str = "ids", keep: tuple[str, ...] = ("doc_id",), output: str = "decoded") -> DataFrame:
@@ -350,4 +350,4 @@ def decode(df: DataFrame, model_path: str, ids: str = "ids", keep: tuple[str, ..
 
     types = dict(df.dtypes)
     schema = ", ".join([*(f"`{k}` {types[k]}" for k in keep), f"`{output}` string"])
-    return df.select(*keep, df[ids].alias("__ids")).mapInArrow(run, schema)
+    return map_batches(df.select(*keep, df[ids].alias("__ids")), run, schema)
