@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import packing, piece_codec
-from .common import table
+from . import decontaminate, langid, ngram_join, packing, piece_codec
+from .common import bucket_of, table
 
 
 def _piece_model() -> str:
@@ -18,9 +18,24 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.encode(table(spark, sf_dir, "documents"), _piece_model(), outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.digests(decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    held_out = bucket_of(F.col("doc_id"), 3) == 1
+    words = langid.sample(documents.where(~held_out))
+    return langid.predict(documents, words).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digests(packing.pack(table(spark, sf_dir, "documents"), _piece_model(), digest=True))
 
 
-QUERIES = {f.__name__: f for f in (op2_sentencepiece, op9_packing)}
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_sentencepiece, op5_decontamination, op7_language, op9_packing, op10_ngram_join)}
 ORACLE_SQL: dict[str, str] = {}
