@@ -66,3 +66,9 @@ def map_batches(df: DataFrame, run, schema: str) -> DataFrame:
     """mapInArrow with this package on the workers' path."""
     ship(df.sparkSession)
     return df.mapInArrow(run, schema)
+
+
+def settled(df: DataFrame, keep: list[str], new: dict[str, Column]) -> DataFrame:
+    """Adds columns that later steps read as values: a generator stands between, so they are computed once a row."""
+    one = F.explode(F.array(F.struct(*(v.alias(k) for k, v in new.items())))).alias("__one")
+    return df.select(*keep, one).select(*keep, *(F.col("__one")[k].alias(k) for k in new))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, langid, ngram_join, packing, piece_codec
+from . import decontaminate, langid, ngram_join, packing, piece_codec, pii
 from .common import bucket_of, table
 
 
@@ -18,6 +18,10 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.encode(table(spark, sf_dir, "documents"), _piece_model(), outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(pii.find(table(spark, sf_dir, "documents")))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digests(decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
@@ -37,5 +41,5 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_sentencepiece, op5_decontamination, op7_language, op9_packing, op10_ngram_join)}
+QUERIES = {f.__name__: f for f in (op2_sentencepiece, op3_pii, op5_decontamination, op7_language, op9_packing, op10_ngram_join)}
 ORACLE_SQL: dict[str, str] = {}
