@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, langid, ngram_join, packing, piece_codec, pii
+from . import decontaminate, langid, licenses, ngram_join, packing, piece_codec, pii
 from .common import bucket_of, table
 
 
@@ -33,6 +33,10 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(documents, words).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digests(licenses.scan(table(spark, sf_dir, "documents")))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digests(packing.pack(table(spark, sf_dir, "documents"), _piece_model(), digest=True))
 
@@ -41,5 +45,5 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_sentencepiece, op3_pii, op5_decontamination, op7_language, op9_packing, op10_ngram_join)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op2_sentencepiece, op3_pii, op5_decontamination, op7_language, op8_licences, op9_packing, op10_ngram_join)}
+ORACLE_SQL: dict[str, str] = {"op8_licences": licenses.oracle_sql()}
