@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, langid, licenses, ngram_join, packing, piece_codec, pii
+from . import decontaminate, langid, licenses, ngram_join, packing, piece_codec, pii, secrets
 from .common import bucket_of, table
 
 
@@ -14,6 +14,12 @@ def _piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    forest = secrets.train(secrets.labelled(documents, path="source"))
+    return secrets.digests(secrets.scan(documents, forest, path="source"))
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.encode(table(spark, sf_dir, "documents"), _piece_model(), outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
 
@@ -45,5 +51,5 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_sentencepiece, op3_pii, op5_decontamination, op7_language, op8_licences, op9_packing, op10_ngram_join)}
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_sentencepiece, op3_pii, op5_decontamination, op7_language, op8_licences, op9_packing, op10_ngram_join)}
 ORACLE_SQL: dict[str, str] = {"op8_licences": licenses.oracle_sql()}
