@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, langid, licenses, ngram_join, packing, piece_codec, pii, secrets
+from . import decontaminate, embedding_dedup, langid, licenses, ngram_join, packing, piece_codec, pii, secrets
 from .common import bucket_of, table
 
 
@@ -28,6 +28,10 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(pii.find(table(spark, sf_dir, "documents")))
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.find(table(spark, sf_dir, "embeddings"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digests(decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
@@ -51,5 +55,5 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_sentencepiece, op3_pii, op5_decontamination, op7_language, op8_licences, op9_packing, op10_ngram_join)}
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_sentencepiece, op3_pii, op4_embedding_dedup, op5_decontamination, op7_language, op8_licences, op9_packing, op10_ngram_join)}
 ORACLE_SQL: dict[str, str] = {"op8_licences": licenses.oracle_sql()}
