@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, embedding_dedup, langid, licenses, ngram_join, packing, piece_codec, pii, secrets
+from . import decontaminate, embedding_dedup, langid, licenses, ngram_join, packing, piece_codec, pii, pitman_yor, secrets
 from .common import bucket_of, table
 
 
@@ -36,6 +36,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digests(decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op6_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.score(table(spark, sf_dir, "documents"), bucket_of(F.col("doc_id"), 7) == 2)
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     held_out = bucket_of(F.col("doc_id"), 3) == 1
@@ -55,5 +59,5 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_sentencepiece, op3_pii, op4_embedding_dedup, op5_decontamination, op7_language, op8_licences, op9_packing, op10_ngram_join)}
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_sentencepiece, op3_pii, op4_embedding_dedup, op5_decontamination, op6_pitman_yor, op7_language, op8_licences, op9_packing, op10_ngram_join)}
 ORACLE_SQL: dict[str, str] = {"op8_licences": licenses.oracle_sql()}
