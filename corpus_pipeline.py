@@ -1,2 +1,72 @@
+"""A corpus pipeline: language ID, near-duplicates, benchmark decontamination, secrets, token ids.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.  Its
+result is written as Parquet and read again as the next stage's documents.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+
+from docket_spark.llm import decontaminate, langid, ngram_join, piece_codec, secrets
+from docket_spark.llm.common import bucket_of, shared_dir, table
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the documents that have a language: those without a letter go."""
+    words = langid.sample(docs.where(bucket_of(F.col("doc_id"), 3) != 1))
+    found = langid.predict(docs.withColumnRenamed("text", "body"), words, text="body", keep=("doc_id", "body", "lang", "source", "n_chars"))
+    return found.where(F.col("lang_pred") != langid.UNKNOWN).withColumnRenamed("body", "text").select(COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near-duplicates, that with the smallest doc_id, and of repeated rows one."""
+    first = ngram_join.join(docs).where(F.col("class_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
+    kept = docs.join(first, docs["doc_id"].eqNullSafe(first["kept_id"])).select(COLUMNS)
+    one = Window.partitionBy("doc_id").orderBy("text", "lang", "source", "n_chars")
+    return kept.withColumn("place", F.row_number().over(one)).where("place = 1").select(COLUMNS)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts the passages of the benchmark out of the texts; what is left stays."""
+    renamed = docs.withColumnRenamed("text", "body")
+    found = decontaminate.find(renamed, table(spark, sf_dir, "benchmark"), text="body", keep=("doc_id", "lang", "source"), clean_text=True)
+    return found.select("doc_id", F.col("clean_text").alias("text"), "lang", "source", F.length("clean_text").cast("bigint").alias("n_chars"))
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Masks secrets in the texts."""
+    forest = secrets.train(secrets.labelled(docs, path="source"))
+    found = secrets.scan(docs, forest, path="source", keep=("doc_id", "lang", "source"), masked="masked")
+    return found.select("doc_id", F.col("masked").alias("text"), "lang", "source", F.length("masked").cast("bigint").alias("n_chars"))
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of the texts, as counts and digests (the ids themselves: piece_codec.encode)."""
+    import public_tokenizers
+
+    return piece_codec.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
+
+
+STAGES = [
+    ("language", language),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontaminated),
+    ("secrets", without_secrets),
+    ("token_ids", token_ids),
+]
+#: SQL cannot express the stages; tests hold them against brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir): raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    folder = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
