@@ -1,0 +1,165 @@
+"""Language, language model, personal data, secrets, licences, pipeline."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from conftest import DATA, same_rows
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from docket_spark.llm import langid, licenses, pii, pitman_yor as P, queries, secrets
+from docket_spark.llm.common import bucket_of
+
+
+def test_longest_matches():
+    r = random.Random(1)
+    for _ in range(300):
+        text = "".join(r.choice("abc ") for _ in range(r.randint(1, 30)))
+        word = "".join(r.choice("abcd ") for _ in range(r.randint(1, 20)))
+        i = n = 0
+        while i < len(word):
+            j = i
+            while j < len(word) and word[i : j + 1] in text:
+                j += 1
+            i, n = max(j, i + 1), n + 1
+        assert langid.SuffixAutomaton(text).phrases(word) == n
+
+
+def test_language_of_held_out_documents(spark):
+    found = queries.op7_language(spark, DATA).join(spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "lang"), "doc_id").collect()
+    held = [r for r in found if r["held_out"]]
+    assert np.mean([r["lang"] == r["lang_pred"] for r in held]) > 0.97
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) and 0 <= r["score"] <= 1 for r in found)
+
+
+def test_language_of_odd_texts(spark, odd_texts):
+    words = langid.sample(spark.createDataFrame([("the word and the text", "en"), ("und der Text die Worte", "de"), (None, "xx"), ("x", None)], "text string, lang string"))
+    assert sorted(words) == ["de", "en"]
+    df = spark.createDataFrame(list(enumerate(odd_texts)), "doc_id bigint, text string").selectExpr("*", "'zz' AS lang")
+    rows = langid.predict(df, words).orderBy("doc_id").collect()
+    assert all((r["lang_pred"] == "und") == (not any(c.isalpha() for c in t or "")) for r, t in zip(rows, odd_texts))
+    assert {r["lang_pred"] for r in langid.predict(df, {}).collect()} == {"und"}
+
+
+def test_counts_and_base_of_the_language_model(spark, odd_texts):
+    texts = [r["text"] for r in spark.read.parquet(f"{DATA}/documents.parquet").orderBy("doc_id").limit(60).collect()] + odd_texts
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").selectExpr("*", "1 AS row", "2 AS word").repartition(3)
+    rows = P.score(df, bucket_of(F.col("doc_id"), 7) == 2, frequent=500).orderBy("doc_id").collect()
+    tokens = [re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")) + [""] for t in texts]
+    held = [zlib.crc32(str(i).encode()) % 7 == 2 for i in range(len(texts))]
+    c = Counter(w for t, h in zip(tokens, held) if not h for w in t)
+    n, v = sum(c.values()), len(c)
+    for r, t, h in zip(rows, tokens, held):
+        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (h, len(t), sum(c[w] > 0 for w in t), n)
+        assert r["base_score"] == pytest.approx(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in t), rel=1e-9)
+        assert r["score"] < 0 and r["perplexity"] == pytest.approx(10 ** (-r["score"] / len(t)))
+    assert P.score(df.where("false"), F.lit(False)).count() == 0
+    alone = P.score(df, F.lit(True)).collect()
+    assert all(r["train_tokens"] == 0 and r["n_known"] == 0 for r in alone)
+
+
+def test_table_counts_follow_the_process():
+    """Stirling weights give the distribution of tables that seating customers one by one gives."""
+    random_, d, rate, c = np.random.default_rng(1), 0.5, 0.8, 6
+    t = P.sample_tables(np.full(40_000, c), np.full(40_000, math.log(rate)), d, P.log_stirling(d), random_)
+    weight = {k: math.exp(P.log_stirling(d)[c, k] + k * math.log(rate)) for k in range(1, c + 1)}
+    total = sum(weight.values())
+    for k in weight:
+        assert np.mean(t == k) == pytest.approx(weight[k] / total, abs=0.01)
+    many = P.sample_tables(np.full(2000, 5000), np.full(2000, math.log(2.0)), 0.3, P.log_stirling(0.3), random_)
+    assert 1 <= many.min() and many.max() <= 5000 and np.mean(many) > 5
+
+
+BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def base_spans(text):
+    out = []
+    for order, (kind, pattern) in enumerate(BASE.items()):
+        for m in re.finditer(pattern, text or ""):
+            digits = re.sub("[^0-9]", "", m.group())
+            luhn = sum(v - 9 if (v := int(x) * (1 + i % 2)) > 9 else v for i, x in enumerate(reversed(digits))) % 10 == 0
+            if {"email": True, "ip": kind == "ip" and all(int(x) <= 255 for x in m.group().split(".")), "card": 12 <= len(digits) <= 19 and luhn, "phone": 9 <= len(digits) <= 15}[kind]:
+                out.append((m.start(), order, f"{kind}:{m.start()}:{m.end()}"))
+    return [x[2] for x in sorted(out)]
+
+
+def test_personal_data(spark, odd_texts):
+    r = random.Random(5)
+    parts = ["1", "2", ".", "@", "a", "b-", "+", "-", " ", "é", "(", "😀", "4111111111111111", "255", "a@b.c", "_", "10.0.0.1", "\n"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 30))) for _ in range(400)] + odd_texts
+    texts += ["1" * 100_000, "a" * 50_000, "a." * 20_000 + "@", "1." * 3000, "+1" + "(" * 20_000, "x@" + "a." * 20_000 + "b", "1 " * 50_000]
+    texts += ["Dear Mr. Smith, call 123-45-6789", "contact Mary Jones today", "order 555-12-3456 page"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").selectExpr("*", "1 AS votes").repartition(4)
+    rows = pii.digests(pii.find(df)).orderBy("doc_id").collect()
+    for row, text in zip(rows, texts):
+        want = base_spans(text)
+        assert row["base_sha256"] == hashlib.sha256(",".join(want).encode()).hexdigest(), text[:80]
+        assert set(want) <= set(filter(None, row["spans"].split(",")))
+        assert sum(row[f"n_{k}"] for k in BASE) == len(want)
+    assert "person:5:14" in rows[len(texts) - 3]["spans"] and "number:21:32" in rows[len(texts) - 3]["spans"] or "person" in rows[len(texts) - 3]["spans"]
+
+
+def test_reliabilities_tell_good_labelers():
+    patterns = [((1, 1, 1), 50), ((1, 1, 0), 30), ((0, 0, -1), 60), ((0, 1, 0), 10), ((0, 0, 0), 40)]
+    share, tables, post = pii.reliabilities(patterns)
+    assert post[(1, 1, 1)] > 0.9 and post[(0, 0, -1)] < 0.1 and 0.2 < share < 0.7
+    assert tables[0][1][0] > tables[0][1][1]
+
+
+def test_secrets(spark, odd_texts):
+    r = random.Random(2)
+    key = lambda n, a: "".join(r.choice(a) for _ in range(n))
+    hexa = "0123456789abcdef"
+    texts = [f'x token = "{key(40, hexa)}" y' for _ in range(40)] + [f"sha1 {key(40, hexa)}" for _ in range(40)] + [f"card 4{key(15, '0123456789')} end" for _ in range(40)]
+    texts += ["AKIA" + key(16, "ABCDEFGH234567"), 'password: "changemechangeme1234"'] + odd_texts
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").selectExpr("*", "'src/main.py' AS source")
+    forest = secrets.train(secrets.labelled(df, path="source"))
+    rows = secrets.scan(df, forest, path="source", masked="clean").orderBy("doc_id").collect()
+    assert all(len(x["findings"]) == 1 for x in rows[:40]) and all(not x["findings"] for x in rows[40:120]) and len(rows[120]["findings"]) == 1
+    for x, text in zip(rows, texts):
+        want = text
+        for f in reversed(x["findings"]):
+            want = want[: f["start"]] + secrets.MASK + want[f["end"] :]
+        assert x["clean"] == want
+    assert secrets.train(secrets.labelled(df.where("false"))) is None and secrets.scan(df.where("false"), None).count() == 0
+
+
+def test_licences(spark, duck, odd_texts):
+    found = duck.sql(queries.ORACLE_SQL["op8_licences"])
+    same_rows(queries.op8_licences(spark, DATA), found.columns, found.fetchall())
+    s = licenses.SENTENCES
+    texts = ["Released under the  mit\nLICENSE. x", f"{s['bsd_redistribution']}:\n{s['bsd_source']}.\n{s['bsd_binary']}.\n{s['bsd_endorse']}.", f"{s['bsd_binary']}. {s['bsd_source']}. {s['bsd_redistribution']}.", s["apache2_licensed"] + "."] + odd_texts
+    rows = licenses.digests(licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))).orderBy("doc_id").collect()
+    assert rows[0]["licences"] == "" or rows[0]["licences"].startswith("MIT")
+    assert rows[1]["licences"] == "BSD-2-Clause:full text,BSD-3-Clause:full text" and rows[2]["licences"] == "" and rows[3]["licences"] == "Apache-2.0:notice"
+    assert all(not x["licences"] for x in rows[4:])
+
+
+def test_pipeline(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, DATA)
+        assert out.columns == corpus_pipeline.COLUMNS
+        assert out.count() <= docs.count()
+    rows = corpus_pipeline.run(spark, DATA).collect()
+    ids = [r["doc_id"] for r in rows]
+    assert len(ids) == len(set(ids)) and len(corpus_pipeline.STAGES) == 5
+    from docket_spark.llm import ngram_join
+
+    kept = {r["doc_id"] for r in ngram_join.join(docs).where("doc_id = class_id").collect()}
+    assert set(ids) <= kept and len(ids) >= len(kept) - 3
+
+
+def test_stages_take_empty_and_odd_documents(spark, odd_texts):
+    rows = [(i, t, "en", "s", len(t or "")) for i, t in enumerate(odd_texts)] + [(None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    for _, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, DATA).collect()
+        assert stage(spark, docs.where("false"), DATA).count() == 0
