@@ -1,5 +1,5 @@
 import pytest
-from conftest import DATA, same_rows
+from checks import DATA, same_rows
 
 from docket_spark.plans import oracle, queries
 
