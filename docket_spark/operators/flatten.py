@@ -85,6 +85,11 @@ def distinct_codes(bag: Column, inner: str, field: str) -> Column:
     return F.array_sort(F.array_distinct(F.flatten(nested_names(bag, inner, field))))
 
 
+def typed(df: DataFrame, raw: str, schema: str, name: str = "record") -> DataFrame:
+    """A typed nested view of a column of JSON text: unknown fields are ignored, broken JSON gives null."""
+    return df.withColumn(name, F.from_json(raw, schema))
+
+
 def validate(df: DataFrame, required: list[str]) -> tuple[DataFrame, DataFrame]:
     """(good rows, rows with a reason): required columns must be there and not null."""
     absent = [c for c in required if c not in df.columns]

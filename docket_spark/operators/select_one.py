@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.regex import matches
-from ..functions.scalars import first_filled, normal_doctype
+from ..functions.scalars import first_filled, normal_doctype, year_bucket
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -64,3 +64,9 @@ def distinct_keys(df: DataFrame, key: str) -> DataFrame:
 
 def work_list(df: DataFrame, key: str, most: int) -> DataFrame:
     return df.orderBy(key).limit(most)
+
+
+def candidates(df: DataFrame, doctype: str, phrase: str, uri: str, key: str, date: str) -> DataFrame:
+    """Rows whose type holds the phrase (case ignored) and that have a uri and a key, with the year of their date."""
+    kept = df.where(F.contains(F.lower(doctype), F.lit(phrase.lower())) & F.col(uri).isNotNull() & F.col(key).isNotNull())
+    return kept.withColumn("year", year_bucket(F.col(date).cast("string")))

@@ -121,4 +121,8 @@ SELECT * FROM y ORDER BY turn, md5(stratum), stratum LIMIT 150""",
 WITH f AS (SELECT l_orderkey, min(CAST(l_shipdate AS DATE)) AS ship FROM lineitem WHERE l_shipdate < TIMESTAMP '1998-01-01' GROUP BY 1), x AS (SELECT o_orderkey, o_orderpriority, CAST(o_orderdate AS DATE) AS d, ship FROM orders LEFT JOIN f ON l_orderkey = o_orderkey)
 SELECT o_orderkey, CAST(year(d) AS INTEGER) AS year, CAST(month(d) AS INTEGER) AS month, TRY_CAST(left(o_orderpriority, 1) AS DOUBLE) AS level, CAST(datediff('day', d, ship) AS INTEGER) AS gap, CAST(ship IS NULL AS INTEGER) AS gap_missing, {ERA} AS era FROM x""",
     "ablation": "SELECT doc_id, quality, lang, CAST(n_chars AS DOUBLE) AS n_chars FROM labels JOIN documents USING (doc_id)",
+    "candidate_scan": "SELECT CAST(year(o_orderdate) AS VARCHAR) AS year, count(*) AS n FROM orders WHERE contains(lower(o_orderpriority), 'high') AND o_orderstatus <> 'P' GROUP BY 1",
+    "typed_view": "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, json_extract_string(props, '$.other.x') AS x FROM events",
+    "stream_ingest": "SELECT event_id, event_type AS kind, CAST(NULL AS VARCHAR) AS none FROM events",
 }
+SQL["stream_upsert"] = SQL["upsert_latest"]

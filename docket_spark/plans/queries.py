@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import regex as R, scalars as X
 from ..operators import arrays as A, asof, encode, features, flatten, joins, labels, metrics, modeling, sampling, select_one, splits, text as TX
 from ..sources import pages
-from ..sources.tables import read_table
-from ..streaming.ingest import latest
+from ..sources.tables import read_table, scratch
+from ..streaming.ingest import append_new, latest, upsert_latest as upsert_stream
 
 ERAS = {"first": "1900-01-01", "second": "1996-03-01", "third": "1997-07-15", "fourth": "1999-01-01", "fifth": "2000-06-30"}
 CATEGORIES = {"click": "EX", "view": "AA", "purchase": "ISS"}
@@ -371,10 +371,43 @@ def ablation(spark, sf):
     return modeling.without_suffix(model_frame(spark, sf).withColumn("x_prior_rate", F.lit(1.0)), ["_prior_rate", "_len"]).drop("day")
 
 
+def compare_estimators(spark, sf):
+    return modeling.compare(model_frame(spark, sf), "quality", "day", ["lang"], ["n_chars"], {"forest": SMALL_FOREST, "logistic": SMALL_LOGISTIC}, 2)
+
+
+def candidate_scan(spark, sf):
+    orders = t(spark, sf, "orders", "o_orderkey", "o_orderpriority", "o_orderstatus", "o_orderdate").withColumn("o_orderstatus", F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")))
+    return select_one.candidates(orders, "o_orderpriority", "High", "o_orderstatus", "o_orderkey", "o_orderdate").groupBy("year").agg(F.count("*").alias("n"))
+
+
+def typed_view(spark, sf):
+    return flatten.typed(t(spark, sf, "events", "event_id", "props"), "props", "k bigint, other struct<x string>").select("event_id", "record.k", F.col("record.other.x").alias("x"))
+
+
+def _event_stream(spark, sf):
+    schema = spark.read.parquet(f"{sf}/events.parquet").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+
+
+def stream_ingest(spark, sf):
+    """Events through the file stream into a table; equal to the batch read."""
+    folder = scratch(spark, "ingest")
+    flat = flatten.by_path(_event_stream(spark, sf), {"event_id": "event_id", "kind": "event_type", "none": "a.b"})
+    append_new(flat, f"{folder}/table", f"{folder}/mark")
+    return spark.read.parquet(f"{folder}/table")
+
+
+def stream_upsert(spark, sf):
+    """Newest event of each user, kept by the stream."""
+    folder = scratch(spark, "upsert")
+    last = upsert_stream(spark, _event_stream(spark, sf).select("user_id", "event_id", "ts", "event_type"), "user_id", ["ts", "event_id"], f"{folder}/versions", f"{folder}/mark")
+    return last.select("user_id", "event_id", "event_type")
+
+
 NAMES = """prior_rate_single prior_rate_pair prior_frequency rolling_all earliest_per_key first_per_key pick_cascade terminating_rows label_cascade
 text_verdict verdict_agreement join_audit date_mismatch gap_list gap_texts unmatched_keys era_lookup era_join category_counts_t0 recency_t0 distinct_names
 array_profile text_features usable_text scalar_functions time_split mature_filter date_safe_folds one_hot median_impute balanced_weights roc_auc
 avg_precision_f1 class_report calibration roc_points confusion stratified_sample sample_report upsert_latest flatten_paths flatten_structs polymorphic_bag
 parallel_bag explode_pages page_completeness constant_filter search_filters facet_counts distinct_keys feature_matrix train_rf train_lr forward_cv
-grid_search importances score_rows ablation""".split()
+grid_search importances score_rows ablation compare_estimators candidate_scan typed_view stream_ingest stream_upsert""".split()
 QUERIES = {name: globals()[name] for name in NAMES}

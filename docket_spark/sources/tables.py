@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.scalars import lenient_date
@@ -64,3 +67,12 @@ def read_texts(spark: SparkSession, folder: str, extension: str = "txt") -> Data
 def lookup(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """One row per wanted key, with nulls where there is none: a set of point look-ups as one join."""
     return keys.select(key).distinct().join(df, key, "left")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder name under ``spark.checkpoint.dir``, which driver and executors share; a temporary one where it is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = tempfile.mkdtemp(prefix="docket-shared-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -17,7 +17,12 @@ def pages_to_table(spark: SparkSession, folder: str, schema: T.StructType | str,
     """New JSON pages -> records -> flat rows, appended to ``target``; exactly once by the file sink's own log."""
     pages = spark.readStream.schema(schema).option("multiLine", True).json(folder)
     flat = by_path(pages.select(F.explode(bag).alias("r")).select("r.*"), mapping)
-    flat.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).outputMode("append").start().awaitTermination()
+    append_new(flat, target, checkpoint)
+
+
+def append_new(stream: DataFrame, target: str, checkpoint: str) -> None:
+    """What is new in the stream goes to the table, exactly once by the file sink's own log."""
+    stream.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).outputMode("append").start().awaitTermination()
 
 
 def latest(df: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -26,18 +31,22 @@ def latest(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     return df.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
 
 
-def upsert_latest(spark: SparkSession, source: DataFrame, key: str, order: list[str], versions: str, checkpoint: str) -> None:
-    """Keeps the newest row per key: batch n writes table version n from version n - 1.
+def upsert_latest(spark: SparkSession, source: DataFrame, key: str, order: list[str], versions: str, checkpoint: str) -> DataFrame | None:
+    """Keeps the newest row per key: batch n writes table version n from version n - 1; returns the last version written.
 
-    A batch that is run again writes the same version again, so a failure between does no harm.
+    None if nothing was new.  A batch that is run again writes the same version again, so a failure between does no harm.
     """
+    written = []
+
     def batch(df: DataFrame, number: int) -> None:
         whole = df
         if number > 0:
             whole = df.unionByName(spark.read.parquet(f"{versions}/v{number - 1}"))
         latest(whole, key, order).write.mode("overwrite").parquet(f"{versions}/v{number}")
+        written.append(number)
 
     _run(source, checkpoint, batch)
+    return spark.read.parquet(f"{versions}/v{written[-1]}") if written else None
 
 
 def refresh_gaps(spark: SparkSession, folder: str, schema: T.StructType | str, wanted: DataFrame, key: str, seen: str, gaps: str, checkpoint: str) -> None:
