@@ -34,6 +34,22 @@ def test_encode_and_decode_equal_the_library(library):
     assert [x.decode() for x in pc.decode_flat(codec.t, ids, offsets)] == library.decode(want)
 
 
+def test_full_caches_keep_their_first_words(library, monkeypatch):
+    monkeypatch.setattr(pc, "CACHE_WORDS", 300)
+    monkeypatch.setattr(pc, "CACHE_FIRST", 100)
+    codec, texts = pc.Codec(pc.tables_of(MODEL)), hard_texts()
+    for at in range(0, len(texts), 40):
+        part = texts[at : at + 40]
+        words = codec.words_of(part)
+        codec.add(words)
+        ids, offsets = codec.encode(words)
+        joined, decoded = codec.texts_of_ids()
+        want = library.encode(part)
+        assert [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:])] == want
+        assert [[int(i) for w in x for i in joined[codec.index[w]].split(",")] for x in words] == want
+        assert ["".join(decoded[codec.index[w]].decode(errors="replace") for w in x)[1:] for x in words] == library.decode(want)
+
+
 def test_operator_round_trip(spark, library, odd_texts):
     df = spark.createDataFrame(list(enumerate(odd_texts)), "doc_id bigint, text string").selectExpr("*", "text AS ids", "1 AS n_tokens")
     rows = pc.encode(df, MODEL, outputs=("ids", "n_tokens", "decoded", "ids_sha256", "decoded_sha256")).orderBy("doc_id").collect()
