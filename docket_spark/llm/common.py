@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import zipfile
@@ -38,7 +39,7 @@ def bucket_of(key: Column, n: int) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % n
 
 
-def sub_batches(batch, column: int, limit: int = 4_000_000):
+def sub_batches(batch, column: int, limit: int = 2_000_000):
     """Slices of an Arrow batch whose text column holds about ``limit`` bytes each (one row at least)."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     part = np.cumsum(sizes, dtype=np.int64) // limit
@@ -72,3 +73,15 @@ def settled(df: DataFrame, keep: list[str], new: dict[str, Column]) -> DataFrame
     """Adds columns that later steps read as values: a generator stands between, so they are computed once a row."""
     one = F.explode(F.array(F.struct(*(v.alias(k) for k, v in new.items())))).alias("__one")
     return df.select(*keep, one).select(*keep, *(F.col("__one")[k].alias(k) for k in new))
+
+
+_held: dict[str, object] = {}
+
+
+def worker_state(key: str, make):
+    """What a Python worker keeps between tasks (a model, a cache of words): one thing at a time, so that memory is bounded."""
+    if key not in _held:
+        _held.clear()
+        gc.collect()
+        _held[key] = make()
+    return _held[key]

@@ -15,18 +15,19 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import Counter
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import map_batches, sub_batches
+from .common import map_batches, sub_batches, worker_state
 
 UNKNOWN = "und"
 #: Letters; digits and signs separate words.
 WORDS = re.compile(r"[^\W\d_]+").findall
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
+CACHE_FIRST = 60_000
 CACHE_CHARS = 64
 
 
@@ -81,7 +82,7 @@ class SuffixAutomaton:
         return n - fresh
 
 
-def sample(df: DataFrame, text: str = "text", lang: str = "lang", sample_chars: int = 400_000, model_chars: int = 60_000, max_languages: int = 256) -> dict[str, list[str]]:
+def sample(df: DataFrame, text: str = "text", lang: str = "lang", sample_chars: int = 400_000, model_chars: int = 40_000, max_languages: int = 256) -> dict[str, list[str]]:
     """The words to learn of each language, the most frequent first.  Rows without text or language are left out."""
     rows = df.select(df[lang].alias("lang"), df[text].alias("text"), F.length(df[text]).alias("n")).where("lang is not null and n > 0 and n <= 1000000")
     totals = {r["lang"]: r.total for r in rows.groupBy("lang").agg(F.sum("n").alias("total"), F.count("*").alias("rows")).orderBy(F.desc("rows"), "lang").limit(max_languages).collect()}
@@ -117,10 +118,18 @@ class Parser:
         self.counts = np.zeros((1 << 14, len(self.langs)), np.int32)
         self.longest = 0
 
+    def shrink(self) -> None:
+        """Keeps the words that came first, which the common ones are among."""
+        first = list(islice(self.index, CACHE_FIRST))
+        if self.longest > CACHE_CHARS and max(map(len, first)) > CACHE_CHARS:
+            self.reset()
+            return
+        self.index, self.longest = dict(zip(first, range(len(first)))), CACHE_CHARS
+
     def scores(self, texts: list[list[str]]) -> np.ndarray:
         """Phrases by text and language."""
         if len(self.index) > CACHE_WORDS or self.longest > CACHE_CHARS:
-            self.reset()
+            self.shrink()
         new = list(set().union(*texts).difference(self.index))
         n = len(self.index)
         if new:
@@ -140,15 +149,9 @@ class Parser:
         return out
 
 
-_parsers: dict[str, Parser] = {}
-
-
 def parser_of(model) -> Parser:
     key, words = model.value
-    if key not in _parsers:
-        _parsers.clear()
-        _parsers[key] = Parser(words)
-    return _parsers[key]
+    return worker_state(f"parser {key}", lambda: Parser(words))
 
 
 def predict(df: DataFrame, words: dict[str, list[str]], text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

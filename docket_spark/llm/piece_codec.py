@@ -16,21 +16,23 @@ from __future__ import annotations
 import hashlib
 import re
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import map_batches, sub_batches
+from .common import map_batches, sub_batches, worker_state
 
 SPACE = "▁"
 #: Symbols from here on are characters without a piece of their own.
 RAW = 1 << 16
 SHIFT = 22
 NONE = np.int32(2**31 - 1)
-#: Distinct words that a worker keeps, and the longest word (characters) that it keeps.
-CACHE_WORDS = 400_000
+#: Distinct words that a worker keeps, those that stay when it is full (the first ones: common words come early), and the
+#: longest word (characters) that stays.
+CACHE_WORDS = 200_000
+CACHE_FIRST = 60_000
 CACHE_CHARS = 48
 
 
@@ -220,6 +222,15 @@ class Codec:
         self.decoded: list[bytes] = []
         self.longest = 0
 
+    def shrink(self) -> None:
+        first = list(islice(self.index, CACHE_FIRST))
+        if self.longest > CACHE_CHARS and max(map(len, first)) > CACHE_CHARS:
+            self.reset()
+            return
+        self.index = dict(zip(first, range(len(first))))
+        del self.joined[len(first) :], self.decoded[len(first) :]
+        self.longest = CACHE_CHARS
+
     def words_of(self, texts: list[str | None]) -> list[list[str]]:
         return [self.words(x) if x else [] for x in texts]
 
@@ -235,7 +246,7 @@ class Codec:
     def add(self, words: list[list[str]]) -> None:
         """Put the words that are new into the cache."""
         if len(self.index) > CACHE_WORDS or self.longest > CACHE_CHARS:
-            self.reset()
+            self.shrink()
         new = list(set().union(*words).difference(self.index))
         if not new:
             return
@@ -274,16 +285,9 @@ def _room(a: np.ndarray, n: int) -> np.ndarray:
     return a if n <= len(a) else np.concatenate([a, np.zeros(max(n, 2 * len(a)) - len(a), a.dtype)])
 
 
-_codecs: dict[str, Codec] = {}
-
-
 def codec_of(tables) -> Codec:
     """The worker's codec for a broadcast of tables."""
-    key = tables.value.key
-    if key not in _codecs:
-        _codecs.clear()
-        _codecs[key] = Codec(tables.value)
-    return _codecs[key]
+    return worker_state(f"codec {tables.value.key}", lambda: Codec(tables.value))
 
 
 def _valid(raw: bytes) -> bytes:
