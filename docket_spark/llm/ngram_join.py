@@ -20,7 +20,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from .common import map_batches, ship, stored, sub_batches
 from .decontaminate import words_of
@@ -36,6 +36,9 @@ MIX = (_random.integers(0, 1 << 62, 64, dtype=np.uint64) * 2 + 1).astype(np.uint
 #: Rows of a chunk in a bucket; bytes of sets of a chunk in a cluster.
 BUCKET_CHUNK = 1024
 CLUSTER_CHUNK_BYTES = 8_000_000
+#: Pairs that are compared at a time, and rows of buckets that a call handles.
+PAIRS = 100_000
+CALL_ROWS = 8192
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -108,25 +111,39 @@ def survivors(one: np.ndarray, others: np.ndarray, least: list[int]) -> np.ndarr
 
 
 def _bucket_links(least: list[int]):
-    """Forest of the surviving pairs of a pair of chunks; a pair is looked at in the first band that it shares only."""
+    """Forest of the surviving pairs of many pairs of chunks; a pair is looked at in the first band that it shares only."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.drop_duplicates("node")
+        rows = rows.sort_values(["band", "key", "low", "high", "part", "node"], ignore_index=True)
+        node, band = rows["node"].to_numpy(), rows["band"].to_numpy()
         sig = np.frombuffer(b"".join(rows["sig"]), np.uint16).reshape(-1, HASHES)
-        part, node, band = rows["part"].to_numpy(), rows["node"].to_numpy(), int(rows["band"].iloc[0])
-        low = part.min()
-        inside = bool(rows["inside"].iloc[0])
-        heads = np.arange(len(rows)) if inside else np.flatnonzero(part == low)
-        tails = np.arange(len(rows)) if inside else np.flatnonzero(part != low)
-        earlier = sig[:, : band * ROWS]
+        keys = [rows[c].to_numpy() for c in ("band", "key", "low", "high")]
+        new = np.concatenate([[True], np.any([k[1:] != k[:-1] for k in keys], 0)])
+        bucket = np.cumsum(new) - 1
+        ends = np.append(np.flatnonzero(new)[1:], len(rows))
+        low, inside = rows["part"].to_numpy() == rows["low"].to_numpy(), rows["inside"].to_numpy()
+        # Row i meets the rows after it in its bucket; across chunks, a row of the low one meets all of the high one.
+        ahead = ends[bucket] - np.arange(len(rows)) - 1
+        highs = np.bincount(bucket[~low], minlength=len(ends))[bucket]
+        meets = np.where(inside, ahead, np.where(low, highs, 0))
+        begin = np.where(inside, np.arange(len(rows)) + 1, ends[bucket] - highs)
         forest = Forest(len(rows))
-        for i in heads.tolist():
-            right = tails[tails > i] if inside else tails
-            right = right[survivors(sig[i], sig[right], least)]
-            if band and len(right):
-                shared = (earlier[right] == earlier[i]).reshape(len(right), band, ROWS).all(2).any(1)
-                right = right[~shared]
-            forest.link(i, right)
+        order = np.flatnonzero(meets)
+        for part in np.split(order, np.flatnonzero(np.diff(np.cumsum(meets[order]) // PAIRS)) + 1) if len(order) else []:
+            left = np.repeat(part, meets[part])
+            upto = np.cumsum(meets[part])
+            right = np.arange(int(upto[-1])) + np.repeat(begin[part] - (upto - meets[part]), meets[part])
+            equal, live = np.zeros(len(left), np.int64), np.arange(len(left))
+            for k, m in enumerate(least):
+                step = slice(k * STEP, (k + 1) * STEP)
+                equal = equal[: len(live)] + (sig[left[live], step] == sig[right[live], step]).sum(1)
+                stay = equal >= m
+                live, equal = live[stay], equal[stay]
+            left, right = left[live], right[live]
+            same = (sig[left] == sig[right]).reshape(len(left), BANDS, ROWS).all(2)
+            first = same.argmax(1) == band[left]
+            for i, j in zip(left[first].tolist(), right[first].tolist()):
+                forest.link(i, [j])
         return pd.DataFrame({"a": [node[i] for i, _ in forest.kept], "b": [node[j] for _, j in forest.kept]})
 
     return run
@@ -207,18 +224,20 @@ def join(df: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: f
 
     bands = F.explode(F.array(*[F.struct(F.lit(b).alias("band"), F.xxhash64(F.lit(b), F.substring("sig", 2 * ROWS * b + 1, 2 * ROWS)).alias("key")) for b in range(BANDS)]))
     keyed = classes.select("node", bands.alias("x")).select("node", "x.band", "x.key")
-    by_key = Window.partitionBy("band", "key")
-    shared = keyed.withColumn("members", F.count("*").over(by_key)).where("members > 1")
+    # Counting first and joining back lets Spark split a bucket that holds a large part of the rows.
+    members = keyed.groupBy("band", "key").agg(F.count("*").alias("members")).where("members > 1")
+    shared = keyed.join(members, ["band", "key"])
     parts = F.ceil(F.col("members") / BUCKET_CHUNK)
-    placed = _chunk_pairs(shared, "key", F.pmod(F.xxhash64("node"), parts), parts).join(classes.select("node", "sig"), "node")
-    close = placed.groupBy("band", "key", "low", "high").applyInPandas(_bucket_links(least), "a binary, b binary")
+    shared = stored(_chunk_pairs(shared, "key", F.pmod(F.xxhash64("node"), parts), parts))
+    calls = max(1, -(-shared.count() // CALL_ROWS))  # many small buckets go in one call
+    placed = shared.join(classes.select("node", "sig"), "node").withColumn("call", F.pmod(F.xxhash64("band", "key", "low", "high"), F.lit(calls)))
+    close = placed.groupBy("call").applyInPandas(_bucket_links(least), "a binary, b binary")
     clusters = components(close)
 
     in_cluster = classes.join(clusters, "node")
-    running = F.sum(F.col("size") * 8).over(Window.partitionBy("component").orderBy("node").rowsBetween(Window.unboundedPreceding, 0))
-    total = F.sum(F.col("size") * 8).over(Window.partitionBy("component"))
-    dealt = in_cluster.withColumn("upto", running).withColumn("total", total)
-    dealt = stored(dealt.select("node", "component", "copy_id", "copies", "sig", F.floor((F.col("upto") - 1) / CLUSTER_CHUNK_BYTES).alias("part_no"), (F.floor((F.col("total") - 1) / CLUSTER_CHUNK_BYTES) + 1).alias("part_count")))
+    parts_of = in_cluster.groupBy("component").agg(F.ceil(F.sum(F.col("size") * 8) / CLUSTER_CHUNK_BYTES).alias("part_count"))
+    dealt = in_cluster.join(parts_of, "component").withColumn("part_no", F.pmod(F.xxhash64("node"), F.col("part_count")))
+    dealt = stored(dealt.select("node", "component", "copy_id", "copies", "sig", "part_no", "part_count"))
 
     def sets_of(batches):
         for whole in batches:
