@@ -50,10 +50,16 @@ def sub_batches(batch, column: int, limit: int = 2_000_000):
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers, which may not have it on their path; once per Spark application."""
+    """Send this package to the Python workers, which may not have it on their path; once per Spark application.
+
+    Also lowers the default limit of bytes in an Arrow batch.
+    """
     sc = spark.sparkContext
     if getattr(sc, "_docket_shipped", False):
         return
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(limit, None) == "67108864b":  # the default; whole texts make batches of that size too heavy for a worker
+        spark.conf.set(limit, "8m")
     root = Path(__file__).resolve().parents[1]
     target = Path(tempfile.mkdtemp(prefix="docket-code-")) / "docket_spark_code.zip"
     with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
