@@ -39,7 +39,7 @@ def bucket_of(key: Column, n: int) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % n
 
 
-def sub_batches(batch, column: int, limit: int = 2_000_000):
+def sub_batches(batch, column: int, limit: int = 1_000_000):
     """Slices of an Arrow batch whose text column holds about ``limit`` bytes each (one row at least)."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     part = np.cumsum(sizes, dtype=np.int64) // limit
@@ -59,7 +59,7 @@ def ship(spark: SparkSession) -> None:
         return
     limit = "spark.sql.execution.arrow.maxBytesPerBatch"
     if spark.conf.get(limit, None) == "67108864b":  # the default; whole texts make batches of that size too heavy for a worker
-        spark.conf.set(limit, "8m")
+        spark.conf.set(limit, "4m")
     root = Path(__file__).resolve().parents[1]
     target = Path(tempfile.mkdtemp(prefix="docket-code-")) / "docket_spark_code.zip"
     with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:

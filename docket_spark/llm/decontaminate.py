@@ -1,6 +1,6 @@
 """Benchmark decontamination with an FM-index over each shard of training text.
 
-A shard is what a task holds at a time (about 2 MB of text).  Its words are numbered by the vocabulary of the benchmark.
+A shard is what a task holds at a time (about 1 MB of text).  Its words are numbered by the vocabulary of the benchmark.
 Stretches whose neighbouring words stand side by side in no benchmark item cannot hold a window, so only the others
 ("runs") are indexed, each distinct run once.  The index is a suffix array by prefix doubling, its Burrows-Wheeler
 transform in a wavelet matrix, and sampled suffix positions.  All windows are searched backwards at once; occurrences

@@ -26,8 +26,8 @@ from .common import map_batches, sub_batches, worker_state
 UNKNOWN = "und"
 #: Letters; digits and signs separate words.
 WORDS = re.compile(r"[^\W\d_]+").findall
-CACHE_WORDS = 150_000
-CACHE_FIRST = 60_000
+CACHE_WORDS = 80_000
+CACHE_FIRST = 30_000
 CACHE_CHARS = 64
 
 

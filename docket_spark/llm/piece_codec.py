@@ -31,8 +31,8 @@ SHIFT = 22
 NONE = np.int32(2**31 - 1)
 #: Distinct words that a worker keeps, those that stay when it is full (the first ones: common words come early), and the
 #: longest word (characters) that stays.
-CACHE_WORDS = 150_000
-CACHE_FIRST = 50_000
+CACHE_WORDS = 80_000
+CACHE_FIRST = 30_000
 CACHE_CHARS = 48
 
 
