@@ -9,6 +9,7 @@ import zipfile
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -72,7 +73,13 @@ def ship(spark: SparkSession) -> None:
 def map_batches(df: DataFrame, run, schema: str) -> DataFrame:
     """mapInArrow with this package on the workers' path."""
     ship(df.sparkSession)
-    return df.mapInArrow(run, schema)
+
+    def frugal(batches):
+        for out in run(batches):
+            yield out
+            pa.default_memory_pool().release_unused()  # workers live on; what a batch has freed goes back
+
+    return df.mapInArrow(frugal, schema)
 
 
 def settled(df: DataFrame, keep: list[str], new: dict[str, Column]) -> DataFrame:
