@@ -1,0 +1,19 @@
+"""Cases of which an operator once did less than the whole job."""
+
+import sys
+
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from docket_spark.llm import langid
+
+
+def test_automata_hold_sixty_thousand_characters(spark):
+    letters = "abcdefghij"
+    words = ["".join(letters[int(d)] for d in f"{i:06d}") for i in range(12_000)]
+    learned = langid.sample(spark.createDataFrame([(" ".join(words), "en")], "text string, lang string"))["en"]
+    assert 59_000 < sum(len(w) + 1 for w in learned) <= 60_000
+    text = " " + " ".join(learned) + " "
+    of = lambda dicts: sum(map(sys.getsizeof, dicts))
+    assert of(langid.SuffixAutomaton(text).to.values()) < of(langid.SuffixAutomaton._edges(text)) / 2
