@@ -17,10 +17,10 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents that have a language: those without a letter go."""
+    """Keeps the documents with a letter, also where no language could be learned."""
     words = langid.sample(docs.where(bucket_of(F.col("doc_id"), 3) != 1))
     found = langid.predict(docs.withColumnRenamed("text", "body"), words, text="body", keep=("doc_id", "body", "lang", "source", "n_chars"))
-    return found.where(F.col("lang_pred") != langid.UNKNOWN).withColumnRenamed("body", "text").select(COLUMNS)
+    return found.where((F.col("lang_pred") != langid.UNKNOWN) | F.col("body").rlike(r"\p{L}")).withColumnRenamed("body", "text").select(COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

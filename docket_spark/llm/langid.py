@@ -5,8 +5,8 @@ the automaton knows; the language that needs the fewest phrases a character wins
 are parsed one by one: then equal words need equal numbers of phrases, so a worker parses each distinct word of its
 cache once, and the automata need each distinct word of the sample once.
 
-The automata are fitted on a bounded sample: per language at most ``sample_chars`` characters of labelled texts chosen
-by a hash, of which the most frequent words are kept up to ``model_chars`` characters; at most ``max_languages``
+The automata are fitted on a bounded sample: per language about ``sample_chars`` characters of distinct labelled texts
+chosen by a hash, of which the most frequent words are kept up to ``model_chars`` characters; at most ``max_languages``
 languages, those with the most labelled rows.  Every text is predicted whole, without any shuffle.
 """
 
@@ -97,15 +97,29 @@ class SuffixAutomaton:
 
 
 def sample(df: DataFrame, text: str = "text", lang: str = "lang", sample_chars: int = 400_000, model_chars: int = 60_000, max_languages: int = 256) -> dict[str, list[str]]:
-    """The words to learn of each language, the most frequent first.  Rows without text or language are left out."""
-    rows = df.select(df[lang].alias("lang"), df[text].alias("text"), F.length(df[text]).alias("n")).where("lang is not null and n > 0 and n <= 1000000")
-    totals = {r["lang"]: r.total for r in rows.groupBy("lang").agg(F.sum("n").alias("total"), F.count("*").alias("rows")).orderBy(F.desc("rows"), "lang").limit(max_languages).collect()}
-    if not totals:
+    """The words to learn of each language, the most frequent first.  Rows without text or language are left out.
+
+    Of each language the distinct texts that come first in the order of a hash are taken, until they hold
+    ``sample_chars`` characters; of a longer text its first ``sample_chars`` are.  So each language has one text at least.
+    """
+    place = (F.pmod(F.xxhash64("text"), F.lit(1 << 30)) + 1) / F.lit(float(1 << 30))
+    # Steps of the place, so that a language's first texts are found by counts of characters at each step.
+    rows = df.select(df[lang].alias("lang"), df[text].alias("text")).where("lang is not null and text != ''").withColumn("place", place)
+    rows = rows.select("lang", "text", "place", F.floor(F.log2("place") * 8).cast("int").alias("step"))
+    common = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages)
+    ranked = [r["lang"] for r in common.collect()]
+    if not ranked:
         return {}
-    share = F.create_map(*[F.lit(x) for k, v in totals.items() for x in (k, min(1.0, 2.0 * sample_chars / v))])
-    place = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    before = F.sum("n").over(Window.partitionBy("lang").orderBy("place", "text").rowsBetween(Window.unboundedPreceding, -1))
-    drawn = rows.withColumn("place", place).where(F.col("place") < F.try_element_at(share, "lang")).dropDuplicates(["lang", "text"])
+    distinct = rows.select("lang", "step", F.xxhash64("text").alias("hash"), F.least(F.length("text"), F.lit(sample_chars)).alias("n")).distinct()
+    upto: dict[str, int] = {}
+    total: Counter = Counter()
+    for r in distinct.where(F.col("lang").isin(ranked)).groupBy("lang", "step").agg(F.sum("n").alias("n")).orderBy("lang", "step").collect():
+        if total[r["lang"]] < sample_chars:
+            total[r["lang"]] += r["n"]
+            upto[r["lang"]] = r["step"]
+    last = F.create_map(*[F.lit(x) for pair in upto.items() for x in pair])
+    drawn = rows.where(F.col("step") <= F.try_element_at(last, "lang")).select("lang", "place", F.substring("text", 1, sample_chars).alias("text")).dropDuplicates(["lang", "text"])
+    before = F.sum(F.length("text")).over(Window.partitionBy("lang").orderBy("place", "text").rowsBetween(Window.unboundedPreceding, -1))
     picked = drawn.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < sample_chars).select("lang", "text").collect()
     counts: dict[str, Counter] = {}
     for r in picked:

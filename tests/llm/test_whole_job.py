@@ -17,3 +17,17 @@ def test_automata_hold_sixty_thousand_characters(spark):
     text = " " + " ".join(learned) + " "
     of = lambda dicts: sum(map(sys.getsizeof, dicts))
     assert of(langid.SuffixAutomaton(text).to.values()) < of(langid.SuffixAutomaton._edges(text)) / 2
+
+
+def test_sample_has_every_language(spark):
+    copies = [("word%d " % k * 200, f"c{k}") for k in range(12)]
+    rows = [r for r in copies for _ in range(1500)] + [("long words " * 100_000, "long")] + [("one text", "en"), ("zwei Texte", "de")]
+    learned = langid.sample(spark.createDataFrame(rows, "text string, lang string").repartition(4), sample_chars=20_000)
+    assert sorted(learned) == sorted({"en", "de", "long", *(k for _, k in copies)})
+    assert learned["long"][:2] == ["words", "long"] or learned["long"][:2] == ["long", "words"]
+
+
+def test_language_stage_without_languages_keeps_texts_with_a_letter(spark):
+    rows = [(1, "some words", None, "s", 10), (2, "漢字", None, "s", 2), (3, "12 .", None, "s", 4), (4, None, None, "s", None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    assert {r["doc_id"] for r in corpus_pipeline.language(spark, docs, "").collect()} == {1, 2}
