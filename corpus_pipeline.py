@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from docket_spark.llm import decontaminate, langid, ngram_join, piece_codec, secrets
 from docket_spark.llm.common import bucket_of, shared_dir, table
@@ -23,12 +23,25 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.where((F.col("lang_pred") != langid.UNKNOWN) | F.col("body").rlike(r"\p{L}")).withColumnRenamed("body", "text").select(COLUMNS)
 
 
+def row_key(docs: DataFrame) -> Column:
+    """A binary key of each row, equal for equal rows only; in the order of doc_id, null last."""
+    kind = dict(docs.dtypes)["doc_id"]
+    if kind in ("tinyint", "smallint", "int", "bigint"):
+        ordered = F.unhex(F.lpad(F.hex(F.col("doc_id").cast("bigint").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0"))
+    else:
+        ordered = F.concat(F.encode(F.col("doc_id").cast("string"), "UTF-8"), F.lit(b"\0"))
+    row = F.to_json(F.struct(*(F.col(c) for c in COLUMNS)), {"ignoreNullFields": "false"})
+    return F.concat(F.when(F.col("doc_id").isNull(), F.lit(b"\1")).otherwise(F.concat(F.lit(b"\0"), ordered)), F.unhex(F.md5(row.cast("binary"))))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near-duplicates, that with the smallest doc_id, and of repeated rows one."""
-    first = ngram_join.join(docs).where(F.col("class_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    kept = docs.join(first, docs["doc_id"].eqNullSafe(first["kept_id"])).select(COLUMNS)
-    one = Window.partitionBy("doc_id").orderBy("text", "lang", "source", "n_chars")
-    return kept.withColumn("place", F.row_number().over(one)).where("place = 1").select(COLUMNS)
+    """Keeps one row of each group of near-duplicates, that with the smallest doc_id, and all rows that are in none.
+
+    Rows are told apart by a key of their own, so different texts with the same or no doc_id stay; equal rows are one.
+    """
+    keyed = docs.withColumn("row_key", row_key(docs))
+    first = ngram_join.join(keyed, doc_id="row_key").where("class_id = doc_id").select(F.col("doc_id").alias("row_key")).distinct()
+    return keyed.join(first, "row_key").dropDuplicates(["row_key"]).select(COLUMNS)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

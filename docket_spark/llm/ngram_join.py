@@ -215,12 +215,15 @@ def join(df: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: f
                 sets = shingle_sets(batch.column(1).to_pylist(), n)
                 full = [k for k, s in enumerate(sets) if len(s)]
                 sig = dict(zip(full, signatures([sets[k] for k in full]))) if full else {}
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([digest(s) if len(s) else None for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([sig[k].tobytes() if k in sig else None for k in range(len(sets))], pa.binary())], names=["doc_id", "node", "size", "sig"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([digest(s) if len(s) else None for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([sig[k].tobytes() if k in sig else None for k in range(len(sets))], pa.binary()), batch.column(2)], names=["doc_id", "node", "size", "sig", "text_hash"])
 
     kind = dict(df.dtypes)[doc_id]
-    base = df.select(df[doc_id].alias("doc_id"), df[text].alias("text"))
-    rows = stored(map_batches(base, sketch, f"doc_id {kind}, node binary, size bigint, sig binary"))
-    classes = stored(rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("copy_id"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("sig").alias("sig")))
+    base = df.select(df[doc_id].alias("doc_id"), df[text].alias("text"), F.xxhash64(df[text]).alias("text_hash"))
+    rows = stored(map_batches(base, sketch, f"doc_id {kind}, node binary, size bigint, sig binary, text_hash bigint"))
+    # The row whose text stands for the class: with the hash, rows that share the doc_id or have none don't all meet.
+    head = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
+    grouped = rows.where("node is not null").groupBy("node").agg(head.alias("head"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("sig").alias("sig"))
+    classes = stored(grouped.select("node", F.col("head.doc_id").alias("copy_id"), F.col("head.text_hash").alias("text_hash"), "copies", "size", "sig"))
 
     bands = F.explode(F.array(*[F.struct(F.lit(b).alias("band"), F.xxhash64(F.lit(b), F.substring("sig", 2 * ROWS * b + 1, 2 * ROWS)).alias("key")) for b in range(BANDS)]))
     keyed = classes.select("node", bands.alias("x")).select("node", "x.band", "x.key")
@@ -237,7 +240,7 @@ def join(df: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: f
     in_cluster = classes.join(clusters, "node")
     parts_of = in_cluster.groupBy("component").agg(F.ceil(F.sum(F.col("size") * 8) / CLUSTER_CHUNK_BYTES).alias("part_count"))
     dealt = in_cluster.join(parts_of, "component").withColumn("part_no", F.pmod(F.xxhash64("node"), F.col("part_count")))
-    dealt = stored(dealt.select("node", "component", "copy_id", "copies", "sig", "part_no", "part_count"))
+    dealt = stored(dealt.select("node", "component", "copy_id", "text_hash", "copies", "sig", "part_no", "part_count"))
 
     def sets_of(batches):
         for whole in batches:
@@ -247,8 +250,8 @@ def join(df: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: f
                 right = [k for k, s in enumerate(sets) if digest(s) == nodes[k]]  # rows that share the doc_id only are left out
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(right, pa.int64())), pa.array([sets[k].tobytes() for k in right], pa.binary())], names=["node", "shingles"])
 
-    wanted = dealt.select("node", F.col("copy_id").alias("wanted_id"))
-    texts = base.join(wanted, base["doc_id"].eqNullSafe(wanted["wanted_id"])).select("node", "text")
+    wanted = dealt.select("node", F.col("copy_id").alias("wanted_id"), F.col("text_hash").alias("wanted_hash"))
+    texts = base.join(wanted, base["doc_id"].eqNullSafe(wanted["wanted_id"]) & (base["text_hash"] == wanted["wanted_hash"])).select("node", "text")
     sets = map_batches(texts, sets_of, "node binary, shingles binary")
     full = dealt.join(sets, "node")
     pairs = _chunk_pairs(full, "component", F.col("part_no"), F.col("part_count"))

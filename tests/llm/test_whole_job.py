@@ -2,7 +2,6 @@
 
 import sys
 
-import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -31,3 +30,11 @@ def test_language_stage_without_languages_keeps_texts_with_a_letter(spark):
     rows = [(1, "some words", None, "s", 10), (2, "漢字", None, "s", 2), (3, "12 .", None, "s", 4), (4, None, None, "s", None)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
     assert {r["doc_id"] for r in corpus_pipeline.language(spark, docs, "").collect()} == {1, 2}
+
+
+def test_rows_with_shared_or_no_ids_stay(spark):
+    text = lambda k: " ".join(f"{w}{chr(97 + k)}" for w in "one two three four five six seven eight".split())
+    rows = [(None, text(0)), (None, text(1)), (None, text(1)), (None, text(2)), (7, text(2)), (8, text(3)), (8, text(4)), (9, text(5)), (9, text(5)), (-3, text(5)), (10, None), (10, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(3)
+    kept = sorted((str(r["doc_id"]), str(r["text"])) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect())
+    assert kept == sorted((str(i), str(t)) for i, t in [(None, text(0)), (None, text(1)), (7, text(2)), (8, text(3)), (8, text(4)), (-3, text(5)), (10, None), (10, "")])
