@@ -1,6 +1,7 @@
 """Licence recognition by sentence rules, by DataFrame functions only.
 
-A text is cut into sentences, each normalised (lower case, everything but letters and digits a single blank).  Known
+A text is cut into sentences, each normalised (lower case, everything but letters and digits a single blank).  A
+sentence may be a line, or run over lines up to a blank one, with comment signs before each.  Known
 licence sentences map to identifiers; the identifiers of a text, in order, are matched against licence rules, which are
 identifier sequences that must follow each other, possibly with other known sentences between.  The tables are small
 and fixed, so they travel as literals: no join, no shuffle, and whole texts of any length.
@@ -74,6 +75,8 @@ RULES = [
 ]
 #: Ends of sentences: a line break, or one of . ! ? ; : before a blank or the end.  A dot inside "2.0" ends nothing.
 SENTENCE_END = r"[.!?;:]+(?:\s+|$)|\n+"
+#: What comments begin their lines with and would be a word or a sentence's end; other signs are dropped in any case.
+COMMENT_START = r"(?m)^[ \t]*(?:dnl|@?rem|;+)(?:[ \t]+|$)"
 #: A text without any of these words holds no known sentence (checked when this module is loaded).
 ANCHORS = ("licen", "permission", "redistribution", "warranty", "copyright", "software")
 
@@ -97,9 +100,17 @@ def _parts(sentences: dict[str, str]) -> dict[str, str]:
     return out
 
 
-def sentences_of(text: Column) -> Column:
-    lower = F.lower(F.regexp_replace(text, r"[^\x00-\x7F]+", " "))
-    return F.transform(F.split(lower, SENTENCE_END, -1), lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " ")))
+def sentences_in(text: Column, table: dict[str, str]) -> Column:
+    """The known sentences of a text in order, normalised; of those that begin at one place the longest."""
+    plain = F.regexp_replace(F.lower(F.regexp_replace(text, r"[^\x00-\x7F]+", " ")), COMMENT_START, "")
+    # No capitals are left, so Z can stand for the end of a sentence; a line break is one unless a known sentence runs over it.
+    ended = F.regexp_replace(plain, r"[.!?;:]+(?:\s+|$)", "Z")
+    for pattern, by in ((r"[^a-z0-9Z\n]+", " "), (r" ?([Z\n]) ?", "$1"), (r"\n{2,}", "Z")):
+        ended = F.regexp_replace(ended, pattern, by)
+    over_lines = lambda s: s.replace(" ", r"[ \n]") if re.search("[a-z]", s) else s
+    longest_first = "|".join(over_lines(s) for s in sorted(table, key=lambda s: (-len(s), s)))
+    found = F.regexp_extract_all(F.trim(ended), F.lit(rf"(?<![^Z\n])(?:{longest_first})(?![^Z\n])"), F.lit(0))
+    return F.transform(found, lambda s: F.translate(s, "\n", " "))
 
 
 def scan(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), sentences: dict[str, str] = SENTENCES, rules=RULES, anchors: tuple[str, ...] = ANCHORS) -> DataFrame:
@@ -115,7 +126,7 @@ def scan(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",),
     known = F.create_map(*[F.lit(x) for pair in sorted(table.items()) for x in pair])
     body = F.coalesce("__text", F.lit(""))
     gate = body.rlike("(?i)" + "|".join(map(re.escape, anchors)))
-    found = F.transform(F.filter(sentences_of(body), lambda s: s.isin(*table)), lambda s: F.try_element_at(known, s))
+    found = F.transform(sentences_in(body, table), lambda s: F.try_element_at(known, s))
     ids = F.when(gate, found).otherwise(F.array().cast("array<string>"))
     df = df.select(*keep, df[text].alias("__text")).select(*keep, F.explode(F.array(ids)).alias("sentence_ids"))
     line = F.concat(F.lit("|"), F.array_join("sentence_ids", "|"), F.lit("|"))
@@ -133,7 +144,7 @@ def digests(found: DataFrame, doc_id: str = "doc_id") -> DataFrame:
 
 
 def oracle_sql(sentences: dict[str, str] = SENTENCES, rules=RULES) -> str:
-    """DuckDB SQL for digests(scan(documents))."""
+    """DuckDB SQL for digests(scan(documents)) where no known sentence runs over a line break."""
     table = _parts(sentences)
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     keys, names = (", ".join(map(quote, x)) for x in zip(*sorted(table.items())))

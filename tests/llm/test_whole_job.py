@@ -1,11 +1,13 @@
 """Cases of which an operator once did less than the whole job."""
 
 import sys
+import textwrap
 
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from docket_spark.llm import langid
+from docket_spark.llm import langid, licenses
 
 
 def test_automata_hold_sixty_thousand_characters(spark):
@@ -38,3 +40,20 @@ def test_rows_with_shared_or_no_ids_stay(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(3)
     kept = sorted((str(r["doc_id"]), str(r["text"])) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect())
     assert kept == sorted((str(i), str(t)) for i, t in [(None, text(0)), (None, text(1)), (7, text(2)), (8, text(3)), (8, text(4)), (-3, text(5)), (10, None), (10, "")])
+
+
+@pytest.mark.parametrize("before", ["", "# ", " * ", "// ", ";; ", "dnl ", "REM "])
+def test_wrapped_licences(spark, before):
+    s = licenses.SENTENCES
+    texts = {
+        "MIT:full text": ["MIT License", "", f"{s['mit_grant']}:", "", f"{s['mit_notice']}.", "", f"{s['asis_software']}. IN NO EVENT"],
+        "MIT:grant": ["Copyright (c) 2020 A", f"{s['mit_grant']}:"],
+        "GPL-3.0:header": [f"{s['gpl_free']}.", "", f"{s['gpl_received']}.  If not, see"],
+        "GPL-2.0:grant": [f"{s['gpl2_free']}."],
+        "BSD-2-Clause:full text,BSD-3-Clause:full text": [f"{s['bsd_redistribution']}:", f"1. {s['bsd_source']}.", f"2. {s['bsd_binary']}.", f"3. {s['bsd_endorse']}."],
+        "MPL-2.0:notice": [f"{s['mpl2_subject']}. If a copy"],
+        "": [s["mit_grant"].replace("free of charge", "free of charge\n\n")],
+    }
+    wrapped = ["\n".join(before + line for x in t for line in (textwrap.wrap(x, 70) if "\n" not in x else x.split("\n")) or [""]) for t in texts.values()]
+    rows = licenses.digests(licenses.scan(spark.createDataFrame(list(enumerate(wrapped)), "doc_id bigint, text string"))).orderBy("doc_id").collect()
+    assert [r["licences"] for r in rows] == list(texts)
