@@ -1,6 +1,7 @@
 """Secret scans with a random forest that removes false positives, by DataFrame functions only.
 
-A candidate is a run of 16 or more key characters with a digit.  Rules of high precision label some candidates (formats
+A candidate is a value of six or more signs assigned to a secret's name, the password of a connection string, a key in an
+issuer's format, or a run of 16 or more key characters with a digit.  Rules of high precision label some candidates (formats
 of known issuers, values assigned to a secret's name; card numbers, placeholders, checksums); a random forest is trained
 on the labelled ones, at most ``sample`` of a class, and decides all.  Its features are length, character transitions,
 dictionary coverage, path and neighbouring words.
@@ -16,16 +17,32 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import settled, stored
 
-CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}+={0,2}"
 SECRET_WORDS = r"(?i)(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|private[_-]?key|credential|auth)"
-ASSIGNED = SECRET_WORDS + r"[\w-]*[\"']?\s*[:=]\s*[\"']?$"
+#: The password's place in a connection string.
+CONNECTION = r"://[^\s:/@\"']{0,64}:"
+ASSIGNED = r"(?:" + SECRET_WORDS + r"[\w-]*[\"']?\s*(?:[:=]{1,2}>?)\s*[\"'`]?|" + CONNECTION + ")$"
 HARMLESS_WORDS = r"(?i)(?:sha-?1|sha-?256|md5|checksum|digest|commit|revision|etag|uuid|isbn|order|invoice|ticket)[\w-]*\W{0,4}$"
 #: Formats that issuers publish for their keys.
-ISSUED = r"^(?:AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|glpat-[A-Za-z0-9_-]{20}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35})$"
+FORMATS = r"(?:AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|glpat-[A-Za-z0-9_-]{20}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35})"
+ISSUED = f"^{FORMATS}$"
+#: Lookbehinds go from cheap to dear: most places are ruled out by the sign before them.
+CANDIDATE = "|".join([
+    # a value assigned to a secret's name: to the closing quote, or to a blank or a sign that ends values
+    r"(?<=[:=>\s\"'`])(?<=[:=]>?[ \t]{0,3}[\"'`]?)(?<=(?i:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|private[_-]?key|credential|auth(?!or))[\w-]{0,24}[\"']?[ \t]{0,3}[:=]{1,2}>?[ \t]{0,3}[\"'`]?)"
+    r"(?:(?<=[\"'`])[^\s\"'`]{6,}+(?=[\"'`])|[^\s\"'`,;&)}\]<>=:][^\s\"'`,;&)}\]<>]{5,}+)",
+    # the password of a connection string
+    r"(?<=:)(?=[^\s/@\"']{1,256}@)(?<=" + CONNECTION + r")[^\s/@\"']+",
+    r"(?<![A-Za-z0-9+/_-])" + FORMATS + r"(?![A-Za-z0-9+/_-])",
+    r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}+={0,2}",
+])
+#: A text without any of these holds no candidate.
+GATE = r"[0-9:=]|AKIA|ASIA|gh[pousr]_|glpat-|xox[abprs]-|sk_live_|AIza"
+#: Names and calls of code, references and plain words: not the secret itself.
+PLAIN = r"^(?:[A-Za-z_]+(?:(?:[._:-]|->)+[A-Za-z_]*)*(?:[(\[].*)?|[$%<{(@].*|[A-Za-z+]+://[^@]*)$"
 PLACEHOLDER = r"(?i)(?:example|sample|dummy|changeme|your|xxxx|placeholder|test|foobar|0123456|abcdef0|1234567890)|(.)\1{5}"
 TEST_PATH = r"(?i)(?:^|[/_.-])(?:test|tests|spec|example|examples|sample|fixture|fixtures|doc|docs|mock)(?:[/_.-]|$)"
 DICTIONARY = "the|and|ing|ion|for|with|user|name|data|file|image|http|https|www|com|org|html|static|assets|version|release|build|index|page|title|default|config|server|client|public|module|package|component|service|request|response|content|style|color|width|height|function|return|value|number|string"
-FEATURES = ["length", "transitions", "digit_share", "upper_share", "vowel_share", "distinct_share", "hex", "digits_only", "dictionary", "slashes", "test_path", "assigned", "secret_word", "harmless_word", "issued", "placeholder"]
+FEATURES = ["length", "transitions", "digit_share", "upper_share", "vowel_share", "distinct_share", "hex", "digits_only", "dictionary", "slashes", "test_path", "assigned", "secret_word", "harmless_word", "issued", "placeholder", "signs", "plain", "quoted", "connection"]
 MASK = "<SECRET>"
 
 
@@ -50,6 +67,10 @@ def features(value: Column, before: Column, path: Column) -> Column:
         yes(before.rlike(HARMLESS_WORDS)),
         yes(value.rlike(ISSUED)),
         yes(value.rlike(PLACEHOLDER)),
+        share("[A-Za-z0-9+/_=-]"),
+        yes(value.rlike(PLAIN)),
+        yes(before.rlike("[\"'`]$")),
+        yes(before.rlike(CONNECTION + "$")),
     )
 
 
@@ -57,14 +78,16 @@ def rule_label(f: Column) -> Column:
     """1.0 for a secret, 0.0 for a harmless value, null where the rules don't know."""
     at = lambda name: f[FEATURES.index(name)]
     harmless = (at("placeholder") == 1) | (at("harmless_word") == 1) | (at("dictionary") > 0.6) | (at("slashes") > 2) | ((at("digits_only") == 1) & (at("assigned") == 0))
-    return F.when(harmless, 0.0).when((at("issued") == 1) | ((at("assigned") == 1) & (at("digits_only") == 0) & (at("distinct_share") > 0.15)), 1.0)
+    literal = (at("plain") == 0) | (at("connection") == 1)
+    plain = (at("plain") == 1) & (at("quoted") == 0) & (at("connection") == 0) & (at("issued") == 0) & (at("assigned") == 1) & (at("digit_share") == 0)
+    return F.when(harmless | plain, 0.0).when((at("issued") == 1) | ((at("assigned") == 1) & literal & (at("digits_only") == 0) & (at("distinct_share") > 0.15)), 1.0)
 
 
 def candidates(df: DataFrame, text: str, keep: list[str], path: str | None) -> DataFrame:
     """Adds __gaps, __found (texts between and of the candidates) and __f (features of each)."""
     body = F.coalesce(F.col(text), F.lit(""))
     none = F.array().cast("array<string>")
-    gate = body.rlike("[0-9]")
+    gate = body.rlike(GATE)
     cut = settled(df, keep, {"__found": F.when(gate, F.regexp_extract_all(body, F.lit(CANDIDATE), F.lit(0))).otherwise(none), "__gaps": F.when(gate, F.split(body, CANDIDATE, -1)).otherwise(F.array(body)), "__path": F.coalesce(F.col(path).cast("string"), F.lit("")) if path else F.lit("")})
     pairs = F.arrays_zip("__found", F.slice("__gaps", 1, F.size("__found")))
     near = lambda z: F.regexp_replace(F.right(z["1"], F.lit(60)), r"\s+", " ")
