@@ -120,9 +120,8 @@ def pack(df: DataFrame, model_path: str, size: int = 2048, text: str = "text", d
         pieces, held, number = [], 0, 0
         for whole in batches:
             for batch in sub_batches(whole, 1):
-                words = codec.words_of(batch.column(1).to_pylist())
-                codec.add(words)
-                flat, offsets = codec.encode(words)
+                words = codec.words(batch.column(1).cast(pa.binary()).to_pylist())
+                flat, offsets = codec.encode(words, codec.numbers(words))
                 for doc, a, b in zip(batch.column(0).to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist()):
                     ids = flat[a:b]
                     for at in range(0, len(ids), size):

@@ -26,28 +26,37 @@ def hard_texts():
 def test_encode_and_decode_equal_the_library(library):
     codec = pc.Codec(pc.tables_of(MODEL))
     texts = hard_texts()
-    words = codec.words_of(texts)
-    codec.add(words)
-    ids, offsets = codec.encode(words)
+    words = codec.words([x.encode() for x in texts])
+    ids, offsets = codec.encode(words, codec.numbers(words))
     want = library.encode(texts, num_threads=1)
     assert [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:])] == want
     assert [x.decode() for x in pc.decode_flat(codec.t, ids, offsets)] == library.decode(want)
 
 
-def test_full_caches_keep_their_first_words(library, monkeypatch):
+def test_full_caches_keep_the_words_met_most(library, monkeypatch):
     monkeypatch.setattr(pc, "CACHE_WORDS", 300)
-    monkeypatch.setattr(pc, "CACHE_FIRST", 100)
+    monkeypatch.setattr(pc, "CACHE_KEPT", 100)
     codec, texts = pc.Codec(pc.tables_of(MODEL)), hard_texts()
     for at in range(0, len(texts), 40):
         part = texts[at : at + 40]
-        words = codec.words_of(part)
-        codec.add(words)
-        ids, offsets = codec.encode(words)
-        joined, decoded = codec.texts_of_ids()
+        words = codec.words([x.encode() for x in part])
+        numbers = codec.numbers(words)
+        ids, offsets = codec.encode(words, numbers)
         want = library.encode(part)
         assert [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:])] == want
-        assert [[int(i) for w in x for i in joined[codec.index[w]].split(",")] for x in words] == want
-        assert ["".join(decoded[codec.index[w]].decode(errors="replace") for w in x)[1:] for x in words] == library.decode(want)
+        decimals, decoded = codec.shown()
+        assert [[int(i) for i in x.decode().split(",")[:-1]] for x in pc.texts_of(decimals, numbers, words.counts)] == want
+        assert [x.decode(errors="replace")[x[:1] == b" " :] for x in pc.texts_of(decoded, numbers, words.counts)] == library.decode(want)
+
+
+def test_word_table_finds_what_it_holds():
+    r, table, known = np.random.default_rng(1), pc.WordTable(), {}
+    for _ in range(30):
+        new = np.setdiff1d(r.integers(1, 1 << 62, 700, np.uint64) << np.uint64(2), np.array(list(known), np.uint64))
+        table.add(new)
+        known |= {int(k): len(known) + i for i, k in enumerate(new.tolist())}
+    keys = np.array(list(known), np.uint64)
+    assert table.find(keys).tolist() == list(known.values()) and (table.find(keys + np.uint64(1)) < 0).all()
 
 
 def test_operator_round_trip(spark, library, odd_texts):
