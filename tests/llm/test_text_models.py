@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from checks import DATA, same_rows
 from pyspark.sql import functions as F
@@ -47,33 +48,121 @@ def test_language_of_odd_texts(spark, odd_texts):
     assert {r["lang_pred"] for r in langid.predict(df, {}).collect()} == {"und"}
 
 
+def split_tokens(text):
+    return [x.encode() for x in re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))] + [P.END]
+
+
 def test_counts_and_base_of_the_language_model(spark, odd_texts):
     texts = [r["text"] for r in spark.read.parquet(f"{DATA}/documents.parquet").orderBy("doc_id").limit(60).collect()] + odd_texts
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").selectExpr("*", "1 AS row", "2 AS word").repartition(3)
-    rows = P.score(df, bucket_of(F.col("doc_id"), 7) == 2, frequent=500).orderBy("doc_id").collect()
-    tokens = [re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")) + [""] for t in texts]
+    rows = P.score(df, bucket_of(F.col("doc_id"), 7) == 2, frequent=500, sweeps=1, burn_in=0).orderBy("doc_id").collect()
+    tokens = [split_tokens(t) for t in texts]
     held = [zlib.crc32(str(i).encode()) % 7 == 2 for i in range(len(texts))]
     c = Counter(w for t, h in zip(tokens, held) if not h for w in t)
     n, v = sum(c.values()), len(c)
     for r, t, h in zip(rows, tokens, held):
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (h, len(t), sum(c[w] > 0 for w in t), n)
         assert r["base_score"] == pytest.approx(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in t), rel=1e-9)
-        assert r["score"] < 0 and r["perplexity"] == pytest.approx(10 ** (-r["score"] / len(t)))
+        assert r["score"] < 0 and math.log(min(r["perplexity"], 1e300)) == pytest.approx(min(-r["score"] / len(t) * math.log(10), math.log(1e300)))
     assert P.score(df.where("false"), F.lit(False)).count() == 0
     alone = P.score(df, F.lit(True)).collect()
-    assert all(r["train_tokens"] == 0 and r["n_known"] == 0 for r in alone)
-
-
-def test_table_counts_follow_the_process():
-    """Stirling weights give the distribution of tables that seating customers one by one gives."""
-    random_, d, rate, c = np.random.default_rng(1), 0.5, 0.8, 6
-    t = P.sample_tables(np.full(40_000, c), np.full(40_000, math.log(rate)), d, P.log_stirling(d), random_)
-    weight = {k: math.exp(P.log_stirling(d)[c, k] + k * math.log(rate)) for k in range(1, c + 1)}
-    total = sum(weight.values())
-    for k in weight:
-        assert np.mean(t == k) == pytest.approx(weight[k] / total, abs=0.01)
-    many = P.sample_tables(np.full(2000, 5000), np.full(2000, math.log(2.0)), 0.3, P.log_stirling(0.3), random_)
-    assert 1 <= many.min() and many.max() <= 5000 and np.mean(many) > 5
+    assert all(r["train_tokens"] == 0 and r["n_known"] == 0 and r["score"] < 0 for r in alone)
+
+
+def brute_scores(texts, held, frequent, sweeps, burn_in):
+    """The same sampler, pair by pair over plain dictionaries."""
+    tokens = [split_tokens(t) for t in texts]
+    every = Counter(w for t in tokens for w in t)
+    pairs = Counter(p for t, h in zip(tokens, held) if not h for p in zip([P.END, *t], t))
+    context = Counter(w for t, h in zip(tokens, held) if not h for w in t)
+    raw = lambda w: np.frombuffer(w, np.uint8)
+    key = {w: int(P.word_keys(raw(w), np.array([0]), np.array([len(w)]))[0]) if w else int(P.END_KEY) for w in every}
+    step = {w: math.floor(math.log2(n) * 8) for w, n in every.items()}
+    common = []
+    for s in sorted(set(step.values()), reverse=True):
+        own = [w for w in every if step[w] == s]
+        if len(common) + len(own) > frequent:
+            break
+        common += own
+    code = {w: np.uint64(k) for k, w in enumerate(sorted(common, key=lambda w: (-every[w], key[w])))}
+    assert 0 < len(code) < len(every)
+    code = {w: code.get(w, np.uint64(key[w])) for w in every}
+    d = P.discount(sum(n == 1 for n in pairs.values()), sum(n == 2 for n in pairs.values()))
+    t = dict.fromkeys(pairs, 1)
+    seats = lambda: (Counter(u for (u, _), n in t.items() for _ in range(n)), Counter(w for (_, w), n in t.items() for _ in range(n)))
+    of_u, of_w = seats()
+    word_d, tables = P.discount(sum(n == 1 for n in of_w.values()), sum(n == 2 for n in of_w.values())), len(of_w)
+    root = np.full(256, 1 / 256)
+    old = P.Spelling(root).packed()
+
+    def rated(number):
+        nonlocal root, old, tables
+        level = P.WordLevel(word_d, 1.0, tables, sum(of_w.values()))
+        seated = {w: int(level.seat([w], np.array([n]), old, number)[0]) for w, n in of_w.items()}
+        grams = Counter()
+        for w, n in seated.items():
+            for g in P.codes_of([w])[0].tolist():
+                grams[g] += n
+        tables = sum(seated.values())
+        new, customers = P.Spelling(root), np.zeros(256, np.int64)
+        for last in sorted({g >> 8 & 255 for g in grams}):
+            own = pd.DataFrame([(g, n, last) for g, n in grams.items() if g >> 8 & 255 == last], columns=["code", "c", "last"])
+            r = P._spelling(root, number)(own).iloc[0]
+            new.add(last, np.frombuffer(r["first"], np.uint8), np.frombuffer(r["p"], np.float32).reshape(-1, 256))
+            customers += np.frombuffer(r["tables"], np.int64)
+        k = P.draw_tables(customers, np.count_nonzero(customers) - np.minimum(customers, 1), np.full(256, np.log(1 / 256)), 0.5, 1.0, P.log_stirling(0.5), P.mixed(np.arange(256, dtype=np.uint64)), number)
+        root = (customers - 0.5 * k + (1.0 + 0.5 * k.sum()) / 256) / (1.0 + customers.sum())
+        old = new.packed()
+        base = {w: math.exp(P._base_logs([w], old)[0]) for w in every}
+        return {w: (max(of_w[w] - word_d * seated.get(w, 0), 0) + (1 + word_d * tables) * base[w]) / (1 + sum(of_w.values())) for w in every}
+
+    p, samples = rated(0), []
+    for number in range(1, sweeps + 1):
+        t = {(u, w): 1 if n == 1 else int(P.draw_tables(np.array([n]), np.array([of_u[u] - t[u, w]]), np.log(np.array([p[w]])), d, 1.0, P.log_stirling(d), P.pair_keys(np.array([code[u]]), np.array([code[w]])), number)[0]) for (u, w), n in pairs.items()}
+        of_u, of_w = seats()
+        p = rated(number)
+        if number > burn_in:
+            samples.append((dict(t), dict(of_u), p))
+    mean_t = {x: np.mean([s[0][x] for s in samples]) for x in pairs}
+    predicted = lambda u, w: np.mean([((pairs[u, w] - d * mean_t[u, w] if (u, w) in pairs else 0) + (1 + d * s[1].get(u, 0)) * s[2][w]) / (1 + context[u]) for s in samples])
+    return [sum(math.log10(predicted(u, w)) for u, w in zip([P.END, *x], x)) for x in tokens]
+
+
+def test_scores_of_the_language_model_equal_plain_loops(spark):
+    r = random.Random(4)
+    words = ["the", "of", "a", "cat", "dog", "runs", "É", "x1", "Green", "sleeps"] + ["w%d" % k for k in range(60)]
+    texts = [" ".join(r.choice(words[: r.choice([4, 10, 70])]) for _ in range(r.randint(0, 40))) for _ in range(80)] + [None, "only new words"]
+    texts += texts[:10]
+    held = [k % 7 == 2 for k in range(len(texts))]
+    df = spark.createDataFrame([(k, t, h) for k, (t, h) in enumerate(zip(texts, held))], "doc_id bigint, text string, held boolean")
+    of = lambda frame, **more: {x["doc_id"]: x["score"] for x in P.score(frame, F.col("held"), frequent=20, sweeps=3, burn_in=1, **more).collect()}
+    want = brute_scores(texts, held, 20, 3, 1)
+    got = of(df.repartition(3), window=300, bucket_tokens=500)
+    assert [got[k] for k in range(len(texts))] == pytest.approx(want, rel=1e-5)
+    assert of(df.repartition(7), window=170) == pytest.approx(got, rel=1e-9)  # other partitions, windows and buckets
+    turned = of(spark.createDataFrame([(k, " ".join(reversed(t.split())) if t and held[k] else t, held[k]) for k, t in enumerate(texts)], "doc_id bigint, text string, held boolean"))
+    assert sum(abs(turned[k] - got[k]) > 0.5 for k in got if held[k]) > 3  # the order of words counts
+
+
+def exact_tables(c, others, p, d, strength):
+    """Mean and deviation of the number of tables, by adding customer after customer to all weights."""
+    w = np.zeros(c + 1)
+    w[1] = 1.0
+    for n in range(1, c):
+        new = np.zeros(c + 1)
+        new[1:] = w[1:] * np.maximum(n - d * np.arange(1, c + 1), 0)
+        new[2:] += w[1:-1] * (strength + d * (others + np.arange(1, c))) * p
+        w = new / new.sum()
+    k = np.arange(c + 1)
+    return (w * k).sum(), math.sqrt((w * k * k).sum() - (w * k).sum() ** 2)
+
+
+@pytest.mark.parametrize("c, others, p, d", [(6, 0, 0.3, 0.5), (200, 30, 0.05, 0.6), (300, 0, 0.05, 0.6), (300, 100, 0.05, 0.2), (900, 10_000, 1e-4, 0.7), (1000, 1000, 0.01, 0.7), (1000, 5000, 0.05, 0.7), (1500, 50, 0.01, 0.7), (2000, 100, 0.4, 0.05), (600, 100_000, 0.05, 0.9), (700, 5, 1e-9, 0.4)])
+def test_table_counts_follow_the_process(c, others, p, d):
+    n = 20_000
+    t = P.draw_tables(np.full(n, c), np.full(n, others), np.full(n, math.log(p)), d, 1.0, P.log_stirling(d), P.mixed(np.arange(n, dtype=np.uint64)), 3)
+    mean, deviation = exact_tables(c, others, p, d, 1.0)
+    assert np.mean(t) == pytest.approx(mean, rel=0.02) and np.std(t) == pytest.approx(deviation, rel=0.06, abs=0.02)
 
 
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
