@@ -15,9 +15,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset, a temporary folder of this machine serves a local master; on a cluster that is an error.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="docket-shared-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -27,8 +32,18 @@ def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back, so that its lineage ends there."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*stored_frames: DataFrame) -> None:
+    """Delete what stored() wrote, once nothing reads it any more."""
+    for df in stored_frames:
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
+        path = jvm.org.apache.hadoop.fs.Path(df._stored_at)
+        path.getFileSystem(conf).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -88,6 +103,29 @@ def settled(df: DataFrame, keep: list[str], new: dict[str, Column]) -> DataFrame
     return df.select(*keep, one).select(*keep, *(F.col("__one")[k].alias(k) for k in new))
 
 
+def running(values: Column, op=lambda a, b: a + b, kind: str = "bigint") -> Column:
+    """Running sums (or another ``op``) over an array: n numbers in n^1.5 steps, block by block.
+
+    ``values`` must be a settled column, as it is read more than once.
+    """
+    size = F.size(values)
+    block = F.greatest(F.lit(16), F.ceil(F.sqrt(size))).cast("int")
+    count = F.ceil(size / block).cast("int")
+
+    def scan(x):
+        def step(acc, v):
+            now = F.when(F.size(acc) == 0, v).otherwise(op(F.element_at(acc, -1), v))
+            return F.concat(acc, F.array(now))
+
+        return F.aggregate(x, F.array().cast(f"array<{kind}>"), step)
+
+    inner = F.transform(F.transform(F.sequence(F.lit(0), count - 1), lambda b: F.slice(values, b * block + 1, block)), scan)
+    # (blocks, what precedes each): joined in one lambda, so that the blocks are computed once
+    spread = F.transform(F.array(inner), lambda blocks: F.struct(blocks.alias("blocks"), scan(F.transform(blocks, lambda x: F.element_at(x, -1))).alias("ends")))
+    whole = F.flatten(F.flatten(F.transform(spread, lambda s: F.transform(s["blocks"], lambda x, i: F.when(i == 0, x).otherwise(F.transform(x, lambda v: op(F.element_at(s["ends"], F.greatest(i, F.lit(1))), v)))))))
+    return F.when(size > 0, whole).otherwise(F.array().cast(f"array<{kind}>"))
+
+
 _held: dict[str, object] = {}
 
 

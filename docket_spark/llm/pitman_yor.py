@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import map_batches, ship, stored, sub_batches
+from .common import discard, map_batches, ship, stored, sub_batches
 from .piece_codec import WordTable
 
 #: A-Z to a-z; the blanks of the contract separate tokens.
@@ -652,6 +652,7 @@ def score(df: DataFrame, held_out: Column, text: str = "text", doc_id: str = "do
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint")
     static = stored(coded.join(first, "code", "left").select("code", "word", "c", zero("tu").alias("tables"), zero("tw").alias("customers")))
     asks = stored(flat_lists(merged, ["rare"], ["bucket", "code"], "bucket int, code bigint"))
+    discard(words)
     del counted, words, coded, first
     _let_go(spark)
 
@@ -670,6 +671,7 @@ def score(df: DataFrame, held_out: Column, text: str = "text", doc_id: str = "do
             trigrams = stored(map_batches(now.where("customers > 0").select("word", "customers"), _count_trigrams(own, old, number), "code bigint, c bigint").groupBy("code").agg(F.sum("c").alias("c")))
             tables = int(trigrams.where(F.col("code").bitwiseAND(255) == PAD).agg(F.sum("c")).first()[0])  # a word ends once
             table, root = spelling_table(trigrams, root, number)
+            discard(trigrams)
             spelling = sc.broadcast(table)
         return stored(map_batches(now.select("code", "word", "customers", "tables"), _rate(own, old, spelling, tables, number), "code bigint, log_p double, tables bigint"))
 
@@ -679,20 +681,21 @@ def score(df: DataFrame, held_out: Column, text: str = "text", doc_id: str = "do
         order = np.argsort(found.column("code").to_numpy())
         return [found.column(c).to_numpy()[order] for c in columns]
 
-    values = rated(static, 0)
+    values, done = rated(static, 0), None
     seats, samples = merged.select(*(x.split()[0] for x in SEATS.split(", "))), []
     for number in range(1, sweeps + 1 if total else 1):
         sent = sc.broadcast(of_frequent(values, ["log_p", "tables"]))
         rare = asks.join(values, "code")
         seat = _seat_pairs(sent, number, d, strength, number > burn_in)
-        done = stored(seats.groupBy("bucket").cogroup(rare.groupBy("bucket")).applyInArrow(seat, SEATS + ", codes array<bigint>, tu array<int>, tw array<int>"))
+        before, done = [values, *([done] if done else [])], stored(seats.groupBy("bucket").cogroup(rare.groupBy("bucket")).applyInArrow(seat, SEATS + ", codes array<bigint>, tu array<int>, tw array<int>"))
         more = flat_lists(done, ["codes", "tu", "tw"], ["code", "tu", "tw"], fields).groupBy("code").agg(F.sum("tu").alias("tu"), F.sum("tw").alias("tw"))
         now = stored(static.join(more, "code", "left").select("code", "word", (F.col("tables") + zero("tu")).alias("tables"), (F.col("customers") + zero("tw")).alias("customers")))
         values = rated(now, number)
         seats = done.select(*(x.split()[0] for x in SEATS.split(", ")))
+        discard(now, *(x for x in before if x not in samples))
         if number > burn_in:
             samples.append(values)
-        del rare, more, now, done
+        del rare, more, now, before
         _let_go(spark)
     samples = samples or [values]
 
@@ -701,6 +704,7 @@ def score(df: DataFrame, held_out: Column, text: str = "text", doc_id: str = "do
     for k, v in enumerate(samples):
         final = final.join(v.select("code", F.col("log_p").alias(f"log_p_{k}"), F.col("tables").alias(f"tables_{k}")), "code")
     final = stored(final)
+    discard(static, *samples)
     columns = of_frequent(final, ["c", *(f"{x}_{k}" for x in ("log_p", "tables") for k in range(len(samples)))])
     sent = sc.broadcast((columns[0], columns[1 : 1 + len(samples)], columns[1 + len(samples) :]))
     wanted = map_batches(whole.select("window", "keys"), _rare_of(dictionary), "window bigint, code bigint")
