@@ -408,13 +408,21 @@ class WindowPairs:
         self.cuts = np.searchsorted(bucket[self.order], np.arange(buckets + 1))
 
 
+def window_rows(batches, lists: tuple[str, ...]):
+    """Rows as dicts; the columns ``lists`` as Arrow arrays."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield {c: batch.column(c).slice(k, 1).flatten() if c in lists else batch.column(c)[k].as_py() for c in batch.schema.names}
+
+
 def _send_pairs(dictionary, buckets: int):
     def run(batches):
         for batch in batches:
-            for r in batch.to_pylist():
-                tokens, keys = unpacked(r["tokens"], np.uint32), np.array(r["keys"], np.int64).view(np.uint64)
+            for r in window_rows([batch], ("held", "sizes", "keys")):
+                tokens, keys = unpacked(r["tokens"], np.uint32), r["keys"].to_numpy().view(np.uint64)
                 w = WindowPairs(tokens, keys, dictionary.value, buckets)
-                c = np.bincount(w.at, np.repeat(~np.array(r["held"], bool), r["sizes"]), len(w.pairs)).astype(np.uint32)
+                learn = np.repeat(~r["held"].to_numpy(zero_copy_only=False), r["sizes"].to_numpy())
+                c = np.bincount(w.at, learn, len(w.pairs)).astype(np.uint32)
                 full = np.flatnonzero(np.diff(w.cuts)).tolist()
                 parts = [w.order[w.cuts[b] : w.cuts[b + 1]] for b in full]
                 made = [pa.array([packed(x[p]) for p in parts], pa.binary()) for x in (w.codes[w.u], w.codes[w.w], c)]
@@ -572,8 +580,8 @@ def _score(dictionary, sent, buckets: int, d: float, strength: float, samples: i
 
     def run(window: pa.Table, rare: pa.Table) -> pa.Table:
         out = []
-        for r in window.to_pylist():
-            tokens, keys = unpacked(r["tokens"], np.uint32), np.array(r["keys"], np.int64).view(np.uint64)
+        for r in window_rows(window.to_batches(), ("ids", "held", "sizes", "keys")):
+            tokens, keys = unpacked(r["tokens"], np.uint32), r["keys"].to_numpy().view(np.uint64)
             pairs = WindowPairs(tokens, keys, dictionary.value, buckets)
             added = np.zeros(len(pairs.pairs))
             for x in r["answers"]:
@@ -593,11 +601,11 @@ def _score(dictionary, sent, buckets: int, d: float, strength: float, samples: i
                     p = np.logaddexp(np.log(added / below), rest)
                 predicted = p if predicted is None else np.logaddexp(predicted, p)
             predicted = (predicted - np.log(samples)) / np.log(10)
-            sizes = np.array(r["sizes"], np.int64)
+            sizes = r["sizes"].to_numpy().astype(np.int64)
             first = np.cumsum(sizes) - sizes
             known = count[tokens]
             made = [np.add.reduceat(known > 0, first, dtype=np.int64), np.full(len(sizes), total), np.add.reduceat(np.log10((known + 1) / (total + kinds + 1)), first), np.add.reduceat(predicted[pairs.at], first)]
-            out.append(pa.Table.from_arrays([pa.array(r["ids"], id_kind), pa.array(r["held"], pa.bool_()), pa.array(sizes), *(pa.array(x) for x in made)], names=names))
+            out.append(pa.Table.from_arrays([r["ids"].cast(id_kind), r["held"], pa.array(sizes), *(pa.array(x) for x in made)], names=names))
         return pa.concat_tables(out) if out else pa.schema([("doc_id", id_kind), ("held_out", pa.bool_()), *((k, pa.int64()) for k in names[2:5]), *((k, pa.float64()) for k in names[5:])]).empty_table()
 
     return run
@@ -609,7 +617,7 @@ def _let_go(spark) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def score(df: DataFrame, held_out: Column, text: str = "text", doc_id: str = "doc_id", sweeps: int = 3, burn_in: int = 1, strength: float = 1.0, frequent: int = 300_000, window: int = 3_000_000, bucket_tokens: int = 6_000_000) -> DataFrame:
+def score(df: DataFrame, held_out: Column, text: str = "text", doc_id: str = "doc_id", sweeps: int = 3, burn_in: int = 1, strength: float = 1.0, frequent: int = 300_000, window: int = 2_000_000, bucket_tokens: int = 2_000_000) -> DataFrame:
     """One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity.
 
     Learns from the rows that are not held out.  Null and empty texts hold the end only.  ``base_score`` is the sum of

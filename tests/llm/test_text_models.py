@@ -4,12 +4,14 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
 import pandas as pd
 import pytest
+import regex
 from checks import DATA, same_rows
 from pyspark.sql import functions as F
 
@@ -195,6 +197,46 @@ def test_personal_data(spark, odd_texts):
     assert "person:5:14" in rows[len(texts) - 3]["spans"] and "number:21:32" in rows[len(texts) - 3]["spans"] or "person" in rows[len(texts) - 3]["spans"]
 
 
+def personal_texts():
+    r = random.Random(11)
+    names, last, plain = "Mary John Peter Susan".split(), "Smith Keller Novak Jansen".split(), "the house was sold and we went on to see it".split()
+    sentence = lambda: " ".join(r.choice(plain) for _ in range(r.randint(3, 9)))
+    out = []
+    for k in range(160):
+        who, ssn, phone = f"{r.choice(names)} {r.choice(last)}", f"{r.randint(100, 599)}-{r.randint(10, 99)}-{r.randint(1000, 9999)}", f"{r.randint(200, 900)} {r.randint(200, 900)} {r.randint(1000, 9999)}"
+        out.append([f"{sentence()}, contact Mr. {who}, ssn {ssn}.", f"Dear {who}, {sentence()} a@b.org call {phone} home", f"The Street {sentence()}. Version Table {r.randint(1900, 2030)} {sentence()}, page {r.randint(1, 999)}", f"{sentence()} order {r.randint(1, 9)},{r.randint(100, 999)},000 in the County House."][k % 4])
+    return out
+
+
+def test_added_spans_of_personal_data(spark):
+    texts = [*personal_texts(), "Mary Smith " * 300 + "a@b.cd 123-45-6789 " * 300, None, "", "JOHN SMITH 10.0.0.1 Éva Ünal"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    work = pii._candidates(pii.with_base(df.select("doc_id", F.col("text").alias("__body")), "__body"), pii.GIVEN_NAMES, pii.TITLES)
+    models = pii.train(work)
+    assert set(models) == {"person", "number"}
+    rows = {r["doc_id"]: r for r in work.select("doc_id", "__more").collect()}
+    found = {r["doc_id"]: r["spans"].split(",") if r["spans"] else [] for r in pii.digests(pii.find(df)).collect()}
+    for k, text in enumerate(texts):
+        base = [tuple(map(int, x.split(":")[1:])) for x in base_spans(text)]
+        own = [(m.start(), m.end(), kind) for kind, p in (("person", pii.PERSON_PATTERN), ("number", pii.NUMBER_PATTERN)) for m in regex.finditer(p, text or "")]
+        free = [x for x in own if not any(a < x[1] and x[0] < b for a, b in base)]
+        assert sorted((c["start"], c["end"], c["kind"]) for c in rows[k]["__more"]) == sorted(free)
+        likely = [f"{c['kind']}:{c['start']}:{c['end']}" for c in rows[k]["__more"] if models[c["kind"]][0] + sum(f * w for f, w in zip(c["features"], models[c["kind"]][1])) >= 0]
+        assert sorted(found[k]) == sorted(base_spans(text) + likely)
+    caught = [any(s.startswith("person") for s in found[k]) for k in range(160)]
+    numbers = [any(s.startswith("number") for s in found[k]) for k in range(160)]
+    assert np.mean(caught[0::4] + caught[1::4]) > 0.9 and np.mean(numbers[0::4] + numbers[1::4]) > 0.9
+    assert np.mean(numbers[2::4] + numbers[3::4]) < 0.1
+
+
+def test_many_addresses_in_one_text(spark):
+    text = "x.y@z.org Anna Novak 555 " * 20_000
+    began = time.time()
+    row = pii.digests(pii.find(spark.createDataFrame([(1, text)], "doc_id bigint, text string"))).first()
+    assert row["n_email"] == 20_000 and time.time() - began < 60
+    assert pii.find(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+
+
 def test_reliabilities_tell_good_labelers():
     patterns = [((1, 1, 1), 50), ((1, 1, 0), 30), ((0, 0, -1), 60), ((0, 1, 0), 10), ((0, 0, 0), 40)]
     share, tables, post = pii.reliabilities(patterns)
