@@ -3,13 +3,15 @@
 1. Equal vectors of a label are one class; only classes are compared.
 2. A coarse quantiser (spherical k-means on a bounded sample) deals all classes to inverted lists.  Residuals are coded by
    subspace: sub-centroids are fitted on the sample as well.
-3. A vector probes every list that can hold a neighbour: for a list's centroid c and the own one c0, a neighbour within
-   distance e lies beyond their bisecting plane only if (|x-c|^2 - |x-c0|^2) / (2 |c-c0|) <= e.
+3. A vector probes the lists that can hold a neighbour: for a list's centroid c and the own one c0, a neighbour at
+   distance e lies beyond their bisecting plane only if (|x-c|^2 - |x-c0|^2) / (2 |c-c0|) is at most the part of e along
+   c-c0.  That part is e at most; for a displacement in no special direction of n dimensions it is above
+   e * certainty / sqrt(n-1) with the chance that a normal number exceeds ``certainty`` (4: 3 in 100,000), so lists
+   beyond that are not probed.  With certainty = infinity, or up to 17 dimensions, the bound is safe and the recall 1.
 4. In a list, table look-ups give the asymmetric distance to each code; with the code's known error it bounds the true
    distance, so pairs beyond the bound go and the exact cosine in double precision is computed for the rest.
 
-Both bounds are safe, so the recall of the index is 1.  Lists are dealt out in pairs of chunks; a task returns counts of
-links by vector and a spanning forest, never all pairs.
+Lists are dealt out in pairs of chunks; a task returns counts of links by vector and a spanning forest, never all pairs.
 """
 
 from __future__ import annotations
@@ -80,16 +82,17 @@ def _means(x: np.ndarray, k: int, rounds: int, random) -> np.ndarray:
     return centres
 
 
-def _in_list(quantiser, least: float, reach: float):
+def _in_list(quantiser, least: float, reach: float, kind):
     """Links between the probing rows and the listed rows of a pair of chunks of one inverted list."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         q = quantiser.value
-        x = np.frombuffer(b"".join(rows["unit"]), np.float64).reshape(len(rows), -1)
+        x = _unit(np.frombuffer(b"".join(rows["raw"]), kind).astype(np.float64).reshape(len(rows), -1))
         node, copies, listed = rows["node"].to_numpy(), rows["copies"].to_numpy(), rows["listed"].to_numpy()
+        number = pd.factorize(rows["node"])[0]
         base, asks = np.flatnonzero(listed), np.flatnonzero(~listed)
         if not len(base) or not len(asks):
-            return pd.DataFrame({"a": pd.array([], "Int64"), "b": pd.array([], "Int64"), "links": pd.array([], "Int64")})
+            return pd.DataFrame({"a": [], "b": [], "links": pd.array([], "Int64")})
         rest = x - q.coarse[int(rows["list"].iloc[0])]
         codes, error = q.encode(rest[base])
         count, forest = np.zeros(len(rows), np.int64), Forest(len(rows))
@@ -102,26 +105,27 @@ def _in_list(quantiser, least: float, reach: float):
             near = np.sqrt(far) - error <= reach + 1e-6
             for i, row in enumerate(part.tolist()):
                 right = base[near[i]]
-                right = right[node[right] != node[row]]
+                right = right[number[right] != number[row]]
                 right = right[(x[right] * x[row]).sum(1) >= least]
                 count[row] = copies[right].sum()
                 forest.link(row, right)
         hit = asks[count[asks] > 0]
-        a = node[hit].tolist() + [int(node[i]) for i, _ in forest.kept]
-        b = [None] * len(hit) + [int(node[j]) for _, j in forest.kept]
-        return pd.DataFrame({"a": pd.array(a, "Int64"), "b": pd.array(b, "Int64"), "links": count[hit].tolist() + [0] * len(forest.kept)})
+        a = node[hit].tolist() + [node[i] for i, _ in forest.kept]
+        b = [None] * len(hit) + [node[j] for _, j in forest.kept]
+        return pd.DataFrame({"a": a, "b": b, "links": count[hit].tolist() + [0] * len(forest.kept)})
 
     return run
 
 
-def find(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", least: float = 0.98, sample: int = 20_000, list_size: int = 256, most_lists: int = 4096) -> DataFrame:
+def find(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", least: float = 0.98, sample: int = 20_000, list_size: int = 256, most_lists: int = 4096, certainty: float = 4.0) -> DataFrame:
     """One row per input row: vec_id, n_links, component_id, kept.
 
     Rows of equal, non-null label link if their cosine in double precision is at least ``least``.  n_links counts other
     rows linked directly, component_id is the smallest vec_id reachable, kept says whether that is the row's own.  Null
     labels, null or zero vectors, and vectors with null, NaN or infinite components link with nothing.  Vectors of other
     lengths are compared with their like only.  Repeated rows link with each other.  A null vec_id stays null.
-    The quantiser is fitted on about ``sample`` vectors chosen by a hash; every vector is indexed.
+    The quantiser is fitted on about ``sample`` vectors chosen by a hash, with a list for each ``list_size`` vectors and
+    ``most_lists`` at most; every vector is indexed.
     """
     spark = df.sparkSession
     ship(spark)
@@ -129,56 +133,59 @@ def find(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", la
     rows = df.select(df[vec_id].alias("vec_id"), df[label].cast("string").alias("label"), df[embedding].cast("array<double>").alias("v"))
     usable = F.coalesce(F.col("label").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists("v", lambda c: c != 0), F.lit(False))
     # An equal vector of a label is one class; its number is a hash of what it holds.
-    rows = rows.withColumn("key", F.when(usable, F.sha2(F.concat_ws("|", F.length("label"), "label", F.concat_ws(",", F.transform("v", lambda c: c.cast("string")))), 256)))
+    rows = rows.withColumn("key", F.when(usable, F.unhex(F.sha2(F.concat_ws("|", F.length("label"), "label", F.concat_ws(",", F.transform("v", lambda c: c.cast("string")))), 256))))
     rows = stored(rows)
     classes = rows.where("key is not null").groupBy("key", "label").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("copies"), F.first("v").alias("v"))
-    classes = stored(classes.withColumn("node", F.xxhash64("key")).withColumn("width", F.size("v")))
-    links = spark.createDataFrame([], "a bigint, b bigint, links bigint")
+    classes = stored(classes.withColumnRenamed("key", "node").withColumn("width", F.size("v")))
+    single = df.schema[embedding].dataType.elementType.typeName() == "float"
+    links = spark.createDataFrame([], "a binary, b binary, links bigint")
     for width, total in sorted((r["width"], r["count"]) for r in classes.groupBy("width").count().collect()):
-        links = links.unionAll(_links(classes.where(F.col("width") == width), int(total), least, sample, list_size, most_lists))
+        links = links.unionAll(_links(classes.where(F.col("width") == width), int(total), least, sample, list_size, most_lists, certainty, np.dtype("<f4" if single else "<f8")))
     links = stored(links)
     counts = links.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     named = components(links.where("b is not null")).join(classes.select("node", "first_id"), "node")
     names = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
     of_node = named.join(names, "component").select("node", "component_id")
-    known = classes.select("key", "node", "first_id", "copies").join(counts, "node", "left").join(of_node, "node", "left")
-    known = known.select("key", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component_id", "first_id").alias("component_id"))
-    out = rows.select("vec_id", "key").join(known, "key", "left")
+    known = classes.select("node", "first_id", "copies").join(counts, "node", "left").join(of_node, "node", "left")
+    known = known.select(F.col("node").alias("key"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component_id", "first_id").alias("component_id"))
+    # Stored, so that Spark can split the join at a vector with many copies.
+    out = rows.select("vec_id", "key").join(stored(known), "key", "left")
     component = F.when(F.col("key").isNull(), F.col("vec_id")).otherwise(F.col("component_id")).cast(kind)
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
 
 
-def _links(classes: DataFrame, total: int, least: float, sample: int, list_size: int, most_lists: int) -> DataFrame:
+def _links(classes: DataFrame, total: int, least: float, sample: int, list_size: int, most_lists: int, certainty: float, kind) -> DataFrame:
     """(a, null, links) and (a, b, 0) rows for classes of vectors of one length."""
     spark = classes.sparkSession
-    chosen = classes.where(F.pmod("node", F.lit(1 << 20)) < min(1.0, sample / total) * (1 << 20)).select("v").limit(2 * sample).collect() or classes.select("v").limit(1).collect()
+    chosen = classes.where(F.pmod(F.xxhash64("node"), F.lit(1 << 20)) < min(1.0, sample / total) * (1 << 20)).select("v").limit(2 * sample).collect() or classes.select("v").limit(1).collect()
     x = np.array(sorted(tuple(r["v"]) for r in chosen), dtype=np.float64)
     quantiser = spark.sparkContext.broadcast(Quantiser(_unit(x), max(1, min(most_lists, total // list_size, len(x)))))
     reach = float(np.sqrt(max(0.0, 2 - 2 * least)))
+    across = reach * min(1.0, certainty / max(1, x.shape[1] - 1) ** 0.5)
 
     def deal(batches):
         q = quantiser.value
-        for batch in batches:
-            unit = _unit(np.array(batch.column(3).to_pylist(), np.float64).reshape(batch.num_rows, -1)) if batch.num_rows else np.zeros((0, 1))
-            if not batch.num_rows:
-                continue
-            own, d = q.assign(unit)
-            row, to = q.probes(own, d, reach)
-            at = np.concatenate([np.arange(len(own)), row])
-            lists = np.concatenate([own, to])
-            listed = np.concatenate([np.ones(len(own), bool), np.zeros(len(row), bool)])
-            raw = [u.tobytes() for u in unit]
-            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(at)) for c in batch.columns[:3]), pa.array(lists, pa.int32()), pa.array(listed, pa.bool_()), pa.array([raw[i] for i in at.tolist()], pa.binary())], names=["node", "label", "copies", "list", "listed", "unit"])
-
-    dealt = stored(map_batches(classes.select("node", "label", "copies", "v"), deal, "node bigint, label string, copies bigint, list int, listed boolean, unit binary"))
+        for whole in batches:
+            for start in range(0, whole.num_rows, 1000):
+                batch = whole.slice(start, 1000)
+                x = np.array(batch.column(3).to_pylist(), np.float64).reshape(batch.num_rows, -1)
+                own, d = q.assign(_unit(x))
+                row, to = q.probes(own, d, across)
+                at = np.concatenate([np.arange(len(own)), row])
+                lists = np.concatenate([own, to])
+                listed = np.concatenate([np.ones(len(own), bool), np.zeros(len(row), bool)])
+                raw = pa.array([v.tobytes() for v in x.astype(kind)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(c.take(pa.array(at)) for c in batch.columns[:3]), pa.array(lists, pa.int32()), pa.array(listed, pa.bool_()), raw.take(pa.array(at))], names=["node", "label", "copies", "list", "listed", "raw"])
+
+    dealt = stored(map_batches(classes.select("node", "label", "copies", "v"), deal, "node binary, label string, copies bigint, list int, listed boolean, raw binary"))
     group = ["label", "list"]
     sizes = dealt.groupBy(*group).agg(F.ceil(F.count_if("listed") / CHUNK).cast("int").alias("bases"), F.ceil(F.count_if(~F.col("listed")) / CHUNK).cast("int").alias("asks"))
     spread = dealt.join(sizes, group)
     hash_part = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     # A listed row goes to every chunk of probing rows, and the other way round.
     pairs = F.when(F.col("listed"), F.transform(F.sequence(F.lit(0), F.col("asks") - 1), lambda i: F.struct(hash_part("bases").alias("base"), i.alias("ask")))).otherwise(F.transform(F.sequence(F.lit(0), F.col("bases") - 1), lambda i: F.struct(i.alias("base"), hash_part("asks").alias("ask"))))
-    placed = spread.where("bases > 0 and asks > 0").withColumn("pair", F.explode(pairs)).select(*group, "pair.base", "pair.ask", "node", "copies", "listed", "unit")
-    return placed.groupBy(*group, "base", "ask").applyInPandas(_in_list(quantiser, least, reach), "a bigint, b bigint, links bigint")
+    placed = spread.where("bases > 0 and asks > 0").withColumn("pair", F.explode(pairs)).select(*group, "pair.base", "pair.ask", "node", "copies", "listed", "raw")
+    return placed.groupBy(*group, "base", "ask").applyInPandas(_in_list(quantiser, least, reach, kind), "a binary, b binary, links bigint")
 
 
 def _unit(x: np.ndarray) -> np.ndarray:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from .common import stored
+from .common import discard, stored
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
@@ -22,11 +22,13 @@ def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
             break
         before = now
         both = links.select(F.col("u").alias("x"), F.col("v").alias("y")).unionAll(links.select(F.col("v").alias("x"), F.col("u").alias("y")))
-        least = both.groupBy("x").agg(F.least("x", F.min("y")).alias("m"))
+        # Stored, so that Spark can split the join at a node with many links.
+        least = stored(both.groupBy("x").agg(F.least("x", F.min("y")).alias("m")))
         large = both.join(least, "x").where("y > x").select(F.col("y").alias("u"), F.col("m").alias("v")).distinct()
         own = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(own, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(own.select("u", F.col("m").alias("v")))
-        links = stored(small.distinct())
+        old, links = links, stored(small.distinct())
+        discard(old, least)
     else:
         raise RuntimeError("components did not settle")
     return links.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

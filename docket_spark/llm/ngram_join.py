@@ -263,6 +263,7 @@ def join(df: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: f
     of_node = named.select("node", "component").join(names, "component").select("node", "class_id")
     known = classes.select("node", "copy_id", "copies").join(links, "node", "left").join(of_node, "node", "left")
     known = known.select("node", "copy_id", F.coalesce("class_id", "copy_id").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    own = rows.select("doc_id", "node").join(known, "node", "left")
+    # Stored, so that Spark can split the join at a text with many copies.
+    own = rows.select("doc_id", "node").join(stored(known), "node", "left")
     alone = F.col("node").isNull()
     return own.select("doc_id", *(F.when(alone, F.col("doc_id")).otherwise(F.col(c)).alias(c) for c in ("copy_id", "class_id")), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))

@@ -1,10 +1,13 @@
 """Secret scans with a random forest that removes false positives, by DataFrame functions only.
 
 A candidate is a value of six or more signs assigned to a secret's name, the password of a connection string, a key in an
-issuer's format, or a run of 16 or more key characters with a digit.  Rules of high precision label some candidates (formats
-of known issuers, values assigned to a secret's name; card numbers, placeholders, checksums); a random forest is trained
-on the labelled ones, at most ``sample`` of a class, and decides all.  Its features are length, character transitions,
-dictionary coverage, path and neighbouring words.
+issuer's format, or a run of 16 or more key characters with a digit.  A random forest decides which are secrets by their
+length, character transitions, shares of kinds of characters, dictionary coverage, path and neighbouring words.
+
+It is trained on labelled findings.  Without a table of them, ``labelled`` makes one by evidence that the forest does not
+see: issuers' formats, the syntax of assignments and connection strings, check digits of cards, forms of identifiers,
+placeholders, calls and references of code, and words that name checksums right before a value.  Candidates without such
+evidence have no label; the forest decides them by what they share with the others.
 
 The trained trees become one column expression, so scanning is a projection: whole texts, no shuffle, no driver data.
 """
@@ -15,7 +18,7 @@ from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import settled, stored
+from .common import running, settled, stored
 
 SECRET_WORDS = r"(?i)(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|private[_-]?key|credential|auth)"
 #: The password's place in a connection string.
@@ -42,7 +45,13 @@ PLAIN = r"^(?:[A-Za-z_]+(?:(?:[._:-]|->)+[A-Za-z_]*)*(?:[(\[].*)?|[$%<{(@].*|[A-
 PLACEHOLDER = r"(?i)(?:example|sample|dummy|changeme|your|xxxx|placeholder|test|foobar|0123456|abcdef0|1234567890)|(.)\1{5}"
 TEST_PATH = r"(?i)(?:^|[/_.-])(?:test|tests|spec|example|examples|sample|fixture|fixtures|doc|docs|mock)(?:[/_.-]|$)"
 DICTIONARY = "the|and|ing|ion|for|with|user|name|data|file|image|http|https|www|com|org|html|static|assets|version|release|build|index|page|title|default|config|server|client|public|module|package|component|service|request|response|content|style|color|width|height|function|return|value|number|string"
-FEATURES = ["length", "transitions", "digit_share", "upper_share", "vowel_share", "distinct_share", "hex", "digits_only", "dictionary", "slashes", "test_path", "assigned", "secret_word", "harmless_word", "issued", "placeholder", "signs", "plain", "quoted", "connection"]
+#: What the forest sees.
+FEATURES = ["length", "transitions", "digit_share", "lower_share", "upper_share", "vowel_share", "distinct_share", "sign_share", "longest_word", "dictionary", "path_depth", "test_path", "code_path", "secret_near", "harmless_near", "words_before", "ends_before", "quoted"]
+#: What labels are made of; none of it is a feature.
+EVIDENCE = ["issued", "assigned", "connection", "harmless_word", "placeholder", "card", "identifier", "plain", "words"]
+NEAR_HARMLESS = r"(?i)\b(?:sha|md5|crc|checksum|digest|hash|commit|revision|rev|etag|uuid|guid|isbn|order|invoice|ticket|version|build|card|image|file)"
+CODE_PATH = r"(?i)\.(?:py|js|ts|java|go|rb|php|c|cc|cpp|cs|rs|sh|ya?ml|json|toml|ini|env|cfg|conf|properties)$"
+IDENTIFIER = r"^(?:[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}|[0-9]{4}-[0-9]{2}-[0-9]{2}.*|[0-9-]+|[A-Za-z+/_-]+(?:/[A-Za-z0-9+_-]+){2,})$"
 MASK = "<SECRET>"
 
 
@@ -50,58 +59,85 @@ def features(value: Column, before: Column, path: Column) -> Column:
     n = F.length(value).cast("double")
     share = lambda pattern: F.length(F.regexp_replace(value, pattern, "")) / n  # noqa: E731  what is left
     yes = lambda c: c.cast("double")
-    return F.array(
-        n,
-        F.length(F.regexp_replace(value, "[a-z]+|[A-Z]+|[0-9]+|[^A-Za-z0-9]+", "x")) / n,
-        share("[^0-9]"),
-        share("[^A-Z]"),
-        share("[^aeiouAEIOU]"),
-        F.size(F.array_distinct(F.split(value, ""))) / n,
-        yes(value.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")),
-        yes(value.rlike("^[0-9]+$")),
-        1 - F.length(F.regexp_replace(F.lower(value), DICTIONARY, "")) / n,
-        F.length(F.regexp_replace(value, "[^/]", "")).cast("double"),
-        yes(path.rlike(TEST_PATH)),
-        yes(before.rlike(ASSIGNED)),
-        yes(before.rlike(SECRET_WORDS)),
-        yes(before.rlike(HARMLESS_WORDS)),
-        yes(value.rlike(ISSUED)),
-        yes(value.rlike(PLACEHOLDER)),
-        share("[A-Za-z0-9+/_=-]"),
-        yes(value.rlike(PLAIN)),
-        yes(before.rlike("[\"'`]$")),
-        yes(before.rlike(CONNECTION + "$")),
-    )
-
-
-def rule_label(f: Column) -> Column:
-    """1.0 for a secret, 0.0 for a harmless value, null where the rules don't know."""
-    at = lambda name: f[FEATURES.index(name)]
-    harmless = (at("placeholder") == 1) | (at("harmless_word") == 1) | (at("dictionary") > 0.6) | (at("slashes") > 2) | ((at("digits_only") == 1) & (at("assigned") == 0))
-    literal = (at("plain") == 0) | (at("connection") == 1)
-    plain = (at("plain") == 1) & (at("quoted") == 0) & (at("connection") == 0) & (at("issued") == 0) & (at("assigned") == 1) & (at("digit_share") == 0)
-    return F.when(harmless | plain, 0.0).when((at("issued") == 1) | ((at("assigned") == 1) & literal & (at("digits_only") == 0) & (at("distinct_share") > 0.15)), 1.0)
-
-
-def candidates(df: DataFrame, text: str, keep: list[str], path: str | None) -> DataFrame:
-    """Adds __gaps, __found (texts between and of the candidates) and __f (features of each)."""
+    made = {
+        "length": n,
+        "transitions": F.length(F.regexp_replace(value, "[a-z]+|[A-Z]+|[0-9]+|[^A-Za-z0-9]+", "x")) / n,
+        "digit_share": share("[^0-9]"),
+        "lower_share": share("[^a-z]"),
+        "upper_share": share("[^A-Z]"),
+        "vowel_share": share("[^aeiouAEIOU]"),
+        "distinct_share": F.size(F.array_distinct(F.split(value, ""))) / n,
+        "sign_share": share("[A-Za-z0-9]"),
+        "longest_word": F.coalesce(F.array_max(F.transform(F.split(value, "[^A-Za-z]+"), lambda w: F.length(w))), F.lit(0)) / n,
+        "dictionary": 1 - F.length(F.regexp_replace(F.lower(value), DICTIONARY, "")) / n,
+        "path_depth": F.length(F.regexp_replace(path, "[^/]", "")).cast("double"),
+        "test_path": yes(path.rlike(TEST_PATH)),
+        "code_path": yes(path.rlike(CODE_PATH)),
+        "secret_near": yes(before.rlike(SECRET_WORDS)),
+        "harmless_near": yes(before.rlike(NEAR_HARMLESS)),
+        "words_before": F.size(F.split(F.trim(before), "[^A-Za-z]+")).cast("double"),
+        "ends_before": yes(before.rlike("[.!?,;] *$")),
+        "quoted": yes(before.rlike("[\"'`]$")),
+    }
+    return F.array(*(made[k] for k in FEATURES))
+
+
+def evidence(value: Column, before: Column) -> Column:
+    digits = F.regexp_extract_all(F.reverse(value), F.lit("[0-9]"), F.lit(0))
+    doubled = F.transform(digits, lambda d, i: d.cast("int") * (1 + i % 2) - F.when((i % 2 == 1) & (d.cast("int") > 4), 9).otherwise(0))
+    made = {
+        "issued": value.rlike(ISSUED),
+        "assigned": before.rlike(ASSIGNED),
+        "connection": before.rlike(CONNECTION + "$"),
+        "harmless_word": before.rlike(HARMLESS_WORDS),
+        "placeholder": value.rlike(PLACEHOLDER),
+        "card": value.rlike("^[0-9]{12,19}$") & (F.aggregate(doubled, F.lit(0), lambda a, d: a + d) % 10 == 0),
+        "identifier": value.rlike(IDENTIFIER),
+        "plain": value.rlike(PLAIN) & ~(before.rlike("[\"'`]$") & value.rlike("[0-9]")),
+        "words": F.length(F.regexp_replace(F.lower(value), DICTIONARY, "")) < 0.4 * F.length(value),
+    }
+    return F.array(*(F.coalesce(made[k], F.lit(False)) for k in EVIDENCE))
+
+
+def rule_label(e: Column) -> Column:
+    """1.0 for a secret, 0.0 for a harmless value, null where the evidence does not tell."""
+    at = lambda name: e[EVIDENCE.index(name)]
+    harmless = at("placeholder") | at("harmless_word") | at("card") | at("words") | (at("identifier") & ~at("assigned") & ~at("connection")) | (at("plain") & ~at("connection") & ~at("issued"))
+    return F.when(harmless, 0.0).when(at("issued") | at("connection") | (at("assigned") & ~at("identifier")), 1.0)
+
+
+def candidates(df: DataFrame, text: str, keep: list[str], path: str | None, with_evidence: bool) -> DataFrame:
+    """Adds __gaps, __found (texts between and of the candidates), __f (features of each) and __e (evidence of each)."""
     body = F.coalesce(F.col(text), F.lit(""))
     none = F.array().cast("array<string>")
     gate = body.rlike(GATE)
     cut = settled(df, keep, {"__found": F.when(gate, F.regexp_extract_all(body, F.lit(CANDIDATE), F.lit(0))).otherwise(none), "__gaps": F.when(gate, F.split(body, CANDIDATE, -1)).otherwise(F.array(body)), "__path": F.coalesce(F.col(path).cast("string"), F.lit("")) if path else F.lit("")})
-    pairs = F.arrays_zip("__found", F.slice("__gaps", 1, F.size("__found")))
-    near = lambda z: F.regexp_replace(F.right(z["1"], F.lit(60)), r"\s+", " ")
-    return settled(cut, [*keep, "__found", "__gaps"], {"__f": F.transform(pairs, lambda z: features(z["__found"], near(z), F.col("__path")))})
+    near = F.transform("__gaps", lambda g: F.regexp_replace(F.right(g, F.lit(60)), r"\s+", " "))
+    cut = settled(cut, [*keep, "__found", "__gaps", "__path"], {"__near": near})
+    made = {"__f": F.zip_with("__found", F.slice("__near", 1, F.size("__found")), lambda x, b: features(x, b, F.col("__path")))}
+    if with_evidence:
+        made["__e"] = F.zip_with("__found", F.slice("__near", 1, F.size("__found")), evidence)
+    return settled(cut, [*keep, "__found", "__gaps"], made)
 
 
 def labelled(df: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:
-    """(features, label) of the candidates that the rules label; a table of this form trains the forest."""
-    found = candidates(df.select(text, *([path] if path and path != text else [])), text, [], path)
-    each = found.select(F.explode("__f").alias("features"))
-    return each.withColumn("label", rule_label(F.col("features"))).where("label is not null")
+    """(features, label) of the candidates that the evidence labels; a table of this form trains the forest."""
+    found = candidates(df.select(text, *([path] if path and path != text else [])), text, [], path, True)
+    each = found.select(F.explode(F.arrays_zip(F.col("__f").alias("f"), F.col("__e").alias("e"))).alias("x"))
+    return each.select(F.col("x.f").alias("features"), rule_label(F.col("x.e")).alias("label")).where("label is not null")
+
+
+def precision_and_recall(findings: DataFrame, least: float = 0.5, **options) -> tuple[float, float, int]:
+    """Of a forest trained on four fifths of the labelled findings, measured on the others (by a hash of the features)."""
+    findings = stored(findings)
+    apart = F.pmod(F.xxhash64("features", F.lit(5)), F.lit(5)) == 0
+    forest = train(findings.where(~apart), **options)
+    said = probability(forest, F.col("features")) >= least
+    r = findings.where(apart).agg(F.count_if(said & (F.col("label") == 1)).alias("both"), F.count_if(said).alias("said"), F.count_if(F.col("label") == 1).alias("true"), F.count("*").alias("n")).first()
+    return r["both"] / max(1, r["said"]), r["both"] / max(1, r["true"]), r["n"]
 
 
-def train(findings: DataFrame, sample: int = 20_000, trees: int = 20, depth: int = 5, seed: int = 7) -> list | None:
+def train(findings: DataFrame, sample: int = 20_000, trees: int = 24, depth: int = 6, seed: int = 7) -> list | None:
     """The forest as nested tuples (feature, threshold, left, right) with P(secret) at the leaves; None without both classes.
 
     At most about ``sample`` findings of a class are used, chosen by a hash; equal features count together.
@@ -143,28 +179,23 @@ def probability(forest: list, f: Column) -> Column:
 def scan(df: DataFrame, forest: list | None, text: str = "text", keep: tuple[str, ...] = ("doc_id",), path: str | None = None, least: float = 0.5, masked: str | None = None) -> DataFrame:
     """Per input row the ``keep`` columns, n_candidates and findings: array<struct<start, end, probability>>, in code points.
 
-    Without a forest the rules decide.  With ``masked``, a column of that name has the text with each secret replaced.
+    Without a forest the labelling evidence decides.  With ``masked``, a column of that name has the text with each secret replaced.
     Null and empty texts have no findings (and stay as they are).  Repeated rows stay; other columns are dropped;
     ``keep`` must not hold the new names.
     """
-    new = {"n_candidates", "findings", "__body", "__found", "__gaps", "__f", "__p", "__path"} | ({masked} if masked else set())
+    new = {"n_candidates", "findings", "__body", "__found", "__gaps", "__near", "__f", "__e", "__p", "__len", "__end", "__path"} | ({masked} if masked else set())
     if clash := set(keep) & new:
         raise ValueError(f"clashing names: {sorted(clash)}")
     extra = [F.col(path).alias("__path_in")] if path else []
-    work = candidates(df.select(*keep, F.col(text).alias("__body"), *extra), "__body", [*keep, "__body"], "__path_in" if path else None)
-    judge = (lambda f: probability(forest, f)) if forest else (lambda f: F.coalesce(rule_label(f), F.lit(0.0)))
-    work = settled(work, [*keep, "__body", "__found", "__gaps"], {"__p": F.transform("__f", judge)})
+    work = candidates(df.select(*keep, F.col(text).alias("__body"), *extra), "__body", [*keep, "__body"], "__path_in" if path else None, not forest)
+    judged = F.transform("__f", lambda f: probability(forest, f)) if forest else F.transform("__e", lambda e: F.coalesce(rule_label(e), F.lit(0.0)))
+    lengths = F.zip_with("__found", F.slice("__gaps", 1, F.size("__found")), lambda x, g: (F.length(x) + F.length(g)).cast("bigint"))
+    work = settled(work, [*keep, "__body", "__found", "__gaps"], {"__p": judged, "__len": lengths})
+    work = settled(work, [*keep, "__body", "__found", "__gaps", "__p"], {"__end": running(F.col("__len"))})
     pairs = F.arrays_zip("__found", F.slice("__gaps", 1, F.size("__found")), "__p")
-    empty = F.array().cast("array<struct<start:bigint,end:bigint,probability:double>>")
-
-    def step(acc, z):
-        start = acc["at"] + F.length(z["1"])
-        end = start + F.length(z["__found"])
-        hit = F.array(F.struct(start.alias("start"), end.alias("end"), z["__p"].alias("probability")))
-        return F.struct(end.alias("at"), F.when(z["__p"] >= least, F.concat(acc["out"], hit)).otherwise(acc["out"]).alias("out"))
-
-    zero = F.struct(F.lit(0).cast("bigint").alias("at"), empty.alias("out"))
-    columns = [F.size("__found").cast("bigint").alias("n_candidates"), F.aggregate(pairs, zero, step, lambda acc: acc["out"]).alias("findings")]
+    places = F.filter(F.arrays_zip("__found", "__end", "__p"), lambda z: z["__p"] >= least)
+    findings = F.transform(places, lambda z: F.struct((z["__end"] - F.length(z["__found"])).alias("start"), z["__end"].alias("end"), z["__p"].alias("probability")))
+    columns = [F.size("__found").cast("bigint").alias("n_candidates"), findings.alias("findings")]
     if masked:
         rebuilt = F.concat(F.array_join(F.transform(pairs, lambda z: F.concat(z["1"], F.when(z["__p"] >= least, F.lit(MASK)).otherwise(z["__found"]))), ""), F.element_at("__gaps", -1))
         columns.append(F.when(F.exists("__p", lambda p: p >= least), rebuilt).otherwise(F.col("__body")).alias(masked))

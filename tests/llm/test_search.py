@@ -161,9 +161,20 @@ def test_embeddings(spark, monkeypatch):
     k = len(rows)
     rows += [(k, rows[0][1], 0), (k + 1, [2 * x for x in rows[0][1]], 0), (k + 2, None, 0), (k + 3, [0.0] * 16, 0), (k + 4, [float("nan")] + [1.0] * 15, 0), (k + 5, rows[0][1], None), (k + 6, [1.0, 2.0], 0), (k + 7, [1.0, 2.0], 0), (k + 8, [None] + [1.0] * 15, 0), (k + 9, [], 0)]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").selectExpr("*", "1 AS key", "2 AS node")
-    got = V.find(df, list_size=20).orderBy("vec_id").collect()
+    got = V.find(df, list_size=20, certainty=float("inf")).orderBy("vec_id").collect()
     links, root = brute_vectors(rows, 0.98)
     assert sum(links) > 200
     assert [r["n_links"] for r in got] == links
     assert [r["component_id"] for r in got] == root and [r["kept"] for r in got] == [x == i for i, x in enumerate(root)]
     assert V.find(df.where("false")).count() == 0
+
+
+def test_recall_of_the_probed_lists(spark):
+    random_ = np.random.default_rng(4)
+    base = random_.normal(size=(1500, 64))
+    rows = [(k, v.astype(np.float32).tolist(), 0) for k, v in enumerate(np.concatenate([base, base[:700] + random_.normal(size=(700, 64)) * 0.18]))]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int")
+    links, root = brute_vectors(rows, 0.98)
+    got = {r["vec_id"]: r for r in V.find(df, list_size=20).collect()}
+    assert sum(links) > 800 and sum(got[k]["n_links"] for k in got) >= 0.99 * sum(links)
+    assert all(got[k]["n_links"] <= links[k] for k in got) and np.mean([got[k]["component_id"] == root[k] for k in got]) > 0.99
