@@ -228,14 +228,18 @@ def discount(ones: float, twos: float) -> float:
     return float(np.clip(ones / (ones + 2 * twos), 0.05, 0.95)) if ones else 0.5
 
 
-def codes_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def codes_of(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Trigram codes of all words with their blanks, and where each word begins."""
-    flat = np.frombuffer(b"".join(bytes((PAD, PAD)) + w + bytes((PAD,)) for w in words), np.uint8).astype(np.int64)
-    n = np.fromiter((len(w) + 3 for w in words), np.int64, len(words))
+    at = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
+    own = np.diff(at)
+    n = own + 3
+    first = np.cumsum(n) - n
+    flat = np.full(int(n.sum()), PAD, np.int64)
+    flat[np.arange(len(data)) + np.repeat(first + 2 - (at[:-1] - at[0]), own)] = data
     code = np.zeros(len(flat), np.int64)
     code[2:] = flat[:-2] << 16 | flat[1:-1] << 8 | flat[2:]
     keep = np.ones(len(flat), bool)
-    first = np.cumsum(n) - n
     keep[first] = keep[first + 1] = False
     return code[keep], np.cumsum(n - 2) - (n - 2)
 
@@ -396,10 +400,10 @@ def pair_keys(u: np.ndarray, w: np.ndarray) -> np.ndarray:
 class WindowPairs:
     """The distinct pairs of a window, dealt out to buckets; the order is the same each time."""
 
-    def __init__(self, tokens: np.ndarray, keys: np.ndarray, dictionary: Dictionary, buckets: int):
-        self.codes = dictionary.codes(keys)
-        n = np.int64(len(keys))
-        before = np.concatenate([np.flatnonzero(keys == END_KEY), tokens[:-1]]).astype(np.int64)
+    def __init__(self, tokens: np.ndarray, codes: np.ndarray, buckets: int):
+        self.codes = codes
+        n = np.int64(len(codes))
+        before = np.concatenate([tokens[-1:], tokens[:-1]]).astype(np.int64)  # the last token is an end, too
         self.pairs, self.at = np.unique(before * n + tokens, return_inverse=True)
         self.u, self.w = self.pairs // n, self.pairs % n
         key = pair_keys(self.codes[self.u], self.codes[self.w])
@@ -415,12 +419,24 @@ def window_rows(batches, lists: tuple[str, ...]):
             yield {c: batch.column(c).slice(k, 1).flatten() if c in lists else batch.column(c)[k].as_py() for c in batch.schema.names}
 
 
-def _send_pairs(dictionary, buckets: int):
+def _with_codes(dictionary):
+    """Puts codes in place of keys and leaves the words."""
+
     def run(batches):
         for batch in batches:
-            for r in window_rows([batch], ("held", "sizes", "keys")):
-                tokens, keys = unpacked(r["tokens"], np.uint32), r["keys"].to_numpy().view(np.uint64)
-                w = WindowPairs(tokens, keys, dictionary.value, buckets)
+            for k in range(batch.num_rows):
+                own = {c: batch.column(c).slice(k, 1) for c in ("window", "ids", "held", "sizes", "tokens")}
+                codes = dictionary.value.codes(batch.column("keys").slice(k, 1).flatten().to_numpy().view(np.uint64))
+                yield pa.RecordBatch.from_arrays([*own.values(), pa.array([packed(codes)], pa.binary())], names=[*own, "codes"])
+
+    return run
+
+
+def _send_pairs(buckets: int):
+    def run(batches):
+        for batch in batches:
+            for r in window_rows([batch], ("held", "sizes")):
+                w = WindowPairs(unpacked(r["tokens"], np.uint32), unpacked(r["codes"], np.uint64), buckets)
                 learn = np.repeat(~r["held"].to_numpy(zero_copy_only=False), r["sizes"].to_numpy())
                 c = np.bincount(w.at, learn, len(w.pairs)).astype(np.uint32)
                 full = np.flatnonzero(np.diff(w.cuts)).tolist()
@@ -509,7 +525,7 @@ def _seat_pairs(sent, number: int, d: float, strength: float, keep: bool):
     return run
 
 
-def _base_logs(words: list[bytes], table: Spelling) -> np.ndarray:
+def _base_logs(words: pa.Array, table: Spelling) -> np.ndarray:
     code, first = codes_of(words)
     return np.add.reduceat(table.log_p(code), first, dtype=np.float64)
 
@@ -520,10 +536,9 @@ class WordLevel:
     def __init__(self, d: float, strength: float, tables: int, customers: int):
         self.d, self.strength, self.tables, self.customers = d, strength, tables, customers
 
-    def seat(self, words, c, table: Spelling, number: int) -> np.ndarray:
+    def seat(self, codes: np.ndarray, words: pa.Array, c: np.ndarray, table: Spelling, number: int) -> np.ndarray:
         """Tables; the draw depends on the word and the sweep only."""
-        keys = np.array([int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little") for w in words], np.uint64)
-        return draw_tables(c, np.maximum(self.tables - 1, 0) + 0 * c, _base_logs(words, table), self.d, self.strength, log_stirling(self.d), keys, number)
+        return draw_tables(c, np.maximum(self.tables - 1, 0) + 0 * c, _base_logs(words, table), self.d, self.strength, log_stirling(self.d), mixed(codes.view(np.uint64)), number)
 
 
 def _count_trigrams(level: WordLevel, table, number: int):
@@ -531,10 +546,10 @@ def _count_trigrams(level: WordLevel, table, number: int):
 
     def run(batches):
         for batch in batches:
-            words, c = batch.column(0).to_pylist(), batch.column(1).to_numpy(zero_copy_only=False)
-            if not words:
+            if not batch.num_rows:
                 continue
-            t = level.seat(words, c, table.value, number)
+            codes, words, c = batch.column(0).to_numpy(), batch.column(1), batch.column(2).to_numpy()
+            t = level.seat(codes, words, c, table.value, number)
             code, first = codes_of(words)
             n = np.diff(np.append(first, len(code)))
             found, at = np.unique(code, return_inverse=True)
@@ -549,10 +564,10 @@ def _rate(level: WordLevel, old, new, tables: int, number: int):
 
     def run(batches):
         for batch in batches:
-            words, c = batch.column(1).to_pylist(), batch.column(2).to_numpy(zero_copy_only=False)
-            if not words:
+            if not batch.num_rows:
                 continue
-            t = level.seat(words, c, old.value, number) if tables else 0 * c
+            codes, words, c = batch.column(0).to_numpy(), batch.column(1), batch.column(2).to_numpy()
+            t = level.seat(codes, words, c, old.value, number) if tables else 0 * c
             own = np.log(np.maximum(c - level.d * t, 1e-300))
             base = np.log(level.strength + level.d * tables) + _base_logs(words, new.value)
             log_p = np.where(c > 0, np.logaddexp(own, base), base) - np.log(level.strength + level.customers)
@@ -575,14 +590,14 @@ def _answer(d: float, samples: int):
     return run
 
 
-def _score(dictionary, sent, buckets: int, d: float, strength: float, samples: int, total: int, kinds: int, id_kind: pa.DataType):
+def _score(sent, buckets: int, d: float, strength: float, samples: int, total: int, kinds: int, id_kind: pa.DataType):
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
     def run(window: pa.Table, rare: pa.Table) -> pa.Table:
         out = []
-        for r in window_rows(window.to_batches(), ("ids", "held", "sizes", "keys")):
-            tokens, keys = unpacked(r["tokens"], np.uint32), r["keys"].to_numpy().view(np.uint64)
-            pairs = WindowPairs(tokens, keys, dictionary.value, buckets)
+        for r in window_rows(window.to_batches(), ("ids", "held", "sizes")):
+            tokens = unpacked(r["tokens"], np.uint32)
+            pairs = WindowPairs(tokens, unpacked(r["codes"], np.uint64), buckets)
             added = np.zeros(len(pairs.pairs))
             for x in r["answers"]:
                 added[pairs.order[pairs.cuts[x["bucket"]] : pairs.cuts[x["bucket"] + 1]]] = unpacked(x["added"], np.float32)
@@ -648,10 +663,12 @@ def score(df: DataFrame, held_out: Column, text: str = "text", doc_id: str = "do
     dictionary = sc.broadcast(Dictionary(keys[np.lexsort((keys, -n))]))
     size = dictionary.value.n
     coded = map_batches(words, _with_code(dictionary), "code bigint, word binary, c bigint")
+    texts = stored(map_batches(whole, _with_codes(dictionary), f"window bigint, ids array<{kind}>, held array<boolean>, sizes array<int>, tokens binary, codes binary"))
+    discard(whole)
 
     # Pairs.
     buckets = max(1, -(-tokens // bucket_tokens))
-    merged = map_batches(whole.select("window", "held", "sizes", "tokens", "keys"), _send_pairs(dictionary, buckets), "bucket int, window bigint, u binary, w binary, c binary").groupBy("bucket").applyInArrow(_merge(size), MERGED)
+    merged = map_batches(texts.select("window", "held", "sizes", "tokens", "codes"), _send_pairs(buckets), "bucket int, window bigint, u binary, w binary, c binary").groupBy("bucket").applyInArrow(_merge(size), MERGED)
     merged = stored(merged)
     counts = merged.agg(F.sum("ones"), F.sum("twos")).first()
     d = discount(counts[0] or 0, counts[1] or 0)
@@ -660,8 +677,10 @@ def score(df: DataFrame, held_out: Column, text: str = "text", doc_id: str = "do
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint")
     static = stored(coded.join(first, "code", "left").select("code", "word", "c", zero("tu").alias("tables"), zero("tw").alias("customers")))
     asks = stored(flat_lists(merged, ["rare"], ["bucket", "code"], "bucket int, code bigint"))
-    discard(words)
-    del counted, words, coded, first
+    names = [x.split()[0] for x in SEATS.split(", ")]
+    seats, slots = stored(merged.select(names)), stored(merged.select("bucket", "windows", "slots"))
+    discard(words, merged)
+    del counted, words, coded, first, merged
     _let_go(spark)
 
     spread = static.agg(F.count_if(F.col("customers") == 1), F.count_if(F.col("customers") == 2), F.count_if(F.col("customers") > 0)).first()
@@ -676,7 +695,7 @@ def score(df: DataFrame, held_out: Column, text: str = "text", doc_id: str = "do
         own = WordLevel(word_d, strength, tables, customers)
         old = spelling
         if total:
-            trigrams = stored(map_batches(now.where("customers > 0").select("word", "customers"), _count_trigrams(own, old, number), "code bigint, c bigint").groupBy("code").agg(F.sum("c").alias("c")))
+            trigrams = stored(map_batches(now.where("customers > 0").select("code", "word", "customers"), _count_trigrams(own, old, number), "code bigint, c bigint").groupBy("code").agg(F.sum("c").alias("c")))
             tables = int(trigrams.where(F.col("code").bitwiseAND(255) == PAD).agg(F.sum("c")).first()[0])  # a word ends once
             table, root = spelling_table(trigrams, root, number)
             discard(trigrams)
@@ -689,17 +708,15 @@ def score(df: DataFrame, held_out: Column, text: str = "text", doc_id: str = "do
         order = np.argsort(found.column("code").to_numpy())
         return [found.column(c).to_numpy()[order] for c in columns]
 
-    values, done = rated(static, 0), None
-    seats, samples = merged.select(*(x.split()[0] for x in SEATS.split(", "))), []
+    values, done, samples = rated(static, 0), seats, []
     for number in range(1, sweeps + 1 if total else 1):
         sent = sc.broadcast(of_frequent(values, ["log_p", "tables"]))
         rare = asks.join(values, "code")
         seat = _seat_pairs(sent, number, d, strength, number > burn_in)
-        before, done = [values, *([done] if done else [])], stored(seats.groupBy("bucket").cogroup(rare.groupBy("bucket")).applyInArrow(seat, SEATS + ", codes array<bigint>, tu array<int>, tw array<int>"))
+        before, done = [values, done], stored(done.select(names).groupBy("bucket").cogroup(rare.groupBy("bucket")).applyInArrow(seat, SEATS + ", codes array<bigint>, tu array<int>, tw array<int>"))
         more = flat_lists(done, ["codes", "tu", "tw"], ["code", "tu", "tw"], fields).groupBy("code").agg(F.sum("tu").alias("tu"), F.sum("tw").alias("tw"))
         now = stored(static.join(more, "code", "left").select("code", "word", (F.col("tables") + zero("tu")).alias("tables"), (F.col("customers") + zero("tw")).alias("customers")))
         values = rated(now, number)
-        seats = done.select(*(x.split()[0] for x in SEATS.split(", ")))
         discard(now, *(x for x in before if x not in samples))
         if number > burn_in:
             samples.append(values)
@@ -712,16 +729,18 @@ def score(df: DataFrame, held_out: Column, text: str = "text", doc_id: str = "do
     for k, v in enumerate(samples):
         final = final.join(v.select("code", F.col("log_p").alias(f"log_p_{k}"), F.col("tables").alias(f"tables_{k}")), "code")
     final = stored(final)
-    discard(static, *samples)
+    discard(static, asks, *samples)
+    del asks, static, values
+    _let_go(spark)
     columns = of_frequent(final, ["c", *(f"{x}_{k}" for x in ("log_p", "tables") for k in range(len(samples)))])
     sent = sc.broadcast((columns[0], columns[1 : 1 + len(samples)], columns[1 + len(samples) :]))
-    wanted = map_batches(whole.select("window", "keys"), _rare_of(dictionary), "window bigint, code bigint")
+    wanted = map_batches(texts.select("window", "codes"), _rare_of(size), "window bigint, code bigint")
     rare = wanted.join(final, "code")
-    slots = merged.select("bucket", "windows", "slots").join(seats.select("bucket", "c", "kept"), "bucket")
+    slots = slots.join(done.select("bucket", "c", "kept"), "bucket")
     answers = map_batches(slots, _answer(d, max(1, sweeps - burn_in)), "window bigint, bucket int, added binary").groupBy("window").agg(F.collect_list(F.struct("bucket", "added")).alias("answers"))
-    full = whole.select("window", "ids", "held", "sizes", "tokens", "keys").join(answers, "window")
-    id_kind = whole.select(F.col("ids")[0].alias("x")).limit(0).toArrow().schema.field("x").type
-    run = _score(dictionary, sent, buckets, d, strength, len(samples), total, kinds, id_kind)
+    full = texts.join(answers, "window")
+    id_kind = texts.select(F.col("ids")[0].alias("x")).limit(0).toArrow().schema.field("x").type
+    run = _score(sent, buckets, d, strength, len(samples), total, kinds, id_kind)
     scored = full.groupBy("window").cogroup(rare.groupBy("window")).applyInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
     return scored.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
 
@@ -735,12 +754,12 @@ def _with_code(dictionary):
     return run
 
 
-def _rare_of(dictionary):
+def _rare_of(frequent: int):
     def run(batches):
         for batch in batches:
             for k in range(batch.num_rows):
-                codes = dictionary.value.codes(batch.column(1).slice(k, 1).flatten().to_numpy().view(np.uint64))
-                codes = codes[codes >= np.uint64(dictionary.value.n)].view(np.int64)
+                codes = unpacked(batch.column(1)[k].as_py(), np.uint64)
+                codes = codes[codes >= np.uint64(frequent)].view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.repeat(batch.column(0)[k], len(codes)), pa.array(codes)], names=["window", "code"])
 
     return run

@@ -10,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 import regex
 from checks import DATA, same_rows
@@ -100,10 +101,10 @@ def brute_scores(texts, held, frequent, sweeps, burn_in):
     def rated(number):
         nonlocal root, old, tables
         level = P.WordLevel(word_d, 1.0, tables, sum(of_w.values()))
-        seated = {w: int(level.seat([w], np.array([n]), old, number)[0]) for w, n in of_w.items()}
+        seated = {w: int(level.seat(np.array([code[w]]), pa.array([w], pa.binary()), np.array([n]), old, number)[0]) for w, n in of_w.items()}
         grams = Counter()
         for w, n in seated.items():
-            for g in P.codes_of([w])[0].tolist():
+            for g in P.codes_of(pa.array([w], pa.binary()))[0].tolist():
                 grams[g] += n
         tables = sum(seated.values())
         new, customers = P.Spelling(root), np.zeros(256, np.int64)
@@ -115,7 +116,7 @@ def brute_scores(texts, held, frequent, sweeps, burn_in):
         k = P.draw_tables(customers, np.count_nonzero(customers) - np.minimum(customers, 1), np.full(256, np.log(1 / 256)), 0.5, 1.0, P.log_stirling(0.5), P.mixed(np.arange(256, dtype=np.uint64)), number)
         root = (customers - 0.5 * k + (1.0 + 0.5 * k.sum()) / 256) / (1.0 + customers.sum())
         old = new.packed()
-        base = {w: math.exp(P._base_logs([w], old)[0]) for w in every}
+        base = {w: math.exp(P._base_logs(pa.array([w], pa.binary()), old)[0]) for w in every}
         return {w: (max(of_w[w] - word_d * seated.get(w, 0), 0) + (1 + word_d * tables) * base[w]) / (1 + sum(of_w.values())) for w in every}
 
     p, samples = rated(0), []
