@@ -185,7 +185,8 @@ def _links(classes: DataFrame, total: int, least: float, sample: int, list_size:
     # A listed row goes to every chunk of probing rows, and the other way round.
     pairs = F.when(F.col("listed"), F.transform(F.sequence(F.lit(0), F.col("asks") - 1), lambda i: F.struct(hash_part("bases").alias("base"), i.alias("ask")))).otherwise(F.transform(F.sequence(F.lit(0), F.col("bases") - 1), lambda i: F.struct(i.alias("base"), hash_part("asks").alias("ask"))))
     placed = spread.where("bases > 0 and asks > 0").withColumn("pair", F.explode(pairs)).select(*group, "pair.base", "pair.ask", "node", "copies", "listed", "raw")
-    return placed.groupBy(*group, "base", "ask").applyInPandas(_in_list(quantiser, least, reach, kind), "a binary, b binary, links bigint")
+    # Dealt out anew: else all pairs of chunks of a list stay in the task that its rows were joined in.
+    return placed.repartition(*group, "base", "ask").groupBy(*group, "base", "ask").applyInPandas(_in_list(quantiser, least, reach, kind), "a binary, b binary, links bigint")
 
 
 def _unit(x: np.ndarray) -> np.ndarray:

@@ -1,57 +1,62 @@
 """Language identification by cross-parsing entropy.
 
 For each language a suffix automaton holds labelled text.  A text is cut from the left into the longest phrases that
-the automaton knows; the language that needs the fewest phrases a character wins.  Words, with a blank at either end,
-are parsed one by one: then equal words need equal numbers of phrases, so a worker parses each distinct word of its
-cache once, and the automata need each distinct word of the sample once.
+the automaton knows, across words; phrases times the bits that name a place in the automaton's text, a character, estimate
+the cross entropy, and the language with the least wins.  Texts are lower-cased, and all between two words is one blank.
 
-The automata are fitted on a bounded sample: per language about ``sample_chars`` characters of distinct labelled texts
-chosen by a hash, of which the most frequent words are kept up to ``model_chars`` characters; at most ``max_languages``
-languages, those with the most labelled rows.  Every text is predicted whole, without any shuffle.
+Stretches of ``STRETCH`` characters are parsed side by side, one character of all of them at a step; a phrase ends where
+its stretch does.  Transitions of all automata lie in one hash table of arrays.
+
+The automata are fitted on a bounded sample: of each language the first distinct labelled texts in the order of a hash, of
+each at most ``text_chars`` characters, up to ``model_chars`` characters; at most ``max_languages`` languages, those with
+the most labelled rows.  Every text is predicted whole, without any shuffle.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
 from collections import Counter
-from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import map_batches, sub_batches, worker_state
+from .piece_codec import WordTable
 
 UNKNOWN = "und"
-#: Letters; digits and signs separate words.
-WORDS = re.compile(r"[^\W\d_]+").findall
-CACHE_WORDS = 80_000
-CACHE_FIRST = 30_000
-CACHE_CHARS = 64
+STRETCH = 512
+BLANK = 32
 
 
-def words_of(text: str | None) -> list[str]:
-    words = WORDS(text.lower()) if text else []
-    return words if any(c.isalpha() for w in words for c in w) else []
+def letters() -> np.ndarray:
+    """Which code points are letters."""
+    return np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
 
 
-class SuffixAutomaton:
-    """Of one string; ``to[character]`` maps a state to the next, 0 is the start.
+def normal(texts: list[str | None], is_letter: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(code points of all texts, lower-cased and with single blanks around words; how many each text has).
 
-    Few large dictionaries that share the numbers of states take about half the memory of one dictionary a state.
-    """
+    A text without a letter has none."""
+    lowered = [x.lower() if x else "" for x in texts]
+    sizes = np.fromiter(map(len, lowered), np.int64, len(lowered))
+    points = np.frombuffer((" ".join(lowered) + " ").encode("utf-32-le", "surrogatepass"), np.uint32)
+    word = is_letter[points]
+    text_of = np.repeat(np.arange(len(texts)), sizes + 1)  # each with the blank after it
+    # A blank stands before each word and after the last one of a text: the sign before a word's first letter, and the text's end.
+    before = np.concatenate([[False], word[:-1]])
+    first, last = np.flatnonzero(word & ~before), np.flatnonzero(~word & before)
+    closing = last[np.append(text_of[last[1:]] != text_of[last[:-1]], True)] if len(last) else last
+    place = np.sort(np.concatenate([first, np.flatnonzero(word) + 0.5, closing + 0.6])) if len(first) else np.zeros(0)
+    at = place.astype(np.int64)
+    out = np.where(place - at == 0.5, points[np.minimum(at, len(points) - 1)], BLANK)
+    return out, np.bincount(text_of[at], minlength=len(texts))
+
+
+class SuffixAutomaton:
+    """Of one string: a dictionary of transitions for each state; 0 is the start."""
 
     def __init__(self, text: str):
-        self.to: dict[str, dict[int, int]] = {}
-        edges = self._edges(text)
-        states = list(range(len(edges)))
-        for state in states:
-            for c, to in edges[state].items():
-                self.to.setdefault(c, {})[state] = states[to]
-
-    @staticmethod
-    def _edges(text: str) -> list[dict[str, int]]:
         nexts: list[dict[str, int]] = [{}]
         link, length, last = [-1], [0], 0
         for c in text:
@@ -77,138 +82,134 @@ class SuffixAutomaton:
                         p = link[p]
                     link[q] = link[cur] = clone
             last = cur
-        return nexts
+        self.to = nexts
 
-    def phrases(self, text: str) -> int:
-        """How many longest matches cover the text; a character that is not known is a phrase."""
-        edges, none, state, n, fresh = self.to, {}, 0, 1, True
-        for c in text:
-            own = edges.get(c, none)
-            to = own.get(state)
-            if to is None:
-                if not fresh:
-                    n += 1
-                    to = own.get(0)
-                if to is None:  # unknown even at the start of a phrase: it is one
-                    state, fresh, n = 0, True, n + 1
-                    continue
-            state, fresh = to, False
-        return n - fresh
-
-
-def sample(df: DataFrame, text: str = "text", lang: str = "lang", sample_chars: int = 400_000, model_chars: int = 60_000, max_languages: int = 256) -> dict[str, list[str]]:
-    """The words to learn of each language, the most frequent first.  Rows without text or language are left out.
-
-    Of each language the distinct texts that come first in the order of a hash are taken, until they hold
-    ``sample_chars`` characters; of a longer text its first ``sample_chars`` are.  So each language has one text at least.
-    """
+
+def sample(df: DataFrame, text: str = "text", lang: str = "lang", model_chars: int = 100_000, text_chars: int = 4_000, max_languages: int = 256) -> dict[str, str]:
+    """The text to learn of each language.  Rows without text or language are left out; copies count once.
+
+    Each language with a letter in its texts has some text."""
     place = (F.pmod(F.xxhash64("text"), F.lit(1 << 30)) + 1) / F.lit(float(1 << 30))
     # Steps of the place, so that a language's first texts are found by counts of characters at each step.
-    rows = df.select(df[lang].alias("lang"), df[text].alias("text")).where("lang is not null and text != ''").withColumn("place", place)
+    rows = df.select(df[lang].alias("lang"), df[text].alias("text")).where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).withColumn("place", place)
     rows = rows.select("lang", "text", "place", F.floor(F.log2("place") * 8).cast("int").alias("step"))
     common = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages)
     ranked = [r["lang"] for r in common.collect()]
     if not ranked:
         return {}
-    distinct = rows.select("lang", "step", F.xxhash64("text").alias("hash"), F.least(F.length("text"), F.lit(sample_chars)).alias("n")).distinct()
+    distinct = rows.select("lang", "step", F.xxhash64("text").alias("hash"), F.least(F.length("text"), F.lit(text_chars)).alias("n")).distinct()
     upto: dict[str, int] = {}
     total: Counter = Counter()
     for r in distinct.where(F.col("lang").isin(ranked)).groupBy("lang", "step").agg(F.sum("n").alias("n")).orderBy("lang", "step").collect():
-        if total[r["lang"]] < sample_chars:
+        if total[r["lang"]] < 2 * model_chars:
             total[r["lang"]] += r["n"]
             upto[r["lang"]] = r["step"]
     last = F.create_map(*[F.lit(x) for pair in upto.items() for x in pair])
-    drawn = rows.where(F.col("step") <= F.try_element_at(last, "lang")).select("lang", "place", F.substring("text", 1, sample_chars).alias("text")).dropDuplicates(["lang", "text"])
+    # The cut begins at a place given by the hash, so that beginnings of texts do not weigh more than their other parts.
+    begin = F.pmod(F.xxhash64("text", F.lit(3)), F.greatest(F.length("text") - text_chars, F.lit(0)) + 1) + 1
+    drawn = rows.where(F.col("step") <= F.try_element_at(last, "lang")).select("lang", "place", F.expr("text").alias("whole"), begin.cast("int").alias("begin")).dropDuplicates(["lang", "whole"]).withColumn("text", F.substr("whole", F.col("begin"), F.lit(text_chars))).drop("whole")
     before = F.sum(F.length("text")).over(Window.partitionBy("lang").orderBy("place", "text").rowsBetween(Window.unboundedPreceding, -1))
-    picked = drawn.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < sample_chars).select("lang", "text").collect()
-    counts: dict[str, Counter] = {}
+    picked = drawn.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < 2 * model_chars).orderBy("lang", "place", "text").select("lang", "text").collect()
+    is_letter, parts = letters(), {}
     for r in picked:
-        counts.setdefault(r["lang"], Counter()).update(words_of(r.text))
-    out = {}
-    for k in sorted(counts):
-        ordered = [w for w, _ in sorted(counts[k].items(), key=lambda x: (-x[1], x[0]))]
-        ends = np.cumsum([len(w) + 1 for w in ordered])
-        if words := ordered[: int(np.searchsorted(ends, model_chars, "right"))]:
-            out[k] = words
-    return out
+        points, _ = normal([r["text"]], is_letter)
+        parts.setdefault(r["lang"], []).append(points.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")[1:])
+    return {k: (" " + "".join(x))[:model_chars] for k, x in sorted(parts.items()) if any(x)}
 
 
 class Parser:
-    """The automata of all languages and a cache of parsed words; lives in a Python worker."""
-
-    def __init__(self, words: dict[str, list[str]]):
-        self.langs = sorted(words)
-        self.automata = [SuffixAutomaton(" " + " ".join(words[k]) + " ") for k in self.langs]
-        self.reset()
-
-    def reset(self):
-        self.index: dict[str, int] = {}
-        self.counts = np.zeros((1 << 14, len(self.langs)), np.int32)
-        self.longest = 0
-
-    def shrink(self) -> None:
-        """Keeps the words that came first, which the common ones are among."""
-        first = list(islice(self.index, CACHE_FIRST))
-        if self.longest > CACHE_CHARS and max(map(len, first)) > CACHE_CHARS:
-            self.reset()
-            return
-        self.index, self.longest = dict(zip(first, range(len(first)))), CACHE_CHARS
-
-    def scores(self, texts: list[list[str]]) -> np.ndarray:
+    """The automata of all languages; lives in a Python worker."""
+
+    def __init__(self, texts: dict[str, str]):
+        self.langs, self.is_letter = sorted(texts), letters()
+        known = sorted({c for x in texts.values() for c in x})
+        self.letter_of = np.zeros(0x110000, np.int32)  # 0: in no automaton
+        self.letter_of[[ord(c) for c in known]] = np.arange(1, len(known) + 1)
+        self.width = len(known) + 1
+        self.first = np.full((len(self.langs), self.width), -1, np.int32)  # from the start
+        self.start, keys, to, states = np.zeros(len(self.langs), np.int64), [], [], 0
+        number = {c: i for i, c in enumerate(known, 1)}
+        for k, lang in enumerate(self.langs):
+            edges = SuffixAutomaton(texts[lang]).to
+            keys.append(np.fromiter(((states + s) * self.width + number[c] for s, own in enumerate(edges) for c in own), np.int64))
+            to.append(np.fromiter((states + x for own in edges for x in own.values()), np.int32))
+            self.start[k] = states
+            for c, x in edges[0].items():
+                self.first[k, number[c]] = states + x
+            states += len(edges)
+        self.table, self.to = WordTable(), np.concatenate([*to, [0]]).astype(np.int32)
+        if keys:
+            self.table.add(np.concatenate(keys).astype(np.uint64))
+        self.bits = np.log2([max(2, len(texts[k])) for k in self.langs])
+
+    def phrases(self, points: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Phrases by text and language."""
-        if len(self.index) > CACHE_WORDS or self.longest > CACHE_CHARS:
-            self.shrink()
-        new = list(set().union(*texts).difference(self.index))
-        n = len(self.index)
-        if new:
-            self.longest = max(self.longest, max(map(len, new)))
-            self.index.update(zip(new, range(n, n + len(new))))
-            if len(self.index) > len(self.counts):
-                self.counts = np.concatenate([self.counts, np.zeros((2 * len(self.index), len(self.langs)), np.int32)])
-            padded = [f" {w} " for w in new]
-            for k, a in enumerate(self.automata):
-                self.counts[n : n + len(new), k] = list(map(a.phrases, padded))
-        out = np.zeros((len(texts), len(self.langs)), np.int64)
-        full = [k for k, x in enumerate(texts) if x]
-        if full:
-            at = np.fromiter(map(self.index.__getitem__, chain.from_iterable(texts)), np.int64)
-            begin = np.cumsum([0, *(len(texts[k]) for k in full[:-1])])
-            out[full] = np.add.reduceat(self.counts[at], begin, axis=0, dtype=np.int64)
+        pieces = -(-sizes // STRETCH)
+        text_of = np.repeat(np.arange(len(sizes)), pieces)
+        inner = np.arange(len(text_of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        begin = (np.cumsum(sizes) - sizes)[text_of] + inner * STRETCH
+        size = np.minimum(sizes[text_of] - inner * STRETCH, STRETCH)
+        order = np.argsort(-size, kind="stable")
+        begin, size, text_of = begin[order], size[order], text_of[order]
+        letter = self.letter_of[points]
+        n, m = len(begin), len(self.langs)
+        state = np.repeat(self.start[:, None], n, 1)
+        fresh, count = np.ones((m, n), bool), np.zeros((m, n), np.int32)
+        live = n
+        for step in range(int(size[0]) if n else 0):
+            while live and size[live - 1] <= step:
+                live -= 1
+            c = letter[begin[:live] + step]
+            now = state[:, :live]
+            found = self.table.find((now * self.width + c).ravel().astype(np.uint64)).reshape(m, live)
+            lost = found < 0
+            to = self.to[found]
+            i, j = np.nonzero(lost)
+            count[i, j] += ~fresh[i, j]  # the phrase ends before this character, which begins another
+            again = self.first[i, c[j]]
+            alone = again < 0  # known nowhere: a phrase of its own
+            count[i, j] += alone
+            to[i, j] = np.where(alone, self.start[i], again)
+            state[:, :live] = to
+            fresh[:, :live] = False
+            fresh[i[alone], j[alone]] = True
+        count += ~fresh
+        out = np.zeros((len(sizes), m), np.int64)
+        np.add.at(out, text_of, count.T)
         return out
 
 
 def parser_of(model) -> Parser:
-    key, words = model.value
-    return worker_state(f"parser {key}", lambda: Parser(words))
+    key, texts = model.value
+    return worker_state(f"parser {key}", lambda: Parser(texts))
 
 
-def predict(df: DataFrame, words: dict[str, list[str]], text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def predict(df: DataFrame, texts: dict[str, str], text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Per input row the ``keep`` columns, lang_pred and score.
 
-    Ties go to the first language in order of name.  ``score`` is one minus the phrases of the winner over those of the
+    Ties go to the first language in order of name.  ``score`` is one minus the entropy of the winner over that of the
     next, so 0 for a tie and 1 where there is one language only.  Null texts, texts without a letter, and all texts if
     nothing was learned, are "und" with score 0.  Repeated rows stay; other columns are dropped.
     """
     if clash := set(keep) & {"lang_pred", "score", "__text"}:
         raise ValueError(f"clashing names: {sorted(clash)}")
-    key = hashlib.sha256(repr(sorted(words.items())).encode("utf-8", "surrogatepass")).hexdigest()
-    model = df.sparkSession.sparkContext.broadcast((key, words))
+    key = hashlib.sha256(repr(sorted(texts.items())).encode("utf-8", "surrogatepass")).hexdigest()
+    model = df.sparkSession.sparkContext.broadcast((key, texts))
 
     def run(batches):
         parser = parser_of(model)
         langs = [*parser.langs, UNKNOWN]
         for whole in batches:
             for batch in sub_batches(whole, len(keep)):
-                texts = [words_of(x) for x in batch.column(len(keep)).to_pylist()]
-                known = np.fromiter(map(bool, texts), bool, len(texts)) & bool(parser.langs)
-                best, score = np.full(len(texts), len(parser.langs)), np.zeros(len(texts))
+                points, sizes = normal(batch.column(len(keep)).to_pylist(), parser.is_letter)
+                known = (sizes > 0) & bool(parser.langs)
+                best, score = np.full(len(sizes), len(parser.langs)), np.zeros(len(sizes))
                 if parser.langs:
-                    counts = parser.scores(texts)
-                    best = np.where(known, counts.argmin(1), best)
-                    two = np.sort(counts, 1)[:, :2].astype(float)
+                    bits = parser.phrases(points, sizes) * parser.bits
+                    best = np.where(known, bits.argmin(1), best)
+                    two = np.sort(bits, 1)[:, :2]
                     score = np.where(known, 1 - two[:, 0] / np.maximum(two[:, 1], 1) if len(parser.langs) > 1 else 1.0, 0.0)
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([langs[k] for k in best], pa.string()), pa.array(score, pa.float64())], names=[*keep, "lang_pred", "score"])
 
     types = dict(df.dtypes)
     return map_batches(df.select(*keep, df[text].alias("__text")), run, ", ".join([*(f"`{k}` {types[k]}" for k in keep), "lang_pred string, score double"]))
-

@@ -21,18 +21,50 @@ from docket_spark.llm import langid, licenses, pii, pitman_yor as P, queries, se
 from docket_spark.llm.common import bucket_of
 
 
-def test_longest_matches():
-    r = random.Random(1)
-    for _ in range(300):
-        text = "".join(r.choice("abc ") for _ in range(r.randint(1, 30)))
-        word = "".join(r.choice("abcd ") for _ in range(r.randint(1, 20)))
-        i = n = 0
+def plain_phrases(text, learned):
+    """Longest matches by substring search, stretch by stretch."""
+    n = 0
+    for k in range(0, len(text), langid.STRETCH):
+        word, i = text[k : k + langid.STRETCH], 0
         while i < len(word):
             j = i
-            while j < len(word) and word[i : j + 1] in text:
+            while j < len(word) and word[i : j + 1] in learned:
                 j += 1
             i, n = max(j, i + 1), n + 1
-        assert langid.SuffixAutomaton(text).phrases(word) == n
+    return n
+
+
+def plain_normal(text):
+    words = "".join(c if c.isalpha() else " " for c in (text or "").lower()).split()
+    return " " + " ".join(words) + " " if words else ""
+
+
+def test_longest_matches(monkeypatch, odd_texts):
+    monkeypatch.setattr(langid, "STRETCH", 16)
+    r = random.Random(1)
+    for _ in range(40):
+        learned = {k: "".join(r.choice("abc ") for _ in range(r.randint(1, 60))) for k in "xyz"}
+        parser = langid.Parser(learned)
+        texts = ["".join(r.choice("abcdE 1.") for _ in range(r.randint(0, 50))) for _ in range(20)] + [None, ""]
+        points, sizes = langid.normal(texts, parser.is_letter)
+        assert "".join(map(chr, points)) == "".join(map(plain_normal, texts)) and sizes.tolist() == [len(plain_normal(x)) for x in texts]
+        assert parser.phrases(points, sizes).tolist() == [[plain_phrases(plain_normal(x), learned[k]) for k in "xyz"] for x in texts]
+    points, sizes = langid.normal(odd_texts, langid.letters())
+    assert sizes.tolist() == [len(plain_normal(x)) for x in odd_texts]
+
+
+def test_predictions_equal_plain_parsing(spark, odd_texts):
+    rows = spark.read.parquet(f"{DATA}/documents.parquet").orderBy("doc_id").limit(60).collect()
+    df = spark.createDataFrame([(k, x, y) for k, (x, y) in enumerate([(r["text"], r["lang"]) for r in rows] + [(x, None) for x in odd_texts])], "doc_id bigint, text string, lang string")
+    learned = langid.sample(df, model_chars=3_000)
+    assert len(learned) == len({r["lang"] for r in rows}) and max(map(len, learned.values())) == 3_000
+    for r in langid.predict(df, learned, keep=("doc_id", "text")).where("length(text) < 3000 or text is null").collect():
+        text = plain_normal(r["text"])
+        if not text:
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+            continue
+        bits = sorted((plain_phrases(text, x) * math.log2(len(x)), k) for k, x in learned.items())
+        assert r["lang_pred"] == bits[0][1] and r["score"] == pytest.approx(1 - bits[0][0] / bits[1][0])
 
 
 def test_language_of_held_out_documents(spark):
