@@ -1,7 +1,8 @@
 """Strict as-of aggregates: what was known before a row's query date, by key.
 
 Events and query dates are brought to (key, date) grain first, so that a hot key weighs as many rows as it has dates;
-a range window then sums what lies strictly before.  No inequality join and no Python.
+a range window then sums what lies strictly before.  Times finer than days are summed in two levels, by hour and within
+the hour, so that no task sorts all times of a hot key.  No inequality join and no Python.
 """
 
 from __future__ import annotations
@@ -31,8 +32,21 @@ def before(events: DataFrame, queries: DataFrame, keys: list[str], event_date: s
     q = queries.select(*_keyed(queries, keys, many), _tick(queries, query_date).alias("__t"), F.lit(0).alias("__n"), F.lit(0.0).alias("__s"))
     names = [f"__k{i}" for i in range(len(keys))]
     grain = e.unionByName(q).where("__t is not null").groupBy(*names, "__t").agg(F.sum("__n").alias("__n"), F.sum("__s").alias("__s"))
-    w = Window.partitionBy(*names).orderBy("__t").rangeBetween(Window.unboundedPreceding, -1) if names else Window.orderBy("__t").rangeBetween(Window.unboundedPreceding, -1)
-    return grain.select(*names, "__t", F.coalesce(F.sum("__n").over(w), F.lit(0)).cast("bigint").alias("__n"), F.coalesce(F.sum("__s").over(w), F.lit(0.0)).alias("__s"))
+    if queries.schema[query_date].dataType.typeName() == events.schema[event_date].dataType.typeName() == "date":
+        return _summed(grain, names, "__t")
+    grain = grain.withColumn("__hour", F.floor(F.col("__t") / 3_600_000_000).cast("bigint"))
+    hours = _summed(grain.groupBy(*names, "__hour").agg(F.sum("__n").alias("__n"), F.sum("__s").alias("__s")), names, "__hour")
+    inner = _summed(grain, [*names, "__hour"], "__t")
+    on = inner["__hour"] == hours["__hour"]
+    for k in names:
+        on = on & inner[k].eqNullSafe(hours[k])
+    return inner.join(hours, on).select(*(inner[k] for k in [*names, "__t"]), (inner["__n"] + hours["__n"]).alias("__n"), (inner["__s"] + hours["__s"]).alias("__s"))
+
+
+def _summed(grain: DataFrame, names: list[str], order: str) -> DataFrame:
+    """__n and __s of what lies strictly before in the order, by names."""
+    w = (Window.partitionBy(*names) if names else Window).orderBy(order).rangeBetween(Window.unboundedPreceding, -1)
+    return grain.select(*names, order, F.coalesce(F.sum("__n").over(w), F.lit(0)).cast("bigint").alias("__n"), F.coalesce(F.sum("__s").over(w), F.lit(0.0)).alias("__s"))
 
 
 def _attach(queries: DataFrame, known: DataFrame, keys: list[str], query_date: str) -> DataFrame:
@@ -55,39 +69,51 @@ def prior_rate(events: DataFrame, queries: DataFrame, keys: list[str], event_dat
     events before it; where there are none either, or the query date is null, the mean of all dated events.  With
     ``smoothing`` a the rate is (sum + a * fallback) / (count + a).  ``null_key="zero"`` gives null keys no events.
     """
-    prefix = prefix or _plain(keys)
     dated = events.where(F.col(event_date).isNotNull())
-    if null_key == "zero" and len(keys) == 1:
-        known_events = dated.where(F.col(keys[0]).isNotNull())
-    else:
-        known_events = dated
-    out = _attach(queries, before(known_events, queries, keys, event_date, query_date, outcome), keys, query_date)
-    out = out.withColumnsRenamed({"__n": "__own_n", "__s": "__own_s"})
+    out = _with_fallback(dated, queries, event_date, query_date, outcome)
+    return _with_rate(dated, queries, out, keys, event_date, query_date, outcome, prefix or _plain(keys), null_key, smoothing).drop("__fallback")
+
+
+def _with_fallback(dated: DataFrame, queries: DataFrame, event_date: str, query_date: str, outcome: str) -> DataFrame:
+    """Adds __fallback: the mean outcome of all events before the query date, or else of all events."""
     # Date grain: as many rows as there are dates, so the window without a key is small and may be broadcast.
     everywhere = before(dated, queries, [], event_date, query_date, outcome).where("__n > 0")
-    out = _attach(out, everywhere, [], query_date)
     mean = dated.agg(F.avg(F.col(outcome).cast("double")).alias("__mean"))
-    out = out.crossJoin(F.broadcast(mean))
-    fallback = F.coalesce(F.try_divide("__s", "__n"), F.col("__mean"))
-    n = F.coalesce("__own_n", F.lit(0))
-    rate = F.when(n > 0, (F.col("__own_s") + smoothing * fallback) / (n + smoothing)).otherwise(fallback)
-    return out.select(*queries.columns, rate.alias(f"{prefix}_prior_rate"), n.cast("bigint").alias(f"{prefix}_prior_count"))
+    out = _attach(queries, everywhere, [], query_date).crossJoin(F.broadcast(mean))
+    return out.select(*queries.columns, F.coalesce(F.try_divide("__s", "__n"), F.col("__mean")).alias("__fallback"))
+
+
+def _with_rate(dated, queries, out, keys, event_date, query_date, outcome, prefix, null_key="group", smoothing=0.0) -> DataFrame:
+    """Adds rate and count of a key to ``out``, which holds the rows of ``queries`` and __fallback."""
+    known = dated.where(F.col(keys[0]).isNotNull()) if null_key == "zero" and len(keys) == 1 else dated
+    found = _attach(out, before(known, queries, keys, event_date, query_date, outcome), keys, query_date)
+    n = F.coalesce("__n", F.lit(0))
+    rate = F.when(n > 0, (F.col("__s") + smoothing * F.col("__fallback")) / (n + smoothing)).otherwise(F.col("__fallback"))
+    return found.select(*out.columns, rate.alias(f"{prefix}_prior_rate"), n.cast("bigint").alias(f"{prefix}_prior_count"))
 
 
 def frequency(events: DataFrame, queries: DataFrame, key: str, event_date: str, query_date: str, null_key: str = "zero", name: str | None = None) -> DataFrame:
     """Adds <key>_frequency: events of the key strictly before the query date; 0 for a null date, and for a null key if ``zero``."""
+    return _with_frequency(events, queries, queries, key, event_date, query_date, null_key, name)
+
+
+def _with_frequency(events, queries, out, key, event_date, query_date, null_key="zero", name=None) -> DataFrame:
     known = before(events.where(F.col(event_date).isNotNull()), queries, [key], event_date, query_date)
     n = F.coalesce("__n", F.lit(0))
     if null_key == "zero":
         n = F.when(F.col(key).isNull(), 0).otherwise(n)
-    return _attach(queries, known, [key], query_date).select(*queries.columns, n.cast("bigint").alias(name or f"{key}_frequency"))
+    return _attach(out, known, [key], query_date).select(*out.columns, n.cast("bigint").alias(name or f"{key}_frequency"))
 
 
 def rolling(events: DataFrame, queries: DataFrame, rate_keys: list[list[str]], frequency_keys: list[str], resolved: str, query_date: str, outcome: str) -> DataFrame:
-    """All prior rates and frequencies: rates by resolution date, frequencies by query date of the events."""
-    out = queries
+    """All prior rates and frequencies: rates by resolution date, frequencies by query date of the events.
+
+    Each key's sums come from the given frames, never from the frame that grows, so the plan has two scans of each per key.
+    """
+    dated = events.where(F.col(resolved).isNotNull())
+    out = _with_fallback(dated, queries, resolved, query_date, outcome)
     for keys in rate_keys:
-        out = prior_rate(events, out, keys, resolved, query_date, outcome)
+        out = _with_rate(dated, queries, out, keys, resolved, query_date, outcome, _plain(keys))
     for key in frequency_keys:
-        out = frequency(events, out, key, query_date, query_date)
-    return out
+        out = _with_frequency(events, queries, out, key, query_date, query_date)
+    return out.drop("__fallback")

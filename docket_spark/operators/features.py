@@ -18,12 +18,16 @@ def era_of(date: Column, eras: dict[str, str]) -> Column:
 
 
 def with_era(df: DataFrame, date: str, eras: DataFrame, name: str = "era", start: str = "start") -> DataFrame:
-    """era_of for a table of eras (a few rows, checked before it is broadcast)."""
-    if eras.limit(10_001).count() > 10_000:
-        raise ValueError("a table of eras has 10,000 rows at most")
-    ranges = eras.select(F.col(name).alias("__era"), F.col(start).alias("__from"), F.lead(start).over(Window.orderBy(start)).alias("__to"))
-    on = (F.col("__from") <= F.col(date)) & (F.col("__to").isNull() | (F.col(date) < F.col("__to")))
-    return df.join(F.broadcast(ranges), on, "left").withColumnRenamed("__era", name if name not in df.columns else f"{name}_found").drop("__from", "__to")
+    """era_of for a table of eras; of eras that begin on one day the last by name.
+
+    The eras are laid between the distinct dates, so the window without a key sees dates, not rows.
+    """
+    out = name if name not in df.columns else f"{name}_found"
+    began = eras.where(F.col(start).isNotNull()).select(F.col(start).cast("date").alias("__date"), F.struct(F.col(start).cast("date").alias("s"), F.col(name).alias("era")).alias("__began"))
+    dates = df.select(F.col(date).cast("date").alias("__date")).where("__date is not null").distinct()
+    both = began.unionByName(dates, allowMissingColumns=True).groupBy("__date").agg(F.max("__began").alias("__began"))
+    known = both.select("__date", F.max("__began").over(Window.orderBy("__date").rangeBetween(Window.unboundedPreceding, 0))["era"].alias(out))
+    return df.join(known, F.col(date).cast("date") == F.col("__date"), "left").drop("__date")
 
 
 NEEDED = ["trial_number", "petition_filing_date", "group_art_unit", "technology_center", "entity_size", "petitioner_real_party", "owner_real_party", "grant_date", "filing_date", "cpc_codes", "event_codes", "event_dates", "assignment_received_dates", "assignment_recorded_dates", "assignees_per_assignment", "parent_app_numbers", "inventor_country_codes", "petition_text"]

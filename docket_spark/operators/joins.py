@@ -62,7 +62,7 @@ def join_all(labelled: DataFrame, petitions: DataFrame, patents: DataFrame, text
     rows without a petition, and rows out.
     """
     ready = labelled.na.drop(subset=[filing, patent_number])
-    slim = petitions.select(F.col(key), F.col(petition_date), *[c for c in petitions.columns if c not in (key, petition_date)][:2])
+    slim = petitions.select(F.col(key), F.col(petition_date), *[c for c in petitions.columns if c not in (key, petition_date, *labelled.columns)])
     joined = ready.join(slim, key, "inner")
     joined = joined.withColumn(patent_key, F.col(patent_key).cast("string"))
     if patents is not None:

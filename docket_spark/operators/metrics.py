@@ -10,10 +10,19 @@ def _by_score(df: DataFrame, label: str, score: str) -> DataFrame:
 
 
 def _cumulative(df: DataFrame, label: str, score: str) -> DataFrame:
-    """score, pos, neg and the counts at or above the score."""
-    down = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    grain = _by_score(df, label, score)
-    return grain.select("score", "pos", (F.col("n") - F.col("pos")).alias("neg"), F.sum("pos").over(down).alias("tp"), F.sum(F.col("n") - F.col("pos")).over(down).alias("fp"))
+    """score, pos, neg and the counts at or above the score.
+
+    Summed in two levels: scores fall into steps of the logarithm of their size, some ten thousand for scores up to 1, and
+    only the steps' sums meet in one task.
+    """
+    step = F.floor(F.signum("score") * F.log1p(F.abs("score")) * 65536).cast("bigint")
+    grain = _by_score(df, label, score).select("score", "pos", (F.col("n") - F.col("pos")).alias("neg"), step.alias("step"))
+    above = Window.orderBy(F.desc("step")).rowsBetween(Window.unboundedPreceding, -1)
+    steps = grain.groupBy("step").agg(F.sum("pos").alias("p"), F.sum("neg").alias("q"))
+    steps = steps.select("step", F.coalesce(F.sum("p").over(above), F.lit(0)).alias("p_above"), F.coalesce(F.sum("q").over(above), F.lit(0)).alias("q_above"))
+    down = Window.partitionBy("step").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+    inner = grain.select("step", "score", "pos", "neg", F.sum("pos").over(down).alias("tp"), F.sum("neg").over(down).alias("fp"))
+    return inner.join(steps, "step").select("score", "pos", "neg", (F.col("tp") + F.col("p_above")).alias("tp"), (F.col("fp") + F.col("q_above")).alias("fp"))
 
 
 def roc_auc(df: DataFrame, label: str, score: str) -> DataFrame:
@@ -32,8 +41,8 @@ def average_precision(df: DataFrame, label: str, score: str) -> DataFrame:
 def roc_points(df: DataFrame, label: str, score: str) -> DataFrame:
     """threshold, fpr, tpr at each distinct score."""
     c = _cumulative(df, label, score)
-    everything = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return c.select(F.col("score").alias("threshold"), F.try_divide("fp", F.sum("neg").over(everything)).alias("fpr"), F.try_divide("tp", F.sum("pos").over(everything)).alias("tpr"))
+    total = _by_score(df, label, score).agg(F.sum("pos").alias("p"), F.sum(F.col("n") - F.col("pos")).alias("q"))
+    return c.crossJoin(F.broadcast(total)).select(F.col("score").alias("threshold"), F.try_divide("fp", "q").alias("fpr"), F.try_divide("tp", "p").alias("tpr"))
 
 
 def confusion(df: DataFrame, label: str, predicted: str) -> DataFrame:

@@ -28,6 +28,23 @@ FREQUENCY = """(SELECT q.o_orderkey, CAST(coalesce(c.n, 0) AS BIGINT) AS n FROM
   (SELECT o_custkey, d, sum(n) OVER (PARTITION BY o_custkey ORDER BY d) AS n FROM (SELECT o_custkey, CAST(o_orderdate AS DATE) AS d, count(*) AS n FROM orders GROUP BY ALL)) c
   ON q.o_custkey = c.o_custkey AND q.d > c.d)"""
 ROLLING_EVENTS = "ev AS (SELECT o_custkey, o_orderpriority, r.d, r.y FROM orders LEFT JOIN (SELECT l_orderkey, max(CAST(l_shipdate AS DATE)) AS d, max(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS y FROM lineitem GROUP BY 1) r ON o_orderkey = l_orderkey)"
+FULL_FRAME = "frame AS (SELECT o_orderkey, o_custkey, o_orderpriority, o_orderstatus, c_mktsegment, c_nationkey, CAST(o_orderdate AS DATE) AS day, r.d, r.y FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN (SELECT l_orderkey, max(CAST(l_shipdate AS DATE)) AS d, max(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS y FROM lineitem GROUP BY 1) r ON o_orderkey = l_orderkey)"
+
+
+def _full(rates: list[list[str]], frequencies: list[str]) -> str:
+    """All keys by joins of each order with the grain of what was resolved, or asked, before its day."""
+    part = lambda k: f"(SELECT f.o_orderkey, sum(g.n) AS n, sum(g.s) AS s FROM frame f JOIN (SELECT {', '.join(k)}, d, count(*) AS n, sum(y) AS s FROM frame WHERE d IS NOT NULL GROUP BY ALL) g ON {' AND '.join(f'f.{x} = g.{x}' for x in k)} AND g.d < f.day GROUP BY 1)"
+    asked = lambda k: f"(SELECT f.o_orderkey, sum(g.n) AS n FROM frame f JOIN (SELECT {k}, day, count(*) AS n FROM frame GROUP BY ALL) g ON f.{k} = g.{k} AND g.day < f.day GROUP BY 1)"
+    names = ["_".join(k) for k in rates]
+    columns = [f"round(CAST(coalesce(r{i}.s / r{i}.n, a.s / a.n, m.mean) AS DOUBLE), 6) AS {k}_rate, CAST(coalesce(r{i}.n, 0) AS BIGINT) AS {k}_n" for i, k in enumerate(names)]
+    columns += [f"CAST(coalesce(q{i}.n, 0) AS BIGINT) AS {k}_frequency" for i, k in enumerate(frequencies)]
+    joined = " ".join([*(f"LEFT JOIN {part(k)} r{i} USING (o_orderkey)" for i, k in enumerate(rates)), *(f"LEFT JOIN {asked(k)} q{i} USING (o_orderkey)" for i, k in enumerate(frequencies))])
+    return f"""WITH {FULL_FRAME}, g0 AS (SELECT d, count(*) AS n, sum(y) AS s FROM frame WHERE d IS NOT NULL GROUP BY d),
+a AS (SELECT days.day, sum(g0.n) AS n, sum(g0.s) AS s FROM (SELECT DISTINCT day FROM frame) days JOIN g0 ON g0.d < days.day GROUP BY 1),
+m AS (SELECT avg(y) AS mean FROM frame WHERE d IS NOT NULL)
+SELECT frame.o_orderkey, {', '.join(columns)} FROM frame {joined} LEFT JOIN a ON frame.day = a.day CROSS JOIN m"""
+
+
 SCORED = "s AS (SELECT quality AS y, floor(n_chars / 50) * 50 / (floor(n_chars / 50) * 50 + 2000.0) AS p FROM labels JOIN documents USING (doc_id)), h AS (SELECT y, p, CASE WHEN p >= 0.5 THEN 1 ELSE 0 END AS z FROM s)"
 GRAIN = "g AS (SELECT p, CAST(sum(y) AS DOUBLE) AS pos, CAST(count(*) - sum(y) AS DOUBLE) AS neg FROM s GROUP BY p), c AS (SELECT *, sum(pos) OVER (ORDER BY p DESC) AS tp, sum(neg) OVER (ORDER BY p DESC) AS fp FROM g)"
 CELLS = "n AS (SELECT CAST(count(*) FILTER (y = 0 AND z = 0) AS DOUBLE) AS a, CAST(count(*) FILTER (y = 0 AND z = 1) AS DOUBLE) AS b, CAST(count(*) FILTER (y = 1 AND z = 0) AS DOUBLE) AS c, CAST(count(*) FILTER (y = 1 AND z = 1) AS DOUBLE) AS d FROM h)"
@@ -40,6 +57,8 @@ SQL = {
     "prior_rate_pair": _prior(["o_custkey", "o_orderpriority"], WEAK_EVENTS, WEAK_Q, ""),
     "prior_frequency": f"SELECT * FROM {FREQUENCY}",
     "rolling_all": f"SELECT x.*, y.priority_rate, y.priority_n, z.n AS frequency FROM ({_prior(['o_custkey'], ROLLING_EVENTS, Q, 'customer_')}) x JOIN ({_prior(['o_orderpriority'], ROLLING_EVENTS, Q, 'priority_')}) y USING (o_orderkey) JOIN {FREQUENCY} z USING (o_orderkey)",
+    "rolling_full": _full([["o_custkey"], ["o_orderpriority"], ["o_orderstatus"], ["c_mktsegment"], ["c_nationkey", "o_orderpriority"], ["c_mktsegment", "o_orderstatus"]], ["o_custkey", "c_nationkey"]),
+    "unmatched_parts": "SELECT p_partkey FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity > 45",
     "earliest_per_key": "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) = 1",
     "first_per_key": "SELECT o_custkey, o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) = 1",
     "pick_cascade": "SELECT source, doc_id, doc_id % 15 AS number FROM documents WHERE lang NOT IN ('es') AND doc_id % 15 BETWEEN 1 AND 9 AND regexp_matches(substr(text, 1, 40), '(?i)the|der|que') AND NOT regexp_matches(substr(text, 1, 40), '(?i)with|und') QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id % 15, doc_id) = 1",

@@ -59,6 +59,28 @@ def rolling_all(spark, sf):
     return out.select("o_orderkey", F.round("o_custkey_prior_rate", 6).alias("customer_rate"), F.col("o_custkey_prior_count").alias("customer_n"), F.round("o_orderpriority_prior_rate", 6).alias("priority_rate"), F.col("o_orderpriority_prior_count").alias("priority_n"), F.col("o_custkey_frequency").alias("frequency"))
 
 
+#: Keys of rolling_full: six of rates (two of them of two parts) and two of frequencies.
+FULL_RATES = [["o_custkey"], ["o_orderpriority"], ["o_orderstatus"], ["c_mktsegment"], ["c_nationkey", "o_orderpriority"], ["c_mktsegment", "o_orderstatus"]]
+FULL_FREQUENCIES = ["o_custkey", "c_nationkey"]
+
+
+def rolling_full(spark, sf):
+    """Six prior rates and two frequencies of each order, as of its day."""
+    first = t(spark, sf, "lineitem", "l_orderkey", "l_shipdate", "l_returnflag").groupBy("l_orderkey").agg(F.max(day("l_shipdate")).alias("resolved"), F.max((F.col("l_returnflag") == "R").cast("int")).alias("y"))
+    orders = t(spark, sf, "orders", "o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus", "o_orderdate").withColumn("day", day("o_orderdate")).drop("o_orderdate")
+    people = t(spark, sf, "customer", "c_custkey", "c_mktsegment", "c_nationkey")
+    frame = orders.join(people, F.col("o_custkey") == F.col("c_custkey"), "left").join(first, F.col("o_orderkey") == F.col("l_orderkey"), "left").drop("l_orderkey", "c_custkey")
+    out = asof.rolling(frame, frame, FULL_RATES, FULL_FREQUENCIES, "resolved", "day", "y")
+    rates = ["_".join(k) for k in FULL_RATES]
+    return out.select("o_orderkey", *(F.round(f"{k}_prior_rate", 6).alias(f"{k}_rate") for k in rates), *(F.col(f"{k}_prior_count").alias(f"{k}_n") for k in rates), *(f"{k}_frequency" for k in FULL_FREQUENCIES))
+
+
+def unmatched_parts(spark, sf):
+    """Parts of which no line has a large quantity."""
+    lines = t(spark, sf, "lineitem", "l_partkey", "l_quantity").where("l_quantity > 45")
+    return joins.unmatched(t(spark, sf, "part", "p_partkey"), lines, "p_partkey", "l_partkey")
+
+
 def earliest_per_key(spark, sf):
     return select_one.earliest_per_key(t(spark, sf, "events", "user_id", "ts", "event_id", "event_type"), "user_id", "ts", "event_id").select("user_id", "event_id", "event_type")
 
@@ -404,7 +426,7 @@ def stream_upsert(spark, sf):
     return last.select("user_id", "event_id", "event_type")
 
 
-NAMES = """prior_rate_single prior_rate_pair prior_frequency rolling_all earliest_per_key first_per_key pick_cascade terminating_rows label_cascade
+NAMES = """prior_rate_single prior_rate_pair prior_frequency rolling_all rolling_full unmatched_parts earliest_per_key first_per_key pick_cascade terminating_rows label_cascade
 text_verdict verdict_agreement join_audit date_mismatch gap_list gap_texts unmatched_keys era_lookup era_join category_counts_t0 recency_t0 distinct_names
 array_profile text_features usable_text scalar_functions time_split mature_filter date_safe_folds one_hot median_impute balanced_weights roc_auc
 avg_precision_f1 class_report calibration roc_points confusion stratified_sample sample_report upsert_latest flatten_paths flatten_structs polymorphic_bag
