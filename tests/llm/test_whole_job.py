@@ -48,6 +48,11 @@ def test_wrapped_licences(spark, before):
         "GPL-3.0:header": [f"{s['gpl_free']}.", "", f"{s['gpl_received']}.  If not, see"],
         "GPL-2.0:grant": [f"{s['gpl2_free']}."],
         "BSD-2-Clause:full text,BSD-3-Clause:full text": [f"{s['bsd_redistribution']}:", f"1. {s['bsd_source']}.", f"2. {s['bsd_binary']}.", f"3. {s['bsd_endorse']}."],
+        "LGPL-2.1:header": [f"{s['lgpl21_free']}.", "", f"{s['lgpl_hope']}.", "", f"{s['lgpl_received']}; if not, write"],
+        "AGPL-3.0:header": [f"{s['agpl3_free']}.", "", f"{s['gpl_hope']}.", "", f"{s['agpl_received']}."],
+        "Apache-2.0:header": [f"{s['apache2_licensed_the']};", f"{s['apache2_comply']}.", f"{s['apache2_obtain']}", "", "    http://www.apache.org/licenses/LICENSE-2.0", "", f"{s['apache2_unless']}."],
+        "ISC:full text": ["Copyright 2020 A", "", f"{s['isc_old_grant']}.", "", f"{s['isc_asis']}. IN NO EVENT"],
+        "Zlib:full text": [f"{s['zlib_asis']}. {s['zlib_held']}.", "", f"{s['zlib_grant']}:", "", f"1. {s['zlib_origin']}.", f"2. {s['zlib_altered']}.", f"3. {s['zlib_notice']}."],
         "MPL-2.0:notice": [f"{s['mpl2_subject']}. If a copy"],
         "": [s["mit_grant"].replace("free of charge", "free of charge\n\n")],
     }
