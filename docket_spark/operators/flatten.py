@@ -98,3 +98,16 @@ def validate(df: DataFrame, required: list[str]) -> tuple[DataFrame, DataFrame]:
     reason = F.concat_ws(",", *(F.when(F.col(c).isNull(), F.lit(c)) for c in required))
     marked = df.withColumn("missing", reason)
     return marked.where("missing = ''").drop("missing"), marked.where("missing <> ''")
+
+
+def contract(df: DataFrame, fields: dict[str, tuple[str, list[str]]], required: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(good rows, rejected rows with a reason) of a record type.
+
+    ``fields`` gives by name a type and the names under which sources deliver it, the first that is there and filled counts;
+    fields that no source has are null, columns that no field names are ignored.  A value that its type cannot hold is null.
+    """
+    def value(kind: str, aliases: list[str]) -> Column:
+        there = [F.col(f"`{a}`").try_cast(kind) for a in aliases if a in df.columns]
+        return F.coalesce(*there) if there else F.lit(None).cast(kind)
+
+    return validate(df.select(*(value(kind, [name, *aliases]).alias(name) for name, (kind, aliases) in fields.items())), required)

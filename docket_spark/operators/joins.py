@@ -74,3 +74,14 @@ def join_all(labelled: DataFrame, petitions: DataFrame, patents: DataFrame, text
     report = audited(flags, {"n_labelled": F.lit(True), "n_ready": F.col("ready"), "n_without_petition": F.col("found").isNull()})
     dates = audited(joined, {"n_joined": F.lit(True), "n_date_mismatch": F.col(petition_date).isNotNull() & (F.col(petition_date) != F.col(filing))})
     return joined, report.crossJoin(dates)
+
+
+def features_with_labels(features: DataFrame, labelled: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """Features of the labelled rows, with label and dates; one label row per key, the least of several."""
+    one = first_per_key(labelled.select(key, *columns).where(F.col(key).isNotNull()), [key], [F.col(c) for c in columns])
+    return features.drop(*[c for c in columns if c in features.columns]).join(one, key, "inner")
+
+
+def pending(wanted: DataFrame, cached: DataFrame, key: str, shape: list[str]) -> DataFrame:
+    """Distinct wanted keys that are not cached; cached rows that lack a column of their shape count as missing."""
+    return missing_keys(wanted.select(key).where(F.col(key).isNotNull()).distinct(), filled(cached, shape), key)

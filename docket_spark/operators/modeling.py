@@ -110,6 +110,15 @@ def without_suffix(df: DataFrame, suffixes: list[str]) -> DataFrame:
     return df.drop(*[c for c in df.columns if c.endswith(tuple(suffixes))])
 
 
+def ablation(df: DataFrame, label: str, date: str, categories: list[str], numbers: list[str], suffixes: list[str], estimator, folds: int = 3) -> list[dict]:
+    """Fold scores with all columns and with those of the suffixes dropped and the model fitted again."""
+    out = []
+    for kept, frame in (("all", df), ("without", without_suffix(df, suffixes))):
+        own = [[c for c in names if c in frame.columns] for names in (categories, numbers)]
+        out += [{"columns": kept, **row} for row in fold_scores(frame, label, date, *own, estimator, folds)]
+    return out
+
+
 def run_training(df: DataFrame, label: str, date: str, categories: list[str], numbers: list[str], estimator, today: str, mature_days: int, cutoff: str, folds: int = 5) -> tuple[Fitted, list[dict], DataFrame]:
     """Mature rows -> split -> folds -> refit on all training rows -> report of the held-out rows."""
     train, test = time_split(mature(df, date, today, mature_days), date, cutoff)

@@ -59,6 +59,15 @@ SQL = {
     "rolling_all": f"SELECT x.*, y.priority_rate, y.priority_n, z.n AS frequency FROM ({_prior(['o_custkey'], ROLLING_EVENTS, Q, 'customer_')}) x JOIN ({_prior(['o_orderpriority'], ROLLING_EVENTS, Q, 'priority_')}) y USING (o_orderkey) JOIN {FREQUENCY} z USING (o_orderkey)",
     "rolling_full": _full([["o_custkey"], ["o_orderpriority"], ["o_orderstatus"], ["c_mktsegment"], ["c_nationkey", "o_orderpriority"], ["c_mktsegment", "o_orderstatus"]], ["o_custkey", "c_nationkey"]),
     "unmatched_parts": "SELECT p_partkey FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity > 45",
+    "contract_rows": """WITH r AS (SELECT CAST(doc_id AS BIGINT) AS trial, CASE WHEN doc_id % 5 > 0 THEN lang END AS kind, CASE WHEN doc_id % 7 > 0 THEN CAST(n_chars AS BIGINT) END AS length, source AS origin, CAST(NULL AS VARCHAR) AS remark FROM documents)
+SELECT *, concat_ws(',', CASE WHEN trial IS NULL THEN 'trial' END, CASE WHEN kind IS NULL THEN 'kind' END, CASE WHEN length IS NULL THEN 'length' END) AS missing FROM r""",
+    "features_labels": "SELECT d.doc_id, lang, n_chars, source, quality, toxic FROM (SELECT doc_id, lang, n_chars, source FROM documents) d JOIN (SELECT doc_id, quality, toxic FROM labels QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY quality, toxic) = 1) l ON d.doc_id = l.doc_id",
+    "pending_keys": "SELECT DISTINCT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL AND doc_id % 3 > 0)",
+    "numeric_totals": "SELECT round(CAST(sum(p_partkey) AS DOUBLE), 3) AS p_partkey, round(CAST(sum(p_size) AS DOUBLE), 3) AS p_size FROM part",
+    "resolved_dates": "SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber < 4 THEN CAST(l_shipdate AS DATE) ELSE DATE '1999-12-31' END AS resolved FROM lineitem",
+    "work_list": "SELECT DISTINCT o_custkey FROM orders WHERE o_orderpriority LIKE '1%' ORDER BY o_custkey LIMIT 100",
+    "filled_ids": "SELECT conv_id, coalesce(string_agg(CASE WHEN turn % 3 > 0 AND role <> '' THEN role END, ',' ORDER BY turn, role), '') AS ids, count(*) AS n FROM conversations GROUP BY conv_id",
+    "upsert_rows": "SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN 99 ELSE c_nationkey END AS c_nationkey, c_mktsegment FROM customer UNION ALL SELECT c_custkey + 1000000000, c_nationkey, c_mktsegment FROM customer WHERE c_nationkey = 1",
     "earliest_per_key": "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) = 1",
     "first_per_key": "SELECT o_custkey, o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) = 1",
     "pick_cascade": "SELECT source, doc_id, doc_id % 15 AS number FROM documents WHERE lang NOT IN ('es') AND doc_id % 15 BETWEEN 1 AND 9 AND regexp_matches(substr(text, 1, 40), '(?i)the|der|que') AND NOT regexp_matches(substr(text, 1, 40), '(?i)with|und') QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id % 15, doc_id) = 1",

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import regex as R, scalars as X
 from ..operators import arrays as A, asof, encode, features, flatten, joins, labels, metrics, modeling, sampling, select_one, splits, text as TX
 from ..sources import pages
-from ..sources.tables import read_table, scratch
+from ..sources.tables import read_table, scratch, upsert
 from ..streaming.ingest import append_new, latest, upsert_latest as upsert_stream
 
 ERAS = {"first": "1900-01-01", "second": "1996-03-01", "third": "1997-07-15", "fourth": "1999-01-01", "fifth": "2000-06-30"}
@@ -426,7 +426,66 @@ def stream_upsert(spark, sf):
     return last.select("user_id", "event_id", "event_type")
 
 
-NAMES = """prior_rate_single prior_rate_pair prior_frequency rolling_all rolling_full unmatched_parts earliest_per_key first_per_key pick_cascade terminating_rows label_cascade
+def contract_rows(spark, sf):
+    """Documents as records of a contract: fields under other names, some without a required one."""
+    docs = t(spark, sf, "documents", "doc_id", "lang", "source", "n_chars").withColumns({"language": F.when(F.col("doc_id") % 5 > 0, F.col("lang")), "size": F.when(F.col("doc_id") % 7 > 0, F.col("n_chars").cast("string")).otherwise("many")}).drop("lang", "n_chars")
+    fields = {"trial": ("bigint", ["doc_id"]), "kind": ("string", ["lang", "language"]), "length": ("bigint", ["size"]), "origin": ("string", ["source"]), "remark": ("string", ["note"])}
+    good, bad = flatten.contract(docs, fields, ["trial", "kind", "length"])
+    return good.withColumn("missing", F.lit("")).unionByName(bad)
+
+
+def features_labels(spark, sf):
+    """Length features of the labelled documents with their labels."""
+    docs = t(spark, sf, "documents", "doc_id", "lang", "n_chars", "source")
+    return joins.features_with_labels(docs, t(spark, sf, "labels", "doc_id", "quality", "toxic"), "doc_id", ["quality", "toxic"])
+
+
+def pending_keys(spark, sf):
+    """Documents without a label, or with one that lacks its shape."""
+    labels = t(spark, sf, "labels", "doc_id", "quality", "toxic").withColumn("toxic", F.when(F.col("doc_id") % 3 > 0, F.col("toxic")))
+    return joins.pending(t(spark, sf, "documents", "doc_id"), labels, "doc_id", ["quality", "toxic"])
+
+
+def numeric_totals(spark, sf):
+    """Sums of the numeric columns, found by type."""
+    part = t(spark, sf, "part")
+    return part.agg(*(F.round(F.sum(F.col(c).cast("double")), 3).alias(c) for c in encode.numeric_columns(part, ["p_retailprice"])))
+
+
+def resolved_dates(spark, sf):
+    """The first date that can be read, of three texts."""
+    items = t(spark, sf, "lineitem", "l_orderkey", "l_linenumber", "l_shipdate")
+    texts = F.when(F.col("l_linenumber") == 1, F.lit("n/a")).when(F.col("l_linenumber") == 2, F.date_format("l_shipdate", "yyyy-MM-dd"))
+    return items.select("l_orderkey", "l_linenumber", labels.resolution_date(texts, F.when(F.col("l_linenumber") < 4, F.date_format("l_shipdate", "yyyy-MM-dd")), F.lit("1999-12-31")).alias("resolved"))
+
+
+def work_list(spark, sf):
+    """The first hundred customers with an urgent order."""
+    urgent = t(spark, sf, "orders", "o_custkey", "o_orderpriority").where("o_orderpriority like '1%'").select("o_custkey").distinct()
+    return select_one.work_list(urgent, "o_custkey", 100)
+
+
+def filled_ids(spark, sf):
+    """Texts of the turns of conversations, without the empty ones."""
+    turns = t(spark, sf, "conversations", "conv_id", "turn", "role").select("conv_id", F.struct("turn", F.when(F.col("turn") % 3 > 0, F.col("role")).otherwise("").alias("id")).alias("x"))
+    bags = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list("x")).alias("bag"))
+    return bags.select("conv_id", F.array_join(flatten.filled_ids(F.col("bag"), "id"), ",").alias("ids"), flatten.bag_size(F.col("bag")).cast("bigint").alias("n"))
+
+
+def upsert_rows(spark, sf):
+    """Customers, those of one segment replaced and some added."""
+    people = t(spark, sf, "customer", "c_custkey", "c_nationkey", "c_mktsegment")
+    rows = people.where("c_mktsegment = 'BUILDING'").withColumn("c_nationkey", F.lit(99)).unionByName(people.where("c_nationkey = 1").withColumn("c_custkey", F.col("c_custkey") + 1_000_000_000))
+    return upsert(people, rows, "c_custkey")
+
+
+def ablation_refit(spark, sf):
+    """Fold scores with and without the columns of a suffix."""
+    rows = modeling.ablation(model_frame(spark, sf).withColumn("chars_prior_rate", F.col("n_chars") / 1000), "quality", "day", ["lang"], ["n_chars", "chars_prior_rate"], ["_prior_rate"], SMALL_LOGISTIC, 2)
+    return spark.createDataFrame([(r["columns"], r["fold"], r["auc"]) for r in rows], "columns string, fold int, auc double")
+
+
+NAMES = """contract_rows features_labels pending_keys numeric_totals resolved_dates work_list filled_ids upsert_rows ablation_refit prior_rate_single prior_rate_pair prior_frequency rolling_all rolling_full unmatched_parts earliest_per_key first_per_key pick_cascade terminating_rows label_cascade
 text_verdict verdict_agreement join_audit date_mismatch gap_list gap_texts unmatched_keys era_lookup era_join category_counts_t0 recency_t0 distinct_names
 array_profile text_features usable_text scalar_functions time_split mature_filter date_safe_folds one_hot median_impute balanced_weights roc_auc
 avg_precision_f1 class_report calibration roc_points confusion stratified_sample sample_report upsert_latest flatten_paths flatten_structs polymorphic_bag

@@ -69,10 +69,24 @@ def lookup(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     return keys.select(key).distinct().join(df, key, "left")
 
 
+def upsert(df: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """The table with the given rows in place of those of their keys, or added; of several rows of a key all stay."""
+    return df.join(rows.select(key).distinct(), key, "left_anti").unionByName(rows, allowMissingColumns=True)
+
+
+def exists(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """(key, found) for each wanted key."""
+    there = df.select(key).distinct().withColumn("found", F.lit(True))
+    return keys.select(key).distinct().join(there, key, "left").withColumn("found", F.coalesce("found", F.lit(False)))
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder name under ``spark.checkpoint.dir``, which driver and executors share; a temporary one where it is unset."""
+    """A new folder name under ``spark.checkpoint.dir``, which driver and executors share; where it is unset, a
+    temporary one for a local master, and an error on a cluster."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="docket-shared-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -3,7 +3,7 @@ from checks import DATA, same_rows
 
 from docket_spark.plans import oracle, queries
 
-SLOW = {"train_rf", "train_lr", "forward_cv", "grid_search", "importances", "score_rows", "compare_estimators"}
+SLOW = {"train_rf", "train_lr", "forward_cv", "grid_search", "importances", "score_rows", "compare_estimators", "ablation_refit"}
 
 
 @pytest.mark.parametrize("name", [n for n in queries.NAMES if n in oracle.SQL])

@@ -163,3 +163,41 @@ def test_search(spark):
     df = spark.createDataFrame([(1, "Alpha", 5), (2, "beta", 7), (3, "alphabet", 9)], "id int, name string, n int")
     assert [r["id"] for r in pages.search(df, "alpha", ["name"], ranges={"n": (6, None)}).collect()] == [3]
     assert [r["id"] for r in pages.search(df, sort=[("n", "desc")], offset=1, limit=1, fields=["id"]).collect()] == [2]
+
+
+def test_contract_takes_aliases_and_rejects(spark):
+    from docket_spark.operators import flatten
+
+    df = spark.createDataFrame([("a", None, "5", "x"), (None, "b", "many", None), ("", "c", None, "y")], "trialNumber string, trial string, size string, extra string")
+    good, bad = flatten.contract(df, {"trial": ("string", ["trialNumber"]), "size": ("int", []), "other": ("date", ["absent"])}, ["trial"])
+    assert sorted(tuple(r) for r in good.collect()) == [("a", 5, None), ("b", None, None), ("c", None, None)] and bad.count() == 0
+    good, bad = flatten.contract(df, {"trial": ("string", []), "size": ("int", [])}, ["trial", "size"])
+    assert good.count() == 0 and sorted(r["missing"] for r in bad.collect()) == ["size", "size", "trial"]
+
+
+def test_upsert_and_exists(spark):
+    from docket_spark.sources.tables import exists, upsert
+
+    old, new = spark.createDataFrame([(1, "a"), (2, "b"), (None, "n")], "k int, v string"), spark.createDataFrame([(2, "c"), (3, "d")], "k int, v string")
+    assert sorted((r["k"] or 0, r["v"]) for r in upsert(old, new, "k").collect()) == [(0, "n"), (1, "a"), (2, "c"), (3, "d")]
+    assert {r["k"]: r["found"] for r in exists(old, new, "k").collect()} == {2: True, 3: False}
+
+
+def test_pending_counts_shapeless_rows_as_missing(spark):
+    from docket_spark.operators import joins
+
+    wanted = spark.createDataFrame([(1,), (2,), (3,), (3,), (None,)], "k int")
+    cached = spark.createDataFrame([(1, "x"), (2, None), (3, "")], "k int, body string")
+    assert sorted(r["k"] for r in joins.pending(wanted, cached, "k", ["body"]).collect()) == [2, 3]
+
+
+def test_scores_far_apart_keep_their_order(spark):
+    from docket_spark.operators import metrics
+
+    rows = [(1, 1e300), (0, 5.0), (1, 5.0), (0, -2.5), (1, 0.0), (0, -1e9), (1, 1e-12), (0, 1e-13)]
+    df = spark.createDataFrame(rows, "y int, p double")
+    pos, neg = [p for y, p in rows if y], [p for y, p in rows if not y]
+    auc = sum((a > b) + (a == b) / 2 for a in pos for b in neg) / len(pos) / len(neg)
+    assert abs(metrics.roc_auc(df, "y", "p").first()["auc"] - auc) < 1e-12
+    last = max((r for r in metrics.roc_points(df, "y", "p").collect()), key=lambda r: r["fpr"])
+    assert (last["fpr"], last["tpr"]) == (1.0, 1.0)
