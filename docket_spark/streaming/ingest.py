@@ -31,22 +31,58 @@ def latest(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     return df.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
 
 
-def upsert_latest(spark: SparkSession, source: DataFrame, key: str, order: list[str], versions: str, checkpoint: str) -> DataFrame | None:
-    """Keeps the newest row per key: batch n writes table version n from version n - 1; returns the last version written.
+def upsert_latest(spark: SparkSession, source: DataFrame, key: str, order: list[str], versions: str, checkpoint: str, parts: int = 64) -> DataFrame | None:
+    """Keeps the newest row per key in a table dealt out to ``parts`` by a hash of the key; returns the table.
 
-    None if nothing was new.  A batch that is run again writes the same version again, so a failure between does no harm.
+    None if nothing was new.  Batch n writes, as version n, the parts that its rows touch, from their newest versions before
+    n; so a batch that is run again writes the same, and other parts are not read.  Versions of a part that are older than
+    the last two go.
     """
     written = []
 
     def batch(df: DataFrame, number: int) -> None:
-        whole = df
-        if number > 0:
-            whole = df.unionByName(spark.read.parquet(f"{versions}/v{number - 1}"))
-        latest(whole, key, order).write.mode("overwrite").parquet(f"{versions}/v{number}")
-        written.append(number)
+        new = df.withColumn("part", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int"))
+        touched = [r["part"] for r in new.select("part").distinct().collect()]  # at most ``parts`` numbers
+        if touched:
+            whole = new.unionByName(_newest(spark, versions, new.schema, number, touched)) if number else new
+            latest(whole, key, order).write.mode("overwrite").partitionBy("part").parquet(f"{versions}/v={number}")
+            _drop_old(spark, versions, number, touched)
+        written.append((number, new.schema))
 
     _run(source, checkpoint, batch)
-    return spark.read.parquet(f"{versions}/v{written[-1]}") if written else None
+    if not written:
+        return None
+    number, like = written[-1]
+    return _newest(spark, versions, like, number + 1, list(range(parts))).drop("part")
+
+
+def _versions(spark: SparkSession, folder: str):
+    """(file system, {part: its versions in order}) of what a versioned table's folder holds."""
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{folder}/v=*/part=*")
+    files = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    found: dict[int, list[int]] = {}
+    for status in files.globStatus(path) or []:
+        here = status.getPath()
+        found.setdefault(int(here.getName().split("=")[1]), []).append(int(here.getParent().getName().split("=")[1]))
+    return files, {p: sorted(v) for p, v in found.items()}
+
+
+def _newest(spark: SparkSession, folder: str, like: T.StructType, before: int, wanted: list[int]) -> DataFrame:
+    """The rows of the wanted parts in their newest versions before a number."""
+    _, found = _versions(spark, folder)
+    newest = {p: max(v for v in found[p] if v < before) for p in wanted if any(v < before for v in found.get(p, []))}
+    paths = [f"{folder}/v={v}/part={p}" for p, v in sorted(newest.items())]
+    schema = T.StructType([f for f in like.fields if f.name != "part"])
+    rows = spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+    return rows.select("*", F.lit(-1).alias("part")).select(like.names)
+
+
+def _drop_old(spark: SparkSession, folder: str, number: int, touched: list[int]) -> None:
+    files, found = _versions(spark, folder)
+    for p in touched:
+        for v in [v for v in found.get(p, []) if v <= number][:-2]:
+            files.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/v={v}/part={p}"), True)
 
 
 def refresh_gaps(spark: SparkSession, folder: str, schema: T.StructType | str, wanted: DataFrame, key: str, seen: str, gaps: str, checkpoint: str) -> None:

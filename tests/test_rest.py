@@ -152,8 +152,18 @@ def test_upsert_and_gap_refresh(spark, tmp_path):
     put("1.json", [("a", 1, "old"), ("b", 1, "x")])
     ingest.upsert_latest(spark, stream(), "k", ["at", "v"], str(tmp_path / "v"), str(tmp_path / "c1"))
     put("2.json", [("a", 2, "new")])
-    ingest.upsert_latest(spark, stream(), "k", ["at", "v"], str(tmp_path / "v"), str(tmp_path / "c1"))
-    assert {r["k"]: r["v"] for r in spark.read.parquet(str(tmp_path / "v" / "v1")).collect()} == {"a": "new", "b": "x"}
+    table = ingest.upsert_latest(spark, stream(), "k", ["at", "v"], str(tmp_path / "v"), str(tmp_path / "c1"))
+    assert {r["k"]: r["v"] for r in table.collect()} == {"a": "new", "b": "x"}
+    assert len(list((tmp_path / "v").glob("v=1/part=*"))) == 1  # the part that was touched
+    for n in (3, 4):
+        put(f"{n}.json", [("a", n, f"new{n}"), ("a", 1, "late"), (None, n, "none")])
+        table = ingest.upsert_latest(spark, stream(), "k", ["at", "v"], str(tmp_path / "v"), str(tmp_path / "c1"))
+        assert {r["k"]: r["v"] for r in table.collect()} == {"a": f"new{n}", "b": "x", None: "none"}
+    parts = {}
+    for x in (tmp_path / "v").glob("v=*/part=*"):
+        parts.setdefault(x.name, []).append(x)
+    assert all(len(v) <= 2 for v in parts.values())
+    assert ingest.upsert_latest(spark, stream(), "k", ["at", "v"], str(tmp_path / "v"), str(tmp_path / "c1")) is None
     wanted = spark.createDataFrame([("a",), ("z",)], "k string")
     ingest.refresh_gaps(spark, str(folder), "k string", wanted, "k", str(tmp_path / "seen"), str(tmp_path / "gaps"), str(tmp_path / "c2"))
     assert [r["k"] for r in spark.read.parquet(str(tmp_path / "gaps")).collect()] == ["z"]
