@@ -327,3 +327,12 @@ def test_stages_take_empty_and_odd_documents(spark, odd_texts):
     for _, stage in corpus_pipeline.STAGES:
         stage(spark, docs, DATA).collect()
         assert stage(spark, docs.where("false"), DATA).count() == 0
+
+
+def test_empty_tables_and_clashing_names(spark):
+    none = spark.createDataFrame([], "doc_id bigint, text string")
+    assert licenses.scan(none).count() == 0 and langid.predict(none, {"en": " the "}).count() == 0 and langid.sample(none.selectExpr("text", "text AS lang")) == {}
+    df = spark.createDataFrame([(1, "x y")], "doc_id bigint, text string")
+    for call in (lambda: licenses.scan(df, keep=("licences",)), lambda: langid.predict(df, {}, keep=("score",)), lambda: pii.find(df, keep=("spans",)), lambda: secrets.scan(df, None, keep=("findings",))):
+        with pytest.raises(ValueError):
+            call()

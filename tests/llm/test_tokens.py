@@ -115,3 +115,14 @@ def test_written_files(spark, tmp_path):
     packing.write_packed(df, str(tmp_path / "p"), model_path=MODEL, size=16)
     r = spark.read.parquet(str(tmp_path / "p")).first()
     assert len(r["ids"]) == 64 and r["doc_ids"] == [1]
+
+
+def test_packing_of_nothing_of_ties_and_of_null_ids(spark, library):
+    none = spark.createDataFrame([], "doc_id bigint, text string")
+    assert packing.pack(none, MODEL).count() == 0
+    rows = [(1, "same words"), (1, "same words"), (None, "same words"), (2, None), (3, "")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "text AS ids", "1 AS part").coalesce(1)
+    n = len(library.encode("same words"))
+    packed = packing.pack(df, MODEL, size=2 * n).collect()
+    assert [(r["doc_ids"], r["starts"], r["n_tokens"]) for r in packed] == [([1, 1], [0, 0], 2 * n), ([None], [0], n)]
+    assert packing.digests(packing.pack(df, MODEL, size=n, digest=True)).count() == 3
