@@ -632,7 +632,7 @@ def _let_go(spark) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def score(df: DataFrame, held_out: Column, text: str = "text", doc_id: str = "doc_id", sweeps: int = 3, burn_in: int = 1, strength: float = 1.0, frequent: int = 300_000, window: int = 2_000_000, bucket_tokens: int = 2_000_000) -> DataFrame:
+def score(df: DataFrame, held_out: Column, text: str = "text", doc_id: str = "doc_id", sweeps: int = 3, burn_in: int = 1, strength: float = 1.0, frequent: int = 500_000, window: int = 2_000_000, bucket_tokens: int = 2_000_000) -> DataFrame:
     """One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity.
 
     Learns from the rows that are not held out.  Null and empty texts hold the end only.  ``base_score`` is the sum of
@@ -727,7 +727,7 @@ def score(df: DataFrame, held_out: Column, text: str = "text", doc_id: str = "do
     # Scores.
     final = static.select("code", "c")
     for k, v in enumerate(samples):
-        final = final.join(v.select("code", F.col("log_p").alias(f"log_p_{k}"), F.col("tables").alias(f"tables_{k}")), "code")
+        final = final.join(v.select("code", F.col("log_p").cast("float").alias(f"log_p_{k}"), F.col("tables").cast("int").alias(f"tables_{k}")), "code")
     final = stored(final)
     discard(static, asks, *samples)
     del asks, static, values
