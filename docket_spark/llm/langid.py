@@ -26,6 +26,8 @@ from .piece_codec import WordTable
 
 UNKNOWN = "und"
 STRETCH = 512
+#: Bytes of texts that a worker cuts up at a time.
+SLICE = 400_000
 BLANK = 32
 
 
@@ -42,7 +44,7 @@ def normal(texts: list[str | None], is_letter: np.ndarray) -> tuple[np.ndarray,
     sizes = np.fromiter(map(len, lowered), np.int64, len(lowered))
     points = np.frombuffer((" ".join(lowered) + " ").encode("utf-32-le", "surrogatepass"), np.uint32)
     word = is_letter[points]
-    text_of = np.repeat(np.arange(len(texts)), sizes + 1)  # each with the blank after it
+    text_of = np.repeat(np.arange(len(texts), dtype=np.int32), sizes + 1)  # each with the blank after it
     # A blank stands before each word and after the last one of a text: the sign before a word's first letter, and the text's end.
     before = np.concatenate([[False], word[:-1]])
     first, last = np.flatnonzero(word & ~before), np.flatnonzero(~word & before)
@@ -85,7 +87,7 @@ class SuffixAutomaton:
         self.to = nexts
 
 
-def sample(df: DataFrame, text: str = "text", lang: str = "lang", model_chars: int = 100_000, text_chars: int = 4_000, max_languages: int = 256) -> dict[str, str]:
+def sample(df: DataFrame, text: str = "text", lang: str = "lang", model_chars: int = 60_000, text_chars: int = 4_000, max_languages: int = 256) -> dict[str, str]:
     """The text to learn of each language.  Rows without text or language are left out; copies count once.
 
     Each language with a letter in its texts has some text."""
@@ -137,6 +139,7 @@ class Parser:
             for c, x in edges[0].items():
                 self.first[k, number[c]] = states + x
             states += len(edges)
+            del edges
         self.table, self.to = WordTable(), np.concatenate([*to, [0]]).astype(np.int32)
         if keys:
             self.table.add(np.concatenate(keys).astype(np.uint64))
@@ -200,7 +203,7 @@ def predict(df: DataFrame, texts: dict[str, str], text: str = "text", keep: tupl
         parser = parser_of(model)
         langs = [*parser.langs, UNKNOWN]
         for whole in batches:
-            for batch in sub_batches(whole, len(keep)):
+            for batch in sub_batches(whole, len(keep), SLICE):
                 points, sizes = normal(batch.column(len(keep)).to_pylist(), parser.is_letter)
                 known = (sizes > 0) & bool(parser.langs)
                 best, score = np.full(len(sizes), len(parser.langs)), np.zeros(len(sizes))

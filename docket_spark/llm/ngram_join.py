@@ -22,7 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import map_batches, ship, stored, sub_batches
+from .common import map_batches, ship, stored, sub_batches, worker_state
 from .decontaminate import words_of
 from .graph import Forest, components
 
@@ -114,6 +114,7 @@ def _bucket_links(least: list[int]):
     """Forest of the surviving pairs of many pairs of chunks; a pair is looked at in the first band that it shares only."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
+        worker_state("", lambda: None)
         rows = rows.sort_values(["band", "key", "low", "high", "part", "node"], ignore_index=True)
         node, band = rows["node"].to_numpy(), rows["band"].to_numpy()
         sig = np.frombuffer(b"".join(rows["sig"]), np.uint16).reshape(-1, HASHES)
@@ -153,6 +154,7 @@ def _cluster_links(threshold: float, least: list[int]):
     """Links of a pair of chunks, verified on the sets: (node, null, count) rows and (node, node, 0) of a forest."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
+        worker_state("", lambda: None)
         rows = rows.drop_duplicates("node")
         sets = [np.frombuffer(x, np.uint64) for x in rows["shingles"]]
         sig = np.frombuffer(b"".join(rows["sig"]), np.uint16).reshape(-1, HASHES)
@@ -210,6 +212,7 @@ def join(df: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: f
     least = [fewest_matches(threshold, tolerance, k * STEP) for k in range(1, HASHES // STEP + 1)]
 
     def sketch(batches):
+        worker_state("", lambda: None)  # models of earlier steps go
         for whole in batches:
             for batch in sub_batches(whole, 1):
                 sets = shingle_sets(batch.column(1).to_pylist(), n)

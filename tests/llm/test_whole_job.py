@@ -9,11 +9,11 @@ import corpus_pipeline
 from docket_spark.llm import langid, licenses, secrets
 
 
-def test_automata_hold_a_hundred_thousand_characters_of_text(spark):
+def test_automata_hold_sixty_thousand_characters_of_text(spark):
     letters = "abcdefghij"
     texts = [" ".join("".join(letters[int(d)] for d in f"{i:06d}") for i in range(k, k + 500)) for k in range(0, 40_000, 500)]
     learned = langid.sample(spark.createDataFrame([(x, "en") for x in texts], "text string, lang string"))["en"]
-    assert len(learned) == 100_000 and sum(x[:100] in learned or x[-100:] in learned for x in texts) > 20
+    assert len(learned) == 60_000 and sum(x[:100] in learned or x[-100:] in learned for x in texts) > 12
     assert any(" ".join(learned[k * 1000 : k * 1000 + 60].split()[1:-1]) in x for k in range(5) for x in texts)  # words in their order
 
 
