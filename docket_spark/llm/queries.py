@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, embedding_dedup, langid, licenses, ngram_join, packing, piece_codec, pii, pitman_yor, secrets
+from . import chat, decontaminate, embedding_dedup, langid, licenses, ngram_join, packing, piece_codec, pii, pitman_yor, secrets
 from .common import bucket_of, table
 
 
@@ -59,5 +59,9 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_sentencepiece, op3_pii, op4_embedding_dedup, op5_decontamination, op6_pitman_yor, op7_language, op8_licences, op9_packing, op10_ngram_join)}
-ORACLE_SQL: dict[str, str] = {"op8_licences": licenses.oracle_sql()}
+def op12_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.digests(chat.format_turns(chat.with_probe(table(spark, sf_dir, "conversations"))))
+
+
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_sentencepiece, op3_pii, op4_embedding_dedup, op5_decontamination, op6_pitman_yor, op7_language, op8_licences, op9_packing, op10_ngram_join, op12_chat)}
+ORACLE_SQL: dict[str, str] = {"op8_licences": licenses.oracle_sql(), "op12_chat": chat.oracle_sql()}
