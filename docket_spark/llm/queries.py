@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontaminate, embedding_dedup, langid, licenses, ngram_join, packing, phrases, piece_codec, pii, pitman_yor, secrets
+from . import chat, decontaminate, embedding_dedup, langid, licenses, ngram_join, packing, phrases, piece_codec, pii, pitman_yor, secrets, whitening
 from .common import bucket_of, table
 
 
@@ -59,6 +59,10 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
 def op12_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_turns(chat.with_probe(table(spark, sf_dir, "conversations"))))
 
@@ -67,5 +71,5 @@ def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.mine(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_sentencepiece, op3_pii, op4_embedding_dedup, op5_decontamination, op6_pitman_yor, op7_language, op8_licences, op9_packing, op10_ngram_join, op12_chat, op13_phrases)}
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_sentencepiece, op3_pii, op4_embedding_dedup, op5_decontamination, op6_pitman_yor, op7_language, op8_licences, op9_packing, op10_ngram_join, op11_whitening, op12_chat, op13_phrases)}
 ORACLE_SQL: dict[str, str] = {"op8_licences": licenses.oracle_sql(), "op12_chat": chat.oracle_sql(), "op13_phrases": phrases.oracle_sql()}
