@@ -167,39 +167,41 @@ def _candidates(df: DataFrame, names: list[str], titles: list[str]) -> DataFrame
     return settled(df, rest, {"__more": F.concat(*(F.transform(f"__free_{k}", _described(k, names, titles)) for k in ("person", "number")))})
 
 
+#: What is held of a labeler before any vote is seen: right in so many of so many votes.
+PRIOR_RIGHT, PRIOR_VOTES = 19.0, 20.0
+
+
 def reliabilities(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 60) -> tuple[float, list[dict[int, tuple[float, float]]], dict[tuple[int, ...], float]]:
     """Expectation-maximisation over vote patterns and their counts.
 
-    Returns the share of true candidates, by labeler and vote (P(vote | true), P(vote | false)), and the posterior by
-    pattern.  A labeler may prove useless, but never to mean the opposite of its vote.
+    A labeler is right in a share of its votes, for or against alike, and silent regardless of the truth; that share is
+    what is estimated, from how its votes agree with the posteriors.  It is a half at least: a labeler may prove useless,
+    but never to mean the opposite.  Before votes both classes are as likely: labelers that only vote for, or only
+    against, would leave a share of true candidates undetermined.
+
+    Returns the share of true candidates among those with a vote, by labeler and vote (P(vote | true), P(vote | false)) of
+    the votes cast, and the posterior by pattern; that of candidates without a vote is a half, which is no label.
     """
-    post = {v: 0.9 if sum(v) > 1 else 0.6 if sum(v) == 1 else 0.1 if sum(v) < 0 else 0.25 for v, _ in patterns}
-    share, tables = 0.5, []
+    voted_for = [(v, n) for v, n in patterns if any(v)]
+    right = [PRIOR_RIGHT / PRIOR_VOTES] * len(patterns[0][0])
+    post: dict[tuple[int, ...], float] = {}
     for _ in range(rounds):
-        total = sum(n for _, n in patterns)
-        yes = sum(n * post[v] for v, n in patterns)
-        share = (yes + 1) / (total + 2)
-        tables = []
-        for j in range(len(patterns[0][0])):
-            own = {vote: ((sum(n * post[v] for v, n in patterns if v[j] == vote) + 1 + (vote == 1)) / (yes + 4), (sum(n * (1 - post[v]) for v, n in patterns if v[j] == vote) + 1 + (vote == -1)) / (total - yes + 4)) for vote in (-1, 0, 1)}
-            for vote in (-1, 1):
-                if vote * (own[vote][0] - own[vote][1]) < 0:
-                    own[vote] = (sum(own[vote]) / 2,) * 2
-            own[0] = (sum(own[0]) / 2,) * 2  # silence says nothing
-            tables.append(own)
-        for v, _ in patterns:
-            a, b = math.log(share), math.log(1 - share)
-            for j, vote in enumerate(v):
-                a, b = a + math.log(tables[j][vote][0]), b + math.log(tables[j][vote][1])
-            post[v] = 1 / (1 + math.exp(min(60.0, max(-60.0, b - a))))
-    return share, tables, post
+        weights = [math.log(r / (1 - r)) for r in right]
+        post = {v: 1 / (1 + math.exp(-min(60.0, max(-60.0, sum(vote * w for vote, w in zip(v, weights)))))) for v, _ in patterns}
+        for j in range(len(right)):
+            cast = sum(n for v, n in voted_for if v[j])
+            agreed = sum(n * (post[v] if v[j] > 0 else 1 - post[v]) for v, n in voted_for if v[j])
+            right[j] = min(0.999, max(0.5, (agreed + PRIOR_RIGHT) / (cast + PRIOR_VOTES)))
+    total = sum(n for _, n in voted_for)
+    share = sum(n * post[v] for v, n in voted_for) / total if total else 0.5
+    return share, [{1: (r, 1 - r), 0: (1.0, 1.0), -1: (1 - r, r)} for r in right], post
 
 
 def train(candidates: DataFrame, sample: int = 50_000) -> dict[str, tuple[float, list[float]]]:
     """By kind (intercept, weights) of the span classifier; kinds without candidates are left out.
 
     ``candidates`` holds the __more column.  The counts of vote patterns cover all candidates; the regression takes about
-    ``sample`` of them, chosen by a hash.  A kind of which no candidate is likely has no classifier.
+    ``sample`` of them, chosen by a hash, none without a vote.  A kind of which no candidate is likely has no classifier.
     """
     spark = candidates.sparkSession
     each = stored(candidates.select(F.explode("__more").alias("c")).select("c.kind", "c.votes", "c.features").groupBy("kind", "votes", "features").count())
@@ -208,7 +210,8 @@ def train(candidates: DataFrame, sample: int = 50_000) -> dict[str, tuple[float,
     for kind in sorted({r["kind"] for r in counted}):
         own = sorted((tuple({"+": 1, "-": -1, "0": 0}[s] for s in r["votes"]), r["votes"], r["n"], r["rows"]) for r in counted if r["kind"] == kind)
         _, _, post = reliabilities([(v, n) for v, _, n, _ in own])
-        if max(post.values()) < 0.5:
+        own = [x for x in own if any(x[0])]
+        if not any(post[v] > 0.5 for v, *_ in own):
             continue
         known = spark.createDataFrame([(text, float(post[v])) for v, text, _, _ in own], "votes string, p double")
         share = min(1.0, sample / sum(rows for *_, rows in own))
@@ -230,6 +233,8 @@ def find(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",),
     if clash := set(keep) & {"base", "spans", "__text", "__more", *(f"__{k}" for k in BASE)}:
         raise ValueError(f"clashing names: {sorted(clash)}")
     work = _candidates(with_base(df.select(*keep, df[text].alias("__body")), "__body"), names, titles)
+    # the spans are wanted twice, the texts are searched once
+    work = stored(work.select(*keep, *(f"__{k}" for k in BASE), "__more"))
     models = train(work)
     row = lambda kind: lambda x: F.struct(x["start"].alias("start"), F.lit(KINDS.index(kind)).alias("kind_no"), x["end"].alias("end"), F.lit(kind).alias("kind"))
     base = F.concat(*(F.transform(f"__{k}", row(k)) for k in BASE))

@@ -277,6 +277,62 @@ def test_reliabilities_tell_good_labelers():
     assert tables[0][1][0] > tables[0][1][1]
 
 
+def test_reliabilities_equal_plain_loops_over_candidates():
+    r = random.Random(8)
+    truth = [r.random() < 0.3 for _ in range(400)]
+    good, casts = [0.95, 0.8, 0.6, 0.9], [0.7, 0.5, 0.9, 0.3]
+    rows = [tuple((1 if (t == (r.random() < g)) else -1) if r.random() < c else 0 for g, c in zip(good, casts)) for t in truth]
+    right = [0.95] * 4
+    for _ in range(60):
+        likely = []
+        for row in rows:
+            yes = no = 1.0
+            for vote, share in zip(row, right):
+                if vote:
+                    yes, no = yes * (share if vote > 0 else 1 - share), no * (share if vote < 0 else 1 - share)
+            likely.append(yes / (yes + no))
+        for j in range(4):
+            agreed = [p if row[j] > 0 else 1 - p for p, row in zip(likely, rows) if row[j]]
+            right[j] = min(0.999, max(0.5, (sum(agreed) + 19) / (len(agreed) + 20)))
+    share, tables, post = pii.reliabilities(list(Counter(rows).items()))
+    assert all(abs(post[row] - p) < 1e-9 for row, p in zip(rows, likely)) and post.get((0, 0, 0, 0), 0.5) == 0.5
+    assert all(abs(t[1][0] - x) < 1e-9 for t, x in zip(tables, right)) and right[0] > right[2] and right[3] > right[2]
+    assert abs(share - np.mean([p for p, row in zip(likely, rows) if any(row)])) < 1e-9
+    assert np.mean([(p > 0.5) == t for p, t, row in zip(likely, truth, rows) if any(row)]) > 0.85
+
+
+def test_a_vote_against_and_silence():
+    _, _, post = pii.reliabilities([((0, 0), 1000), ((0, -1), 500), ((-1, 0), 20), ((1, 1), 3)])
+    assert post[(0, 0)] == 0.5 and post[(0, -1)] < 0.1 and post[(-1, 0)] < 0.1 and post[(1, 1)] > 0.9
+
+
+def test_persons_and_numbers_in_mixed_prose(spark):
+    """Recall and precision of added spans on planted persons and numbers among other capitalised words and numbers."""
+    r = random.Random(21)
+    given, last, plain = pii.GIVEN_NAMES, "Smith Keller Novak Jansen Moreau Ortiz Lund Weber".split(), "the house was sold and we went on to see it when rain had stopped".split()
+    others = ["the Royal Garden", "in North Street", "at the State University", "of the General Terms", "The Table", "of the Upper Valley", "in March Street"]
+    texts, people, numbers = [], [], []
+    for k in range(600):
+        words = lambda: " ".join(r.choice(plain) for _ in range(r.randint(3, 9)))
+        who, ssn = f"{r.choice(given)} {r.choice(last)}", f"{r.randint(100, 599)}-{r.randint(10, 99)}-{r.randint(1000, 9999)}"
+        parts = [words(), r.choice(others), words()]
+        if k % 3 == 0:
+            parts += [r.choice(["contact", "signed by", "patient"]), who + ",", words()]
+        if k % 3 == 1:
+            parts += [r.choice(["ssn", "phone", "passport"]), ssn + ",", words()]
+        parts += [r.choice(["page", "order", "version", "in"]), str(r.randint(1, 2030)), words() + "."]
+        text = " ".join(parts)
+        texts.append(text)
+        people.append({(text.index(who), text.index(who) + len(who))} if k % 3 == 0 else set())
+        numbers.append({(text.index(ssn), text.index(ssn) + len(ssn))} if k % 3 == 1 else set())
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    rows = pii.find(df).orderBy("doc_id").collect()
+    for kind, planted in (("person", people), ("number", numbers)):
+        got = [{(s["start"], s["end"]) for s in x["spans"] if s["kind"] == kind} for x in rows]
+        hit, said, there = sum(len(a & b) for a, b in zip(got, planted)), sum(map(len, got)), sum(map(len, planted))
+        assert hit / there > 0.9 and hit / said > 0.9, (kind, hit, said, there)
+
+
 def test_secrets(spark, odd_texts):
     r = random.Random(2)
     key = lambda n, a: "".join(r.choice(a) for _ in range(n))
