@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.scalars import MISSING
+from ..sources.tables import scratch
 
 
 def _tick(df: DataFrame, column: str) -> Column:
@@ -108,8 +109,66 @@ def _with_frequency(events, queries, out, key, event_date, query_date, null_key=
 def rolling(events: DataFrame, queries: DataFrame, rate_keys: list[list[str]], frequency_keys: list[str], resolved: str, query_date: str, outcome: str) -> DataFrame:
     """All prior rates and frequencies: rates by resolution date, frequencies by query date of the events.
 
-    Each key's sums come from the given frames, never from the frame that grows, so the plan has two scans of each per key.
+    With dates, all keys go together: the frames are brought to their narrow columns and stored once under
+    ``spark.checkpoint.dir``, each row is laid out by (number of the key, key, date), and one aggregate, one window, one
+    join and one regrouping serve every key.  Times finer than days go key by key.
     """
+    kinds = {events.schema[resolved].dataType.typeName(), events.schema[query_date].dataType.typeName(), queries.schema[query_date].dataType.typeName()}
+    if kinds != {"date"}:
+        return _rolling_by_key(events, queries, rate_keys, frequency_keys, resolved, query_date, outcome)
+    spark = queries.sparkSession
+    folder = scratch(spark, "rolling")
+    queries.write.parquet(f"{folder}/queries")
+    asked = spark.read.schema(queries.schema).parquet(f"{folder}/queries").withColumn("__row", F.monotonically_increasing_id())
+    if events is queries:
+        given = spark.read.schema(queries.schema).parquet(f"{folder}/queries")
+    else:
+        given = events.select(*dict.fromkeys([*(k for keys in rate_keys for k in keys), *frequency_keys, resolved, query_date, outcome]))
+    all_keys = [*rate_keys, *([k] for k in frequency_keys)]
+
+    def laid(no: int, key: Column, t: Column, value: Column) -> Column:
+        return F.struct(F.lit(no).alias("no"), key.alias("key"), t.alias("t"), value.alias("s"))
+
+    def spread(of_events: bool) -> Column:
+        """One struct for each key that the row has a date for; number 0 is the key of all."""
+        value = F.col(outcome).cast("double") if of_events else F.lit(0.0)
+        day = F.unix_date(resolved if of_events else query_date)
+        out = [laid(0, F.lit(""), day, value), *(laid(i + 1, _told(keys), day, value) for i, keys in enumerate(rate_keys))]
+        out += [laid(len(rate_keys) + 1 + i, _told([k]), F.unix_date(query_date), F.lit(0.0)) for i, k in enumerate(frequency_keys)]
+        return F.inline(F.filter(F.array(*out), lambda x: x["t"].isNotNull()))
+
+    places = asked.select("__row", spread(False)).select("__row", "no", "key", "t")
+    grain = given.select(spread(True)).withColumn("n", F.lit(1)).unionByName(places.select("no", "key", "t", F.lit(0.0).alias("s"), F.lit(0).alias("n"))).groupBy("no", "key", "t").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    group = Window.partitionBy("no", "key")
+    w = group.orderBy("t").rangeBetween(Window.unboundedPreceding, -1)
+    all_rows = lambda c: F.when(F.col("no") == 0, F.sum(c).over(group))
+    known = grain.select("no", "key", "t", F.sum("n").over(w).alias("bn"), F.sum("s").over(w).alias("bs"), all_rows("n").alias("all_n"), all_rows("s").alias("all_s"))
+    known.write.parquet(f"{folder}/known")
+    known = spark.read.parquet(f"{folder}/known")
+    found = places.join(known, ["no", "key", "t"]).groupBy("__row").agg(*(F.max(F.when(F.col("no") == i, F.struct("bn", "bs"))).alias(f"__x{i}") for i in range(len(all_keys) + 1)))
+    mean = known.where("no = 0").agg(F.try_divide(F.max("all_s"), F.max("all_n")).alias("__mean"))
+    out = asked.join(found, "__row", "left").crossJoin(F.broadcast(mean))
+    fallback = F.coalesce(F.try_divide("__x0.bs", F.when(F.col("__x0.bn") > 0, F.col("__x0.bn"))), F.col("__mean"))
+    made = []
+    for i, keys in enumerate(rate_keys):
+        n = F.coalesce(F.col(f"__x{i + 1}.bn"), F.lit(0))
+        made += [F.when(n > 0, F.col(f"__x{i + 1}.bs") / n).otherwise(fallback).alias(f"{_plain(keys)}_prior_rate"), n.cast("bigint").alias(f"{_plain(keys)}_prior_count")]
+    for i, key in enumerate(frequency_keys):
+        n = F.when(F.col(key).isNull(), 0).otherwise(F.coalesce(F.col(f"__x{len(rate_keys) + 1 + i}.bn"), F.lit(0)))
+        made.append(n.cast("bigint").alias(f"{key}_frequency"))
+    return out.select(*queries.columns, *made)
+
+
+def _told(keys: list[str]) -> Column:
+    """A text that tells keys apart, null from values too; of several parts a null one is a value of its own."""
+    if len(keys) == 1:
+        return F.coalesce(F.concat(F.lit("="), F.col(keys[0]).cast("string")), F.lit(""))
+    parts = [F.coalesce(F.col(k).cast("string"), F.lit(MISSING)) for k in keys]
+    return F.concat(*(x for p in parts for x in (F.length(p).cast("string"), F.lit("="), p)))
+
+
+def _rolling_by_key(events: DataFrame, queries: DataFrame, rate_keys: list[list[str]], frequency_keys: list[str], resolved: str, query_date: str, outcome: str) -> DataFrame:
+    """Each key's sums come from the given frames, never from the frame that grows, so the plan has two scans of each per key."""
     dated = events.where(F.col(resolved).isNotNull())
     out = _with_fallback(dated, queries, resolved, query_date, outcome)
     for keys in rate_keys:
