@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from ..functions.scalars import lenient_date
 from .select_one import first_per_key
@@ -76,6 +76,37 @@ def join_all(labelled: DataFrame, petitions: DataFrame, patents: DataFrame, text
     return joined, report.crossJoin(dates)
 
 
+#: What join_observed counts, by the step that counts it.
+OBSERVED = {"labelled": ["n_labelled", "n_ready"], "petitions": ["n_without_petition"], "joined": ["n_joined", "n_date_mismatch", "n_wrapper_matched", "n_text"]}
+
+
+def join_observed(labelled: DataFrame, petitions: DataFrame, patents: DataFrame, texts: DataFrame, key: str = "trial_number", patent_key: str = "application_number", filing: str = "petition_filing_date", petition_date: str = "petition_filing_date_doc", patent_number: str = "patent_number", text: str = "petition_text") -> tuple[DataFrame, dict[str, Observation]]:
+    """(joined rows as join_all, observations): the counts come with whatever job makes the rows, without a second pass.
+
+    After a write of the rows, report() gives the counts.  A query with two jobs over the rows counts in the first.
+    """
+    seen = {name: Observation(name) for name in OBSERVED}
+    count = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
+    is_ready = F.col(filing).isNotNull() & F.col(patent_number).isNotNull()
+    start = labelled.observe(seen["labelled"], F.count(F.lit(1)).alias("n_labelled"), count(is_ready).alias("n_ready"))
+    slim = petitions.select(F.col(key), F.col(petition_date), *[c for c in petitions.columns if c not in (key, petition_date, *labelled.columns)])
+    with_petition = start.join(slim.withColumn("__found", F.lit(True)), key, "left")
+    # a row without a petition is there once, whatever petitions repeat
+    with_petition = with_petition.observe(seen["petitions"], count(F.col("__found").isNull()).alias("n_without_petition"))
+    joined = with_petition.where(F.col("__found") & is_ready).drop("__found").withColumn(patent_key, F.col(patent_key).cast("string"))
+    right = patents.withColumn(patent_key, F.col(patent_key).cast("string"))
+    joined = left_with_flag(joined, right.drop(*[c for c in right.columns if c in joined.columns and c != patent_key]), patent_key, "wrapper_matched")
+    joined = joined.join(texts.select(key, text), key, "left")
+    differs = F.col(petition_date).isNotNull() & (F.col(petition_date) != F.col(filing))
+    joined = joined.observe(seen["joined"], F.count(F.lit(1)).alias("n_joined"), count(differs).alias("n_date_mismatch"), count(F.col("wrapper_matched")).alias("n_wrapper_matched"), count(F.col(text).isNotNull()).alias("n_text"))
+    return joined, seen
+
+
+def report(seen: dict[str, Observation]) -> dict[str, int]:
+    """The counts of join_observed, once its rows have been made."""
+    return {k: int(v) for o in seen.values() for k, v in o.get.items()}
+
+
 def features_with_labels(features: DataFrame, labelled: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """Features of the labelled rows, with label and dates; one label row per key, the least of several."""
     one = first_per_key(labelled.select(key, *columns).where(F.col(key).isNotNull()), [key], [F.col(c) for c in columns])

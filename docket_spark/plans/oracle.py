@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from . import trials
+
 EVENTS = "ev AS (SELECT o_custkey, o_orderpriority, CAST(l_shipdate AS DATE) AS d, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS y FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
 
 
@@ -154,3 +156,5 @@ SELECT o_orderkey, CAST(year(d) AS INTEGER) AS year, CAST(month(d) AS INTEGER) A
     "stream_ingest": "SELECT event_id, event_type AS kind, CAST(NULL AS VARCHAR) AS none FROM events",
 }
 SQL["stream_upsert"] = SQL["upsert_latest"]
+SQL["prior_rate_saved"] = SQL["prior_rate_single"]
+SQL |= trials.SQL

@@ -11,6 +11,7 @@ from ..operators import arrays as A, asof, encode, features, flatten, joins, lab
 from ..sources import pages
 from ..sources.tables import read_table, scratch, upsert
 from ..streaming.ingest import append_new, latest, upsert_latest as upsert_stream
+from . import trials
 
 ERAS = {"first": "1900-01-01", "second": "1996-03-01", "third": "1997-07-15", "fourth": "1999-01-01", "fifth": "2000-06-30"}
 CATEGORIES = {"click": "EX", "view": "AA", "purchase": "ISS"}
@@ -492,3 +493,5 @@ avg_precision_f1 class_report calibration roc_points confusion stratified_sample
 parallel_bag explode_pages page_completeness constant_filter search_filters facet_counts distinct_keys feature_matrix train_rf train_lr forward_cv
 grid_search importances score_rows ablation compare_estimators candidate_scan typed_view stream_ingest stream_upsert""".split()
 QUERIES = {name: globals()[name] for name in NAMES}
+QUERIES |= trials.QUERIES
+NAMES += list(trials.QUERIES)

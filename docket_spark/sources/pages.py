@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def records(pages: DataFrame, bag: str, keep: list[str] = ()) -> DataFrame:
@@ -18,6 +18,31 @@ def completeness(pages: DataFrame, bucket: str, count: str, bag: str) -> DataFra
     return sums.withColumn("complete", F.coalesce(F.col("announced") == F.col("held"), F.lit(False)))
 
 
+def missing_ranges(pages: DataFrame, bucket: str, offset: str, size: int, announced: DataFrame, count: str, block: int = 100_000) -> DataFrame:
+    """(bucket, first, last, n_pages): runs of page offsets that are not held, of 0, size, 2 size, ... below what is announced.
+
+    ``announced`` has a row (bucket, count) for each bucket; buckets without any page miss all of theirs.  Runs of held
+    pages are islands (page number less rank is equal inside); what lies between them is missing.  Numbers are ranked within
+    blocks of ``block`` pages and the islands' ends joined up across blocks, so no task sorts a whole bucket.  Repeated
+    pages count once; offsets that are no multiple of the size, negative or beyond the announced count are not looked at.
+    """
+    rest = F.col(offset) % size
+    held = pages.where((rest == 0) & (F.col(offset) >= 0)).select(F.col(bucket).alias("bucket"), (F.col(offset) / size).cast("bigint").alias("page")).distinct()
+    w = Window.partitionBy("bucket", "block").orderBy("page")
+    ranked = held.withColumn("block", F.floor(F.col("page") / block)).withColumn("island", F.col("page") - F.row_number().over(w))
+    islands = ranked.groupBy("bucket", "block", "island").agg(F.min("page").alias("first"), F.max("page").alias("last"))
+    total = announced.select(F.col(bucket).alias("bucket"), F.ceil(F.col(count) / size).cast("bigint").alias("pages"))
+    # inside a block between islands; across blocks between a block's last page and the next block's first
+    inner = islands.withColumn("next", F.lead("first").over(Window.partitionBy("bucket", "block").orderBy("first"))).where("next is not null").select("bucket", (F.col("last") + 1).alias("first"), (F.col("next") - 1).alias("last"))
+    blocks = islands.groupBy("bucket", "block").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    ends = blocks.unionByName(total.select("bucket", F.lit(-1).cast("bigint").alias("block"), F.lit(-1).cast("bigint").alias("first"), F.lit(-1).cast("bigint").alias("last")))
+    over = Window.partitionBy("bucket").orderBy("block")
+    outer = ends.withColumn("next", F.lead("first").over(over)).join(total, "bucket").select("bucket", (F.col("last") + 1).alias("first"), (F.coalesce("next", "pages") - 1).alias("last"))
+    found = inner.join(total, "bucket").select("bucket", "first", "last", "pages").unionByName(outer.join(total, "bucket").select("bucket", "first", "last", "pages"))
+    cut = found.withColumn("last", F.least("last", F.col("pages") - 1)).where("first <= last")
+    return cut.select(F.col("bucket").alias(bucket), (F.col("first") * size).alias("first"), (F.col("last") * size).alias("last"), (F.col("last") - F.col("first") + 1).alias("n_pages"))
+
+
 def only(df: DataFrame, **values) -> DataFrame:
     """Rows whose columns have constant values (a list: any of them); reaches the scan as a pushed filter."""
     for c, v in values.items():
