@@ -21,6 +21,10 @@ def _lines(spark, sf: str) -> DataFrame:
     return _t(spark, sf, "lineitem", "l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_returnflag", "l_linestatus", "l_shipdate").withColumn("ship", F.to_date("l_shipdate")).drop("l_shipdate")
 
 
+#: Lines of an order stand in this order; line numbers repeat.
+ORDER = ["l_linenumber", "ship", "l_suppkey", "l_partkey", "l_returnflag", "l_linestatus"]
+
+
 def prior_rate_saved(spark, sf):
     """Prior rates of customers from a saved table, fitted on a part of the events and extended by the rest."""
     orders = _t(spark, sf, "orders", "o_orderkey", "o_custkey", "o_orderdate")
@@ -35,7 +39,7 @@ def _raw_wrappers(spark, sf: str) -> DataFrame:
     """A JSON text of each order, every second one in an envelope."""
     text = lambda c: c.cast("string")
     line = F.struct(
-        F.col("l_linenumber").alias("no"),
+        *ORDER,
         F.struct(F.when(F.col("l_linenumber") % 3 > 0, F.concat(F.lit("C"), text(F.col("l_suppkey")))).alias("eventCode"), F.when(F.col("l_linenumber") % 4 > 0, text(F.col("ship"))).otherwise("none").alias("eventDate")).alias("event"),
         F.struct(text(F.col("ship")).alias("assignmentReceivedDate"), F.when(F.col("l_returnflag") != "N", text(F.date_add("ship", 5))).alias("assignmentRecordedDate"), F.array(F.struct(F.concat(F.lit("S"), text(F.col("l_suppkey"))).alias("assigneeNameText")), F.struct(F.lit("").alias("assigneeNameText"))).alias("assigneeBag")).alias("assigned"),
         F.struct(F.when(F.col("l_linenumber") == 2, "").otherwise(text(F.col("l_partkey"))).alias("parentApplicationNumberText")).alias("parent"),
@@ -66,13 +70,13 @@ WRAPPER_SQL = """
 WITH x AS (SELECT *, CAST(l_shipdate AS DATE) AS ship FROM lineitem)
 SELECT CAST(o_orderkey AS VARCHAR) AS application_number, CAST(any_value(o_orderdate) AS DATE) AS filing_date, any_value(o_orderpriority) AS application_type, any_value(o_orderstatus) AS entity_size,
   CASE o_orderkey % 3 WHEN 0 THEN true WHEN 1 THEN false END AS first_inventor_to_file, count(*) AS n_inventors, array_to_string(list_sort(list_distinct(list(l_returnflag))), '|') AS inventor_country_codes,
-  count(*) FILTER (l_linestatus = 'O') AS n_attorneys_of_record, o_orderkey % 40 AS pta_a_delay, string_agg(l_returnflag || l_linestatus, '|' ORDER BY l_linenumber) AS cpc_codes,
-  string_agg(CASE WHEN l_linenumber % 3 > 0 THEN 'C' || l_suppkey ELSE '-' END, '|' ORDER BY l_linenumber) AS event_codes,
-  string_agg(CASE WHEN l_linenumber % 4 > 0 THEN CAST(ship AS VARCHAR) ELSE '-' END, '|' ORDER BY l_linenumber) AS event_dates,
-  string_agg(CAST(ship AS VARCHAR), '|' ORDER BY l_linenumber) AS assignment_received_dates,
-  string_agg(CASE WHEN l_returnflag <> 'N' THEN CAST(ship + 5 AS VARCHAR) ELSE '-' END, '|' ORDER BY l_linenumber) AS assignment_recorded_dates,
-  string_agg('S' || l_suppkey, '|' ORDER BY l_linenumber) AS assignees_per_assignment,
-  coalesce(string_agg(CAST(l_partkey AS VARCHAR), '|' ORDER BY l_linenumber) FILTER (l_linenumber <> 2), '') AS parent_app_numbers
+  count(*) FILTER (l_linestatus = 'O') AS n_attorneys_of_record, o_orderkey % 40 AS pta_a_delay, string_agg(l_returnflag || l_linestatus, '|' ORDER BY l_linenumber, ship, l_suppkey, l_partkey, l_returnflag, l_linestatus) AS cpc_codes,
+  string_agg(CASE WHEN l_linenumber % 3 > 0 THEN 'C' || l_suppkey ELSE '-' END, '|' ORDER BY l_linenumber, ship, l_suppkey, l_partkey, l_returnflag, l_linestatus) AS event_codes,
+  string_agg(CASE WHEN l_linenumber % 4 > 0 THEN CAST(ship AS VARCHAR) ELSE '-' END, '|' ORDER BY l_linenumber, ship, l_suppkey, l_partkey, l_returnflag, l_linestatus) AS event_dates,
+  string_agg(CAST(ship AS VARCHAR), '|' ORDER BY l_linenumber, ship, l_suppkey, l_partkey, l_returnflag, l_linestatus) AS assignment_received_dates,
+  string_agg(CASE WHEN l_returnflag <> 'N' THEN CAST(ship + 5 AS VARCHAR) ELSE '-' END, '|' ORDER BY l_linenumber, ship, l_suppkey, l_partkey, l_returnflag, l_linestatus) AS assignment_recorded_dates,
+  string_agg('S' || l_suppkey, '|' ORDER BY l_linenumber, ship, l_suppkey, l_partkey, l_returnflag, l_linestatus) AS assignees_per_assignment,
+  coalesce(string_agg(CAST(l_partkey AS VARCHAR), '|' ORDER BY l_linenumber, ship, l_suppkey, l_partkey, l_returnflag, l_linestatus) FILTER (l_linenumber <> 2), '') AS parent_app_numbers
 FROM orders JOIN x ON o_orderkey = l_orderkey GROUP BY o_orderkey"""
 
 
@@ -84,7 +88,7 @@ def _trials(spark, sf: str) -> DataFrame:
     """Orders as trials with dated events and assignments (their lines), and petition texts of known content."""
     k = F.col("o_orderkey")
     code = F.element_at(F.array(*map(F.lit, LINE_CODES)), (F.col("l_linenumber") % 5 + 1).cast("int"))
-    line = F.struct(F.col("l_linenumber").alias("no"), code.alias("code"), F.col("ship").alias("date"), F.when(F.col("l_returnflag") != "N", F.date_add("ship", 9)).alias("recorded"), F.array(F.concat(F.lit("Firm "), (F.col("l_suppkey") % 3).cast("string"), F.lit(", Inc."))).alias("names"), F.concat(F.col("l_returnflag"), F.lit("01"), F.col("l_linestatus"), F.lit(" 1/00")).alias("cpc"), F.col("l_returnflag").alias("flag"), F.col("l_partkey").cast("string").alias("part"))
+    line = F.struct(*ORDER, code.alias("code"), F.col("ship").alias("date"), F.when(F.col("l_returnflag") != "N", F.date_add("ship", 9)).alias("recorded"), F.array(F.concat(F.lit("Firm "), (F.col("l_suppkey") % 3).cast("string"), F.lit(", Inc."))).alias("names"), F.concat(F.col("l_returnflag"), F.lit("01"), F.col("l_linestatus"), F.lit(" 1/00")).alias("cpc"), F.col("l_returnflag").alias("flag"), F.col("l_partkey").cast("string").alias("part"))
     own = _lines(spark, sf).groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("x"))
     df = _t(spark, sf, "orders", "o_orderkey", "o_orderdate", "o_orderstatus", "o_custkey").join(own, k == F.col("l_orderkey"), "left")
     of = lambda name: F.transform("x", lambda e: e[name])
@@ -111,13 +115,13 @@ _ERAS = " ".join(f"WHEN t0 >= DATE '{start}' THEN '{name}'" for name, start in s
 TRIAL_SQL = f"""
 WITH o AS (SELECT *, CAST(o_orderdate AS DATE) AS filed, CAST(o_orderdate AS DATE) + 60 AS t0, o_orderkey AS k FROM orders WHERE o_orderkey % 11 > 0),
 x AS (
-  SELECT k, t0, l_linenumber AS no, CAST(l_shipdate AS DATE) AS ship, ['CTNF','WIDS','TRIALPET','ZZZZ','M2551'][CAST(l_linenumber % 5 + 1 AS INT)] AS code, 'firm ' || (l_suppkey % 3) || ' inc' AS firm,
+  SELECT k, t0, l_linenumber AS no, l_suppkey AS supp, l_partkey AS part, CAST(l_shipdate AS DATE) AS ship, ['CTNF','WIDS','TRIALPET','ZZZZ','M2551'][CAST(l_linenumber % 5 + 1 AS INT)] AS code, 'firm ' || (l_suppkey % 3) || ' inc' AS firm,
     l_returnflag AS flag, l_returnflag || '01' || l_linestatus AS cpc FROM o JOIN lineitem ON k = l_orderkey),
 e AS (
   SELECT k, count(*) FILTER (code = 'CTNF') AS ex, count(*) FILTER (code = 'WIDS') AS aa, count(*) FILTER (code = 'M2551') AS maint, count(*) FILTER (code = 'ZZZZ') AS other, count(*) AS n,
     CASE WHEN count(*) >= 2 THEN max(ship) - min(ship) END AS span FROM x WHERE ship < t0 AND code <> 'TRIALPET' GROUP BY k),
 a AS (SELECT k, count(*) AS n, count(DISTINCT firm) AS firms, max(ship) AS last FROM x WHERE ship < t0 GROUP BY k),
-c AS (SELECT k, count(*) AS n, count(DISTINCT substr(cpc, 1, 4)) AS subs, min_by(substr(cpc, 1, 1), no) AS section, bool_and(flag = 'US') AS us FROM x GROUP BY k),
+c AS (SELECT k, count(*) AS n, count(DISTINCT substr(cpc, 1, 4)) AS subs, min_by(substr(cpc, 1, 1), (no, ship, supp, part, flag)) AS section, bool_and(flag = 'US') AS us FROM x GROUP BY k),
 said AS (SELECT *, (k % 4) * length('Ground 1: obvious. ') + (k % 3) * length('under § 102 now. ') + (k % 5) * length('under § 103 now. ') + CASE WHEN k % 7 = 0 THEN length('Petitioner will not pursue such a ground. ') ELSE 0 END
   + CASE WHEN k % 6 = 0 THEN length('Factor 1: a. Factor 2: b. Factor 3: c. ') ELSE 0 END + CASE WHEN k % 10 = 0 THEN 300 ELSE 400 END * length('plain words. ') AS chars FROM o)
 SELECT CAST(k AS VARCHAR) AS trial_number, CAST(o_custkey % 9 AS VARCHAR) AS technology_center, o_orderstatus AS entity_size, CAST(year(t0) AS BIGINT) AS filing_year, CAST(month(t0) AS BIGINT) AS filing_month, CAST(t0 - filed AS BIGINT) AS days_grant_to_petition,
