@@ -44,7 +44,7 @@ GATE = r"[0-9:=]|AKIA|ASIA|gh[pousr]_|glpat-|xox[abprs]-|sk_live_|AIza"
 PLAIN = r"^(?:[A-Za-z_]+(?:(?:[._:-]|->)+[A-Za-z_]*)*(?:[(\[].*)?|[$%<{(@].*|[A-Za-z+]+://[^@]*)$"
 PLACEHOLDER = r"(?i)(?:example|sample|dummy|changeme|your|xxxx|placeholder|test|foobar|0123456|abcdef0|1234567890)|(.)\1{5}"
 TEST_PATH = r"(?i)(?:^|[/_.-])(?:test|tests|spec|example|examples|sample|fixture|fixtures|doc|docs|mock)(?:[/_.-]|$)"
-DICTIONARY = "the|and|ing|ion|for|with|user|name|data|file|image|http|https|www|com|org|html|static|assets|version|release|build|index|page|title|default|config|server|client|public|module|package|component|service|request|response|content|style|color|width|height|function|return|value|number|string"
+DICTIONARY = "the|and|ing|ion|for|with|user|name|data|file|image|http|https|www|com|org|html|static|assets|version|release|build|index|page|title|default|config|server|client|public|module|package|component|service|request|response|content|style|color|width|height|function|return|value|number|string|example|sample|dummy|changeme|your|placeholder|test|foobar|here|insert|todo|null|none"
 #: What the forest sees.
 FEATURES = ["length", "transitions", "digit_share", "lower_share", "upper_share", "vowel_share", "distinct_share", "sign_share", "longest_word", "dictionary", "path_depth", "test_path", "code_path", "secret_near", "harmless_near", "words_before", "ends_before", "quoted"]
 #: What labels are made of; none of it is a feature.
@@ -120,11 +120,45 @@ def candidates(df: DataFrame, text: str, keep: list[str], path: str | None, with
     return settled(cut, [*keep, "__found", "__gaps"], made)
 
 
-def labelled(df: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:
-    """(features, label) of the candidates that the evidence labels; a table of this form trains the forest."""
-    found = candidates(df.select(text, *([path] if path and path != text else [])), text, [], path, True)
-    each = found.select(F.explode(F.arrays_zip(F.col("__f").alias("f"), F.col("__e").alias("e"))).alias("x"))
-    return each.select(F.col("x.f").alias("features"), rule_label(F.col("x.e")).alias("label")).where("label is not null")
+def variants(value: Column, before: Column, label: Column) -> Column:
+    """A labelled finding and what it would be with another value: array<struct<value, before, label>>.
+
+    In a secret's place (label 1) a placeholder, an identifier, a name made of words and a reference of code are harmless;
+    in a harmless place (label 0) a key in an issuer's format is a secret, and so is a random value once it is assigned to a
+    secret's name.  So neither the place alone nor the value alone tells the label.
+    """
+    m, h = F.md5(value.cast("binary")), F.sha2(value.cast("binary"), 256)
+    pick = lambda words, at: F.element_at(F.array(*map(F.lit, words)), (F.conv(F.substring(m, at, 2), 16, 10).cast("int") % len(words) + 1))
+    one = lambda v, b, y: F.struct(v.alias("value"), b.alias("before"), F.lit(y).alias("label"))
+    uuid = F.concat_ws("-", F.substring(m, 1, 8), F.substring(m, 9, 4), F.substring(m, 13, 4), F.substring(m, 17, 4), F.substring(m, 21, 12))
+    placeholder = F.concat(pick(["changeme", "example", "your_", "placeholder", "dummy-", "test", "sample_"], 1), pick(["", "123", "_here", "-value", "1234", "key", "_1"], 3))
+    words = F.concat_ws("-", pick(["default", "client", "service", "public", "server"], 5), pick(["config", "request", "module", "name"], 7), pick(["value", "string", "version", "data"], 9), F.conv(F.substring(m, 11, 1), 16, 10))
+    code = F.concat(pick(["os.environ", "config.get", "settings", "process.env", "getToken"], 13), pick([".SECRET_KEY", "('token')", "[\"password\"]", ".api_key", ".value"], 15))
+    random = F.regexp_replace(F.base64(F.unhex(F.substring(h, 1, 48))), "[+/=]", "x")
+    issued = F.concat(F.lit("AKIA"), F.upper(F.substring(F.translate(h, "0189", "QZRT"), 1, 16)))
+    github = F.concat(F.lit("ghp_"), F.substring(F.concat(random, random), 1, 36))
+    assigned = F.concat(before, pick([" api_key = ", " token: ", " password=\"", " secret = '", " \"auth_token\": \""], 17))
+    own = F.array(F.struct(value.alias("value"), before.alias("before"), label.alias("label")))
+    harmless = F.array(*(one(v, before, 0.0) for v in (placeholder, uuid, words, code)))
+    secret = F.array(one(issued, before, 1.0), one(github, before, 1.0), one(random, assigned, 1.0), one(h, assigned, 1.0))
+    return F.concat(own, F.when(label == 1.0, harmless).otherwise(secret))
+
+
+def labelled(df: DataFrame, text: str = "text", path: str | None = None, hard: bool = True) -> DataFrame:
+    """(features, label) of the candidates that the evidence labels; a table of this form trains the forest.
+
+    With ``hard`` each labelled finding also gives its variants (see there), so that the forest learns what the evidence
+    cannot tell it: the tables hold secrets only where a secret's name stands before them.
+    """
+    df = df.select(text, *([path] if path and path != text else []))
+    body, where = F.coalesce(F.col(text), F.lit("")), F.coalesce(F.col(path).cast("string"), F.lit("")) if path else F.lit("")
+    cut = settled(df.where(body.rlike(GATE)), [], {"__found": F.regexp_extract_all(body, F.lit(CANDIDATE), F.lit(0)), "__gaps": F.split(body, CANDIDATE, -1), "__path": where})
+    near = F.transform("__gaps", lambda g: F.regexp_replace(F.right(g, F.lit(60)), r"\s+", " "))
+    each = cut.select("__path", F.explode(F.arrays_zip(F.col("__found").alias("value"), near.alias("before"))).alias("x")).where("x.value is not null").select("__path", "x.value", "x.before")
+    known = settled(each, ["__path", "value", "before"], {"label": rule_label(evidence(F.col("value"), F.col("before")))}).where("label is not null")
+    if hard:
+        known = known.select("__path", F.explode(variants(F.col("value"), F.col("before"), F.col("label"))).alias("v")).select("__path", "v.*")
+    return known.select(features(F.col("value"), F.right("before", F.lit(60)), F.col("__path")).alias("features"), "label")
 
 
 def precision_and_recall(findings: DataFrame, least: float = 0.5, **options) -> tuple[float, float, int]:
