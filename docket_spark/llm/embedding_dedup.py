@@ -89,6 +89,7 @@ def _in_list(quantiser, least: float, reach: float, kind):
         q = quantiser.value
         x = _unit(np.frombuffer(b"".join(rows["raw"]), kind).astype(np.float64).reshape(len(rows), -1))
         node, copies, listed = rows["node"].to_numpy(), rows["copies"].to_numpy(), rows["listed"].to_numpy()
+        own, probed = rows["own"].to_numpy(), rows["probed"].to_numpy()
         number = pd.factorize(rows["node"])[0]
         base, asks = np.flatnonzero(listed), np.flatnonzero(~listed)
         if not len(base) or not len(asks):
@@ -96,6 +97,7 @@ def _in_list(quantiser, least: float, reach: float, kind):
         rest = x - q.coarse[int(rows["list"].iloc[0])]
         codes, error = q.encode(rest[base])
         count, forest = np.zeros(len(rows), np.int64), Forest(len(rows))
+        asks_back: dict[int, np.ndarray] = {}  # of a list: which rows of this one probe it themselves
         for start in range(0, len(asks), 256):
             part = asks[start : start + 256]
             tables = q.tables(rest[part])
@@ -107,9 +109,15 @@ def _in_list(quantiser, least: float, reach: float, kind):
                 right = base[near[i]]
                 right = right[number[right] != number[row]]
                 right = right[(x[right] * x[row]).sum(1) >= least]
-                count[row] = copies[right].sum()
+                count[row] += copies[right].sum()
+                if len(right):
+                    if own[row] not in asks_back:
+                        asks_back[own[row]] = np.zeros(len(rows), bool)
+                        asks_back[own[row]][base] = [own[row] in p for p in probed[base]]
+                    # a row that does not probe the asking one's list gets the link here, any other by asking itself
+                    count[right[~asks_back[own[row]][right]]] += copies[row]
                 forest.link(row, right)
-        hit = asks[count[asks] > 0]
+        hit = np.flatnonzero(count > 0)
         a = node[hit].tolist() + [node[i] for i, _ in forest.kept]
         b = [None] * len(hit) + [node[j] for _, j in forest.kept]
         return pd.DataFrame({"a": a, "b": b, "links": count[hit].tolist() + [0] * len(forest.kept)})
@@ -121,7 +129,7 @@ def find(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", la
     """One row per input row: vec_id, n_links, component_id, kept.
 
     Rows of equal, non-null label link if their cosine in double precision is at least ``least``.  n_links counts other
-    rows linked directly, component_id is the smallest vec_id reachable, kept says whether that is the row's own.  Null
+    rows linked directly (a link that either row finds counts for both), component_id is the smallest vec_id reachable, kept says whether that is the row's own.  Null
     labels, null or zero vectors, and vectors with null, NaN or infinite components link with nothing.  Vectors of other
     lengths are compared with their like only.  Repeated rows link with each other.  A null vec_id stays null.
     The quantiser is fitted on about ``sample`` vectors chosen by a hash, with a list for each ``list_size`` vectors and
@@ -175,16 +183,18 @@ def _links(classes: DataFrame, total: int, least: float, sample: int, list_size:
                 lists = np.concatenate([own, to])
                 listed = np.concatenate([np.ones(len(own), bool), np.zeros(len(row), bool)])
                 raw = pa.array([v.tobytes() for v in x.astype(kind)], pa.binary())
-                yield pa.RecordBatch.from_arrays([*(c.take(pa.array(at)) for c in batch.columns[:3]), pa.array(lists, pa.int32()), pa.array(listed, pa.bool_()), raw.take(pa.array(at))], names=["node", "label", "copies", "list", "listed", "raw"])
+                cuts = np.searchsorted(row, np.arange(1, len(own)))
+                probed = pa.array([p.tolist() for p in np.split(to, cuts)] + [None] * len(row), pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([*(c.take(pa.array(at)) for c in batch.columns[:3]), pa.array(lists, pa.int32()), pa.array(listed, pa.bool_()), raw.take(pa.array(at)), pa.array(own[at], pa.int32()), probed], names=["node", "label", "copies", "list", "listed", "raw", "own", "probed"])
 
-    dealt = stored(map_batches(classes.select("node", "label", "copies", "v"), deal, "node binary, label string, copies bigint, list int, listed boolean, raw binary"))
+    dealt = stored(map_batches(classes.select("node", "label", "copies", "v"), deal, "node binary, label string, copies bigint, list int, listed boolean, raw binary, own int, probed array<int>"))
     group = ["label", "list"]
     sizes = dealt.groupBy(*group).agg(F.ceil(F.count_if("listed") / CHUNK).cast("int").alias("bases"), F.ceil(F.count_if(~F.col("listed")) / CHUNK).cast("int").alias("asks"))
     spread = dealt.join(sizes, group)
     hash_part = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     # A listed row goes to every chunk of probing rows, and the other way round.
     pairs = F.when(F.col("listed"), F.transform(F.sequence(F.lit(0), F.col("asks") - 1), lambda i: F.struct(hash_part("bases").alias("base"), i.alias("ask")))).otherwise(F.transform(F.sequence(F.lit(0), F.col("bases") - 1), lambda i: F.struct(i.alias("base"), hash_part("asks").alias("ask"))))
-    placed = spread.where("bases > 0 and asks > 0").withColumn("pair", F.explode(pairs)).select(*group, "pair.base", "pair.ask", "node", "copies", "listed", "raw")
+    placed = spread.where("bases > 0 and asks > 0").withColumn("pair", F.explode(pairs)).select(*group, "pair.base", "pair.ask", "node", "copies", "listed", "raw", "own", "probed")
     # Dealt out anew: else all pairs of chunks of a list stay in the task that its rows were joined in.
     return placed.repartition(*group, "base", "ask").groupBy(*group, "base", "ask").applyInPandas(_in_list(quantiser, least, reach, kind), "a binary, b binary, links bigint")
 

@@ -178,3 +178,36 @@ def test_recall_of_the_probed_lists(spark):
     links = (unit @ unit.T >= 0.98).sum(1) - 1
     got = {r["vec_id"]: r["n_links"] for r in V.find(df, list_size=20).collect()}
     assert links.sum() > 800 and sum(got.values()) >= 0.99 * links.sum() and all(got[k] <= links[k] for k in got)
+
+
+@pytest.mark.parametrize("certainty", [4.0, 1.0])
+def test_links_count_at_both_ends(spark, monkeypatch, certainty):
+    """Neighbours planted at the borders of lists: some moved straight towards the next centroid, some anywhere."""
+    monkeypatch.setattr(V, "CHUNK", 300)
+    random_ = np.random.default_rng(12)
+    base = random_.normal(size=(1200, 32))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    q = V.Quantiser(base, 40)
+    own, d = q.assign(base)
+    next_ = np.argsort(d, 1)[:, 1]
+    ahead = q.coarse[next_] - q.coarse[own]
+    ahead /= np.linalg.norm(ahead, axis=1, keepdims=True)
+    anywhere = random_.normal(size=(600, 32))
+    anywhere /= np.linalg.norm(anywhere, axis=1, keepdims=True)
+    x = np.concatenate([base, base[:500] + 0.19 * ahead[:500], base[500:1100] + 0.19 * anywhere, base[:30]]).astype(np.float32)
+    df = spark.createDataFrame([(k, v.tolist(), 0) for k, v in enumerate(x)], "vec_id bigint, embedding array<float>, label int").repartition(5)
+    got = {r["vec_id"]: r for r in V.find(df, list_size=30, certainty=certainty).collect()}
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.98
+    np.fill_diagonal(near, False)
+    n_links = np.array([got[k]["n_links"] for k in range(len(x))])
+    assert (n_links <= near.sum(1)).all() and n_links.sum() % 2 == 0
+    members = {}
+    for k in range(len(x)):
+        members.setdefault(got[k]["component_id"], []).append(k)
+        assert got[k]["kept"] == (got[k]["component_id"] == k)
+    for name, own_rows in members.items():
+        assert name == min(own_rows) and (len(own_rows) == 1 or all(n_links[k] for k in own_rows))
+        assert sum(n_links[own_rows]) >= 2 * (len(own_rows) - 1)
+    pairs = near.sum() / 2
+    assert pairs > 1000 and (certainty < 4 or n_links.sum() / 2 >= 0.99 * pairs)
