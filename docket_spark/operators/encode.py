@@ -9,9 +9,16 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from ..functions.scalars import MISSING
 
 
+#: More levels than that are no category: each would be a column.
+MOST_LEVELS = 10_000
+
+
 def one_hot_levels(df: DataFrame, column: str) -> list[str]:
-    """Frozen levels in order of name; null is a level of its own."""
-    return [r[0] for r in df.select(F.coalesce(F.col(column).cast("string"), F.lit(MISSING)).alias("v")).distinct().orderBy("v").collect()]
+    """Frozen levels in order of name; null is a level of its own.  More than MOST_LEVELS are an error."""
+    found = [r[0] for r in df.select(F.coalesce(F.col(column).cast("string"), F.lit(MISSING)).alias("v")).distinct().limit(MOST_LEVELS + 1).collect()]
+    if len(found) > MOST_LEVELS:
+        raise ValueError(f"{column} has more than {MOST_LEVELS} levels")
+    return sorted(found)
 
 
 def one_hot(df: DataFrame, column: str, levels: list[str]) -> DataFrame:

@@ -12,10 +12,11 @@ def _by_score(df: DataFrame, label: str, score: str) -> DataFrame:
 def _cumulative(df: DataFrame, label: str, score: str) -> DataFrame:
     """score, pos, neg and the counts at or above the score.
 
-    Summed in two levels: scores fall into steps of the logarithm of their size, some ten thousand for scores up to 1, and
-    only the steps' sums meet in one task.
+    Summed in two levels: scores fall into steps, and only the steps' sums meet in one task.  Steps are fine for large
+    scores (by log1p, some ten thousand up to 1) and for small ones (by log2, 512 to each halving).
     """
-    step = F.floor(F.signum("score") * F.log1p(F.abs("score")) * 65536).cast("bigint")
+    size = F.abs("score")
+    step = (F.signum("score") * (F.floor(F.log1p(size) * 65536) * (1 << 21) + F.when(size > 0, F.floor(F.log2(size) * 512) + (1 << 20)).otherwise(0))).cast("bigint")
     grain = _by_score(df, label, score).select("score", "pos", (F.col("n") - F.col("pos")).alias("neg"), step.alias("step"))
     above = Window.orderBy(F.desc("step")).rowsBetween(Window.unboundedPreceding, -1)
     steps = grain.groupBy("step").agg(F.sum("pos").alias("p"), F.sum("neg").alias("q"))

@@ -10,12 +10,13 @@ from statistics import fmean, pstdev
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import StandardScaler
+from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..sources.tables import scratch
 from . import encode as E, metrics as M
-from .splits import fold, fold_dates, mature, time_split
+from .splits import fold_dates, mature, time_split
 
 
 def random_forest(trees: int = 500, depth: int = 30, seed: int = 42, leaf: int = 5, subset: str = "0.3"):
@@ -51,17 +52,71 @@ def fit(df: DataFrame, label: str, categories: list[str], numbers: list[str], es
     return Fitted(Pipeline(stages=stages).fit(ready), found, categories, list(found), numbers)
 
 
-def fold_scores(df: DataFrame, label: str, date: str, categories: list[str], numbers: list[str], estimator, folds: int = 5, threads: int = 2) -> list[dict]:
+@dataclass
+class Folds:
+    """What all forward folds learn from their training days, and the columns they need, stored once."""
+
+    frame: DataFrame
+    label: str
+    bounds: list[tuple]
+    medians: list[dict[str, float]]
+    levels: list[dict[str, list[str]]]
+    weights: list[dict[int, float]]
+    totals: list[int]
+
+    def assembled(self, k: int, rows: DataFrame) -> DataFrame:
+        """Rows with the features of fold k: 0/1 columns of the levels seen in its training days, numbers with its medians."""
+        made = {f"__{c}_{i}": (F.col(c) == v).cast("double") for c, found in self.levels[k].items() for i, v in enumerate(found)}
+        made |= {f"__n_{c}": F.coalesce(F.col(c), F.lit(v)) for c, v in self.medians[k].items()}
+        return VectorAssembler(inputCols=list(made), outputCol="features").transform(rows.withColumns(made)).drop(*made)
+
+    def scored(self, k: int, estimator: Callable[[float], object]) -> DataFrame:
+        """Test rows of fold k with score and prediction of a model of its training rows."""
+        last, end = self.bounds[k]
+        train = self.frame.where((F.col("__day") <= F.lit(last)) & F.col(self.label).isNotNull())
+        ready = E.weighted(self.assembled(k, train), self.label, self.weights[k]).withColumn("label", F.col(self.label).cast("double"))
+        model = estimator(float(self.totals[k])).fit(ready.select("features", "label", "weight"))
+        test = self.frame.where((F.col("__day") > F.lit(last)) & (F.col("__day") <= F.lit(end)))
+        out = model.transform(self.assembled(k, test).select(self.label, "features"))
+        return out.select(self.label, vector_to_array("probability")[1].alias("score"), "prediction")
+
+
+def prepare_folds(df: DataFrame, label: str, date: str, categories: list[str], numbers: list[str], folds: int = 5) -> Folds:
+    """Medians, levels and class weights of all folds, which grow from fold to fold, in a number of scans that neither folds
+    nor models change: one writes the columns, one counts days, one each finds medians, levels and classes."""
+    spark, path = df.sparkSession, scratch(df.sparkSession, "folds")
+    narrow = E.fill_categories(df, categories).select(F.to_date(date).alias("__day"), F.col(label), *categories, *(F.col(c).cast("double").alias(c) for c in numbers))
+    narrow.write.parquet(path)
+    frame = spark.read.parquet(path)
+    bounds = fold_dates(frame, "__day", folds)
+    upto = [F.col("__day") <= F.lit(a) for a, _ in bounds]
+    middle = frame.agg(F.count(F.lit(1)), *(F.median(F.when(u, F.col(c))).alias(f"{k}_{c}") for k, u in enumerate(upto) for c in numbers)).first()
+    medians = [{c: float(middle[f"{k}_{c}"]) for c in numbers if middle[f"{k}_{c}"] is not None} for k in range(len(bounds))]
+    each = F.inline(F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).alias("value")) for c in categories))) if categories else None
+    first = frame.select("__day", each).groupBy("name", "value").agg(F.min("__day").alias("day")).limit(E.MOST_LEVELS + 1).collect() if categories else []
+    if len(first) > E.MOST_LEVELS:
+        raise ValueError(f"more than {E.MOST_LEVELS} levels")
+    levels = [{c: sorted(r["value"] for r in first if r["name"] == c and r["day"] is not None and r["day"] <= a) for c in categories} for a, _ in bounds]
+    classes = frame.where(F.col(label).isNotNull()).groupBy(F.col(label).cast("int").alias("y")).agg(*(F.count_if(u).alias(f"n{k}") for k, u in enumerate(upto))).collect()
+    counts = [{r["y"]: r[f"n{k}"] for r in classes if r[f"n{k}"]} for k in range(len(bounds))]
+    weights = [{y: sum(n.values()) / (len(n) * v) for y, v in sorted(n.items())} for n in counts]
+    return Folds(frame, label, bounds, medians, levels, weights, [sum(n.values()) for n in counts])
+
+
+def fold_scores(df: DataFrame, label: str, date: str, categories: list[str], numbers: list[str], estimator, folds: int = 5, threads: int = 2, prepared: Folds | None = None) -> list[dict]:
     """By fold: AUC, average precision and F1 of class 1 on the days after the training days."""
-    def one(item):
-        k, bounds = item
-        train, test = fold(df, date, bounds)
-        scored = fit(train, label, categories, numbers, estimator).transform(test).select(label, "score", "prediction")
-        report = M.class_report(scored, label, "prediction").where("class = '1'").first()
-        return {"fold": k, "auc": M.roc_auc(scored, label, "score").first()["auc"], "average_precision": M.average_precision(scored, label, "score").first()[0], "f1": report["f1"]}
+    ready = prepared or prepare_folds(df, label, date, categories, numbers, folds)
+
+    def one(k):
+        scored = ready.scored(k, estimator).persist()
+        try:
+            report = M.class_report(scored, label, "prediction").where("class = '1'").first()
+            return {"fold": k, "auc": M.roc_auc(scored, label, "score").first()["auc"], "average_precision": M.average_precision(scored, label, "score").first()[0], "f1": report["f1"]}
+        finally:
+            scored.unpersist()
 
     with ThreadPoolExecutor(threads) as pool:
-        return list(pool.map(one, enumerate(fold_dates(df, date, folds))))
+        return list(pool.map(one, range(len(ready.bounds))))
 
 
 def combos(grid: dict[str, list]) -> list[dict]:
@@ -71,9 +126,9 @@ def combos(grid: dict[str, list]) -> list[dict]:
 
 def grid_search(df: DataFrame, label: str, date: str, categories: list[str], numbers: list[str], factory: Callable[..., Callable], grid: dict[str, list], folds: int = 5) -> DataFrame:
     """params, mean_auc, std_auc, best; the first of equals is best."""
-    rows = []
+    rows, ready = [], prepare_folds(df, label, date, categories, numbers, folds)
     for params in combos(grid):
-        aucs = [r["auc"] for r in fold_scores(df, label, date, categories, numbers, factory(**params), folds) if r["auc"] is not None]
+        aucs = [r["auc"] for r in fold_scores(df, label, date, categories, numbers, factory(**params), folds, prepared=ready) if r["auc"] is not None]
         rows.append((str(params), fmean(aucs) if aucs else None, pstdev(aucs) if aucs else None))
     top = max((r[1] for r in rows if r[1] is not None), default=None)
     first = next((i for i, r in enumerate(rows) if r[1] == top), -1)
@@ -82,9 +137,9 @@ def grid_search(df: DataFrame, label: str, date: str, categories: list[str], num
 
 def compare(df: DataFrame, label: str, date: str, categories: list[str], numbers: list[str], estimators: dict[str, Callable], folds: int = 5) -> DataFrame:
     """Estimators by mean AUC."""
-    rows = []
+    rows, ready = [], prepare_folds(df, label, date, categories, numbers, folds)
     for name, e in estimators.items():
-        aucs = [r["auc"] for r in fold_scores(df, label, date, categories, numbers, e, folds) if r["auc"] is not None]
+        aucs = [r["auc"] for r in fold_scores(df, label, date, categories, numbers, e, folds, prepared=ready) if r["auc"] is not None]
         rows.append((name, fmean(aucs) if aucs else None))
     return df.sparkSession.createDataFrame(rows, "estimator string, mean_auc double").orderBy(F.desc("mean_auc"), "estimator")
 

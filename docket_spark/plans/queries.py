@@ -190,9 +190,11 @@ def distinct_names(spark, sf):
 
 
 def array_profile(spark, sf):
-    own = t(spark, sf, "part", "p_brand", "p_type", "p_partkey").groupBy("p_brand").agg(F.sort_array(F.collect_list("p_type")).alias("types"))
+    # counted first, so that a brand's array holds its types, not its parts
+    counted = t(spark, sf, "part", "p_brand", "p_type").groupBy("p_brand", "p_type").agg(F.count("*").alias("n"))
+    own = counted.groupBy("p_brand").agg(F.sort_array(F.collect_list("p_type")).alias("types"), F.sum("n").alias("n"))
     a = F.col("types")
-    return own.select("p_brand", A.length_of(a).cast("bigint").alias("n"), A.distinct_prefixes(a).cast("bigint").alias("prefixes"), A.first_initial(a).alias("initial"), A.all_equal_bucket(a, "STANDARD", "one", "many").alias("bucket"))
+    return own.select("p_brand", F.when(A.length_of(a) > 0, F.col("n")).alias("n"), A.distinct_prefixes(a).cast("bigint").alias("prefixes"), A.first_initial(a).alias("initial"), A.all_equal_bucket(a, "STANDARD", "one", "many").alias("bucket"))
 
 
 def text_features(spark, sf):
