@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..domain.values import FEATURE_SPEC, WRAPPER
-from ..operators import arrays as A, features, joins, provenance
+from ..functions import scalars as X
+from ..operators import arrays as A, features, joins, provenance, text as TX
 from ..operators.state import RollingState
 from ..operators.wrapper import wrapper_rows as flat_wrappers
 from ..sources import pages, publish, quarantine
-from ..sources.tables import read_table, scratch
+from ..sources.tables import blob_keys, exists, export, lookup, read_csv, read_table, read_texts, scratch
 from ..streaming.ingest import text_gaps as stream_gaps
 
 
@@ -230,8 +231,46 @@ def text_gaps(spark, sf):
 
 GAPS_SQL = "SELECT DISTINCT CAST(doc_id % 60 AS VARCHAR) AS k FROM documents WHERE doc_id % 60 NOT IN (SELECT doc_id % 50 FROM labels)"
 
-QUERIES = {f.__name__: f for f in (prior_rate_saved, wrapper_rows, trial_features, provenance_check, page_gaps, quarantine_rows, trial_table, trial_report, published_table, text_gaps)}
+def stored_lookup(spark, sf):
+    """Point look-ups of orders by keys some of which are not there, and whether they are: one join each."""
+    orders = _t(spark, sf, "orders", "o_orderkey", "o_orderstatus").where("o_orderkey % 3 > 0")
+    keys = _t(spark, sf, "lineitem", "l_orderkey", "l_linenumber").where("l_linenumber = 2").select(F.col("l_orderkey").alias("o_orderkey"))
+    return lookup(orders, keys, "o_orderkey").join(exists(orders, keys, "o_orderkey"), "o_orderkey")
+
+
+def csv_table(spark, sf):
+    """Orders exported as CSV with a nested column as JSON text, one status in ten no date, and read again by a schema."""
+    folder = scratch(spark, "csv")
+    day = F.when(F.col("o_orderkey") % 10 > 0, F.to_date("o_orderdate").cast("string")).otherwise("soon")
+    export(_t(spark, sf, "orders", "o_orderkey", "o_orderdate", "o_orderpriority", "o_orderstatus").select("o_orderkey", day.alias("day"), F.array("o_orderpriority", "o_orderstatus").alias("both")), folder)
+    return read_csv(spark, folder, "o_orderkey bigint, day string, both string", ["day"]).select("o_orderkey", "day", F.array_join(F.from_json("both", "array<string>"), "/").alias("both"))
+
+
+def text_files(spark, sf):
+    """Texts written as one file a source, read again as whole files."""
+    folder = scratch(spark, "blobs")
+    _t(spark, sf, "orders", "o_orderkey", "o_orderpriority", "o_orderstatus").select(F.concat("o_orderstatus", F.lit(" é "), F.col("o_orderkey").cast("string")).alias("value"), F.substring("o_orderpriority", 1, 1).alias("k")).repartition(5, "k").write.partitionBy("k").text(folder)
+    texts = read_texts(spark, folder)
+    return texts.join(blob_keys(spark, folder).distinct(), "key", "left_semi").agg(F.count("*").alias("n_files"), F.sum(F.length("text")).alias("n_chars"), F.sum(F.size(F.split("text", "é")) - 1).cast("bigint").alias("n_records"))
+
+
+def more_scalars(spark, sf):
+    """Ids as text, keys of several parts, the largest of counts, distinct numbers with number words."""
+    k, text = F.col("o_orderkey"), F.concat(F.lit("Factor "), F.element_at(F.array(*map(F.lit, ["one", "two", "three"])), (F.col("o_orderkey") % 3 + 1).cast("int")), F.lit(" and Factor two"))
+    part = F.when(k % 4 > 0, F.col("o_orderstatus"))
+    return _t(spark, sf, "orders", "o_orderkey", "o_orderstatus").select(
+        X.text_id(k).alias("id"), F.to_json(X.composite_key(k % 7, part)).alias("key"), X.enough([k % 5, k % 3], 4).cast("bigint").alias("enough"),
+        TX.distinct_numbered(text, r"\bFactor\s+(one|two|three)\b", 1, {"one": "1", "two": "2", "three": "3"}).cast("bigint").alias("n_factors"), TX.how_many_of(text, ["factor one", "and", "four"]).cast("bigint").alias("n_said"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (stored_lookup, csv_table, text_files, more_scalars, prior_rate_saved, wrapper_rows, trial_features, provenance_check, page_gaps, quarantine_rows, trial_table, trial_report, published_table, text_gaps)}
 SQL = {
+    "stored_lookup": "WITH k AS (SELECT DISTINCT l_orderkey AS o_orderkey FROM lineitem WHERE l_linenumber = 2) SELECT k.o_orderkey, o_orderstatus, o.o_orderkey IS NOT NULL AS found FROM k LEFT JOIN orders o ON o.o_orderkey = k.o_orderkey AND o.o_orderkey % 3 > 0",
+    "csv_table": "SELECT o_orderkey, CASE WHEN o_orderkey % 10 > 0 THEN CAST(o_orderdate AS DATE) END AS day, o_orderpriority || '/' || o_orderstatus AS both FROM orders",
+    "text_files": "SELECT count(DISTINCT substr(o_orderpriority, 1, 1)) AS n_files, CAST(sum(length(o_orderstatus || ' é ' || o_orderkey) + 1) AS BIGINT) AS n_chars, count(*) AS n_records FROM orders",
+    "more_scalars": """SELECT CAST(o_orderkey AS VARCHAR) AS id, '{"k0":"' || (o_orderkey % 7) || '","k1":"' || CASE WHEN o_orderkey % 4 > 0 THEN o_orderstatus ELSE '__missing__' END || '"}' AS key, CAST(greatest(o_orderkey % 5, o_orderkey % 3) >= 4 AS BIGINT) AS enough,
+      CAST(CASE o_orderkey % 3 WHEN 1 THEN 1 ELSE 2 END AS BIGINT) AS n_factors, CAST(CASE o_orderkey % 3 WHEN 0 THEN 2 ELSE 1 END AS BIGINT) AS n_said FROM orders""",
     "wrapper_rows": WRAPPER_SQL, "trial_features": TRIAL_SQL, "provenance_check": PROVENANCE_SQL, "page_gaps": PAGE_SQL, "quarantine_rows": QUARANTINE_SQL, "trial_table": TABLE_SQL, "trial_report": REPORT_SQL,
     "published_table": "SELECT p_brand, count(*) AS n, max(p_retailprice) AS most, count(*) < 50 AS few, CAST(2 AS BIGINT) AS versions FROM part GROUP BY 1", "text_gaps": GAPS_SQL,
 }
