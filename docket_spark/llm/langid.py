@@ -4,8 +4,10 @@ For each language a suffix automaton holds labelled text.  A text is cut from th
 the automaton knows, across words; phrases times the bits that name a place in the automaton's text, a character, estimate
 the cross entropy, and the language with the least wins.  Texts are lower-cased, and all between two words is one blank.
 
-Stretches of ``STRETCH`` characters are parsed side by side, one character of all of them at a step; a phrase ends where
-its stretch does.  Transitions of all automata lie in one hash table of arrays.
+Stretches of ``STRETCH`` characters are parsed side by side, one character of all of them at a step.  Where a stretch
+ends, its last phrase goes on into the next one and is parsed there until both parses begin a phrase at the same place,
+from where they are the same; so the phrases are those of the whole text, however it is cut.  Transitions of all automata
+lie in one hash table of arrays.
 
 The automata are fitted on a bounded sample: of each language the first distinct labelled texts in the order of a hash, of
 each at most ``text_chars`` characters, up to ``model_chars`` characters; at most ``max_languages`` languages, those with
@@ -25,7 +27,7 @@ from .common import map_batches, sub_batches, worker_state
 from .piece_codec import WordTable
 
 UNKNOWN = "und"
-STRETCH = 512
+STRETCH = 512  # for speed only
 #: Bytes of texts that a worker cuts up at a time.
 SLICE = 400_000
 BLANK = 32
@@ -145,42 +147,114 @@ class Parser:
             self.table.add(np.concatenate(keys).astype(np.uint64))
         self.bits = np.log2([max(2, len(texts[k])) for k in self.langs])
 
+    def _step(self, state: np.ndarray, fresh: np.ndarray, start: np.ndarray, first: np.ndarray, c: np.ndarray):
+        """One character of each lane: (states, whether no phrase is open, whether the character begins a phrase)."""
+        found = self.table.find((state * self.width + c).astype(np.uint64))
+        lost = found < 0
+        to = self.to[found]
+        again = first[lost]
+        alone = again < 0  # known nowhere: a phrase of its own
+        to[lost] = np.where(alone, start[lost], again)
+        closed = np.zeros(len(state), bool)
+        closed[np.flatnonzero(lost)[alone]] = True
+        return to, closed, fresh | lost
+
     def phrases(self, points: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Phrases by text and language."""
+        m = len(self.langs)
+        letter = self.letter_of[points]
+        text_end = np.cumsum(sizes)
         pieces = -(-sizes // STRETCH)
         text_of = np.repeat(np.arange(len(sizes)), pieces)
         inner = np.arange(len(text_of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        begin = (np.cumsum(sizes) - sizes)[text_of] + inner * STRETCH
+        begin = (text_end - sizes)[text_of] + inner * STRETCH
         size = np.minimum(sizes[text_of] - inner * STRETCH, STRETCH)
+        n = len(begin)
+        # one parse from the beginning of each stretch, as if a text began there
         order = np.argsort(-size, kind="stable")
-        begin, size, text_of = begin[order], size[order], text_of[order]
-        letter = self.letter_of[points]
-        n, m = len(begin), len(self.langs)
-        state = np.repeat(self.start[:, None], n, 1)
-        fresh, count = np.ones((m, n), bool), np.zeros((m, n), np.int32)
+        sorted_size, sorted_begin = size[order], begin[order]
+        state, fresh = np.repeat(self.start[:, None], n, 1), np.ones((m, n), bool)
+        begins = np.zeros((m, len(points) + 1), bool)  # where a phrase does
         live = n
-        for step in range(int(size[0]) if n else 0):
-            while live and size[live - 1] <= step:
+        for step in range(int(sorted_size[0]) if n else 0):
+            while live and sorted_size[live - 1] <= step:
                 live -= 1
-            c = letter[begin[:live] + step]
-            now = state[:, :live]
-            found = self.table.find((now * self.width + c).ravel().astype(np.uint64)).reshape(m, live)
-            lost = found < 0
-            to = self.to[found]
-            i, j = np.nonzero(lost)
-            count[i, j] += ~fresh[i, j]  # the phrase ends before this character, which begins another
-            again = self.first[i, c[j]]
-            alone = again < 0  # known nowhere: a phrase of its own
-            count[i, j] += alone
-            to[i, j] = np.where(alone, self.start[i], again)
-            state[:, :live] = to
-            fresh[:, :live] = False
-            fresh[i[alone], j[alone]] = True
-        count += ~fresh
+            at = sorted_begin[:live] + step
+            c = letter[at]
+            to, closed, begun = self._step(state[:, :live].ravel(), fresh[:, :live].ravel(), np.repeat(self.start, live), self.first[:, c].ravel(), np.tile(c, m))
+            state[:, :live], fresh[:, :live] = to.reshape(m, live), closed.reshape(m, live)
+            begins[:, at] = begun.reshape(m, live)
+        upto = np.concatenate([np.zeros((m, 1), np.int64), np.cumsum(begins, axis=1, dtype=np.int64)], axis=1)
         out = np.zeros((len(sizes), m), np.int64)
-        np.add.at(out, text_of, count.T)
+        if not n:
+            return out
+        # the last phrase of a stretch goes on into the next ones, until both parses begin a phrase at one place
+        last = np.append(text_of[1:] != text_of[:-1], True)
+        open_ = np.flatnonzero(~last)
+        back = np.empty(n, np.int64)
+        back[order] = np.arange(n)
+        lane_k, lane_s = np.repeat(np.arange(m), len(open_)), np.tile(open_, m)
+        state, fresh = state[lane_k, back[lane_s]], fresh[lane_k, back[lane_s]]
+        at, stop = (begin + size)[lane_s], text_end[text_of[lane_s]]
+        more, met = np.zeros(len(lane_s), np.int64), stop.copy()
+        live = np.arange(len(lane_s))
+        for _ in range(2 * STRETCH):
+            if not len(live):
+                break
+            k, c = lane_k[live], letter[at[live]]
+            to, closed, begun = self._step(state[live], fresh[live], self.start[k], self.first[k, c], c)
+            same = begun & begins[k, at[live]]
+            met[live[same]] = at[live[same]]
+            more[live] += begun & ~same
+            state[live], fresh[live] = to, closed
+            at[live] += 1
+            live = live[~same & (at[live] < stop[live])]
+        unmet = np.zeros(len(lane_s), bool)
+        unmet[live] = True
+        # whole texts: the first stretch's phrases, then at each border those of the open phrase's parse and of the next one's rest
+        ends = begin + size
+        first_of = inner == 0
+        for k in range(m):
+            np.add.at(out[:, k], text_of[first_of], (upto[k, ends] - upto[k, begin])[first_of])
+            lanes = slice(k * len(open_), (k + 1) * len(open_))
+            there = met[lanes]
+            near = (there < ends[open_ + 1]) & ~unmet[lanes]
+            far = np.zeros(len(sizes), bool)
+            far[text_of[open_[~near]]] = True
+            simple = ~far[text_of[open_]]
+            np.add.at(out[:, k], text_of[open_[simple]], (more[lanes] + upto[k, ends[open_ + 1]] - upto[k, there])[simple])
+            for text in np.flatnonzero(far).tolist():  # a parse that passed a whole stretch by: border after border
+                out[text, k] += self._along(text, k, text_of, begin, ends, open_, lanes, more, met, unmet, state, fresh, at, letter, begins, upto, int(text_end[text]))
         return out
 
+    def _along(self, text, k, text_of, begin, ends, open_, lanes, more, met, unmet, state, fresh, at, letter, begins, upto, stop) -> int:
+        """Phrases of one text after its first stretch."""
+        s, total = int(np.searchsorted(text_of, text)), 0
+        while ends[s] < stop:
+            lane = lanes.start + int(np.searchsorted(open_, s))
+            total += int(more[lane])
+            place = int(met[lane])
+            if unmet[lane]:
+                place, extra = self._slowly(k, int(state[lane]), bool(fresh[lane]), int(at[lane]), letter, begins, stop)
+                total += extra
+            if place >= stop:
+                break
+            s = int(np.searchsorted(begin, place, side="right")) - 1
+            total += int(upto[k, ends[s]] - upto[k, place])
+        return total
+
+    def _slowly(self, k, state, fresh, at, letter, begins, stop) -> tuple[int, int]:
+        """(where the parses meet, phrases before), one character after the other."""
+        extra, start = 0, self.start[k : k + 1]
+        while at < stop:
+            c = letter[at : at + 1]
+            to, closed, begun = self._step(np.array([state]), np.array([fresh]), start, self.first[k, c], c)
+            if begun[0] and begins[k, at]:
+                return at, extra
+            extra += int(begun[0])
+            state, fresh, at = int(to[0]), bool(closed[0]), at + 1
+        return stop, extra
+
 
 def parser_of(model) -> Parser:
     key, texts = model.value

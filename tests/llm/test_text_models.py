@@ -22,15 +22,13 @@ from docket_spark.llm.common import bucket_of
 
 
 def plain_phrases(text, learned):
-    """Longest matches by substring search, stretch by stretch."""
-    n = 0
-    for k in range(0, len(text), langid.STRETCH):
-        word, i = text[k : k + langid.STRETCH], 0
-        while i < len(word):
-            j = i
-            while j < len(word) and word[i : j + 1] in learned:
-                j += 1
-            i, n = max(j, i + 1), n + 1
+    """Longest matches by substring search, over the whole text."""
+    n = i = 0
+    while i < len(text):
+        j = i
+        while j < len(text) and text[i : j + 1] in learned:
+            j += 1
+        i, n = max(j, i + 1), n + 1
     return n
 
 
@@ -53,6 +51,19 @@ def test_longest_matches(monkeypatch, odd_texts):
     assert sizes.tolist() == [len(plain_normal(x)) for x in odd_texts]
 
 
+@pytest.mark.parametrize("stretch", [1, 3, 16, 512])
+def test_phrases_do_not_depend_on_stretches(monkeypatch, stretch):
+    """Also where parses from two places never meet: runs and periods against learned text that holds one of them."""
+    monkeypatch.setattr(langid, "STRETCH", stretch)
+    r = random.Random(stretch)
+    learned = {"a": "aaaaa b", "b": "abcabcabcab", "c": "".join(r.choice("abc ") for _ in range(300)), "d": "x"}
+    texts = ["a" * n for n in (1, 2, 15, 16, 17, 33, 700)] + ["abc" * n for n in (5, 6, 200)] + ["ab ca" * 90, "x" * 40, "zz" * 30, ""]
+    texts += ["".join(r.choice("abcd ") for _ in range(r.randint(0, 900))) for _ in range(12)] + ["b" * 5 + "a" * 300 + " c abc" * 20]
+    parser = langid.Parser(learned)
+    points, sizes = langid.normal(texts, parser.is_letter)
+    assert parser.phrases(points, sizes).tolist() == [[plain_phrases(plain_normal(x), learned[k]) for k in "abcd"] for x in texts]
+
+
 def test_predictions_equal_plain_parsing(spark, odd_texts):
     rows = spark.read.parquet(f"{DATA}/documents.parquet").orderBy("doc_id").limit(60).collect()
     df = spark.createDataFrame([(k, x, y) for k, (x, y) in enumerate([(r["text"], r["lang"]) for r in rows] + [(x, None) for x in odd_texts])], "doc_id bigint, text string, lang string")
