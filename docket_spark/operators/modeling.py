@@ -8,6 +8,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from statistics import fmean, pstdev
 
+from pyspark import SparkContext
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -28,6 +29,17 @@ def logistic(c: float = 1.0, l1_ratio: float = 0.0, total_weight: float = 1.0):
     return Pipeline(stages=[StandardScaler(withMean=True, inputCol="features", outputCol="scaled"), LogisticRegression(featuresCol="scaled", labelCol="label", weightCol="weight", elasticNetParam=l1_ratio, regParam=1.0 / (c * total_weight), standardization=False, maxIter=100)])
 
 
+def light(model):
+    """The model without training summaries: they hold the session, which cannot be sent to tasks once it has observed a query."""
+    for stage in getattr(model, "stages", None) or [model]:
+        if hasattr(stage, "stages"):
+            light(stage)
+        elif getattr(stage, "hasSummary", False):
+            java = stage._java_obj
+            java.setSummary(SparkContext._active_spark_context._jvm.scala.Option.empty())
+    return model
+
+
 @dataclass
 class Fitted:
     """What was learned on the training rows: medians, levels and the model."""
@@ -49,7 +61,7 @@ def fit(df: DataFrame, label: str, categories: list[str], numbers: list[str], es
     ready = E.impute(E.fill_categories(df, categories), found, numbers)
     ready = E.weighted(ready.where(F.col(label).isNotNull()), label, E.class_weights(df, label)).withColumn("label", F.col(label).cast("double"))
     stages = [*E.preprocessor(categories, list(found)).getStages(), estimator(float(df.where(F.col(label).isNotNull()).count()))]
-    return Fitted(Pipeline(stages=stages).fit(ready), found, categories, list(found), numbers)
+    return Fitted(light(Pipeline(stages=stages).fit(ready)), found, categories, list(found), numbers)
 
 
 @dataclass
@@ -75,7 +87,7 @@ class Folds:
         last, end = self.bounds[k]
         train = self.frame.where((F.col("__day") <= F.lit(last)) & F.col(self.label).isNotNull())
         ready = E.weighted(self.assembled(k, train), self.label, self.weights[k]).withColumn("label", F.col(self.label).cast("double"))
-        model = estimator(float(self.totals[k])).fit(ready.select("features", "label", "weight"))
+        model = light(estimator(float(self.totals[k])).fit(ready.select("features", "label", "weight")))
         test = self.frame.where((F.col("__day") > F.lit(last)) & (F.col("__day") <= F.lit(end)))
         out = model.transform(self.assembled(k, test).select(self.label, "features"))
         return out.select(self.label, vector_to_array("probability")[1].alias("score"), "prediction")

@@ -4,7 +4,7 @@ import random
 from datetime import date, timedelta
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Observation, functions as F
 
 from docket_spark.operators import encode, metrics, modeling, select_one, splits
 
@@ -76,3 +76,14 @@ def test_first_row_of_a_hot_key_is_found_before_the_shuffle(spark):
     plan = select_one.first_per_key(df, ["k"], [F.col("id")])._jdf.queryExecution().executedPlan().toString()
     partial = plan.split("Exchange")[-1]
     assert "WindowGroupLimit" in partial and "Partial" in partial  # each task passes one row of a key on
+
+
+@pytest.mark.parametrize("estimator", [lambda total: modeling.random_forest(3, 3), lambda total: modeling.logistic(1.0, 0.0, total)])
+def test_models_work_in_a_session_that_has_observed(spark, estimator):
+    seen = Observation("seen")
+    spark.range(5).observe(seen, F.count(F.lit(1)).alias("n")).collect()
+    df = frame(spark)
+    assert seen.get["n"] == 5
+    assert modeling.fit(df, "y", ["c"], ["n"], estimator).transform(df).count() == df.count()
+    assert modeling.fit(df, "y", ["c"], ["n"], estimator).transform(df).select("score").collect()
+    assert len(modeling.fold_scores(df, "y", "d", ["c"], ["n"], estimator, 2)) == 2
