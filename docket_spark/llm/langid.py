@@ -28,8 +28,9 @@ from .piece_codec import WordTable
 
 UNKNOWN = "und"
 STRETCH = 512  # for speed only
-#: Bytes of texts that a worker cuts up at a time.
-SLICE = 400_000
+SIDE_BY_SIDE = 1024  # steps that open phrases take together; the few that go on are followed one by one
+#: Bytes of texts that a worker cuts up at a time, times languages; in bounds.
+SLICE, SLICES = 3_200_000, (50_000, 800_000)
 BLANK = 32
 
 
@@ -174,17 +175,28 @@ class Parser:
         order = np.argsort(-size, kind="stable")
         sorted_size, sorted_begin = size[order], begin[order]
         state, fresh = np.repeat(self.start[:, None], n, 1), np.ones((m, n), bool)
-        begins = np.zeros((m, len(points) + 1), bool)  # where a phrase does
+        steps = int(sorted_size[0]) if n else 0
+        begun = np.zeros((steps, m, n), bool)
         live = n
-        for step in range(int(sorted_size[0]) if n else 0):
+        for step in range(steps):
             while live and sorted_size[live - 1] <= step:
                 live -= 1
-            at = sorted_begin[:live] + step
-            c = letter[at]
-            to, closed, begun = self._step(state[:, :live].ravel(), fresh[:, :live].ravel(), np.repeat(self.start, live), self.first[:, c].ravel(), np.tile(c, m))
-            state[:, :live], fresh[:, :live] = to.reshape(m, live), closed.reshape(m, live)
-            begins[:, at] = begun.reshape(m, live)
-        upto = np.concatenate([np.zeros((m, 1), np.int64), np.cumsum(begins, axis=1, dtype=np.int64)], axis=1)
+            c = letter[sorted_begin[:live] + step]
+            found = self.table.find((state[:, :live] * self.width + c).ravel().astype(np.uint64)).reshape(m, live)
+            lost = found < 0
+            to = self.to[found]
+            np.logical_or(fresh[:, :live], lost, out=begun[step, :, :live])
+            i, j = np.nonzero(lost)
+            again = self.first[i, c[j]]
+            alone = again < 0  # known nowhere: a phrase of its own
+            to[i, j] = np.where(alone, self.start[i], again)
+            state[:, :live] = to
+            fresh[:, :live] = False
+            fresh[i[alone], j[alone]] = True
+        begins = np.zeros((m, len(points) + 1), bool)  # where a phrase does
+        step_of, lane_of = np.nonzero(np.arange(steps)[:, None] < sorted_size[None])
+        begins[:, sorted_begin[lane_of] + step_of] = begun[step_of, :, lane_of].T
+        del begun
         out = np.zeros((len(sizes), m), np.int64)
         if not n:
             return out
@@ -198,7 +210,7 @@ class Parser:
         at, stop = (begin + size)[lane_s], text_end[text_of[lane_s]]
         more, met = np.zeros(len(lane_s), np.int64), stop.copy()
         live = np.arange(len(lane_s))
-        for _ in range(2 * STRETCH):
+        for _ in range(SIDE_BY_SIDE):
             if not len(live):
                 break
             k, c = lane_k[live], letter[at[live]]
@@ -215,14 +227,15 @@ class Parser:
         ends = begin + size
         first_of = inner == 0
         for k in range(m):
-            np.add.at(out[:, k], text_of[first_of], (upto[k, ends] - upto[k, begin])[first_of])
+            upto = np.concatenate([[0], np.cumsum(begins[k], dtype=np.int64)])
+            np.add.at(out[:, k], text_of[first_of], (upto[ends] - upto[begin])[first_of])
             lanes = slice(k * len(open_), (k + 1) * len(open_))
             there = met[lanes]
             near = (there < ends[open_ + 1]) & ~unmet[lanes]
             far = np.zeros(len(sizes), bool)
             far[text_of[open_[~near]]] = True
             simple = ~far[text_of[open_]]
-            np.add.at(out[:, k], text_of[open_[simple]], (more[lanes] + upto[k, ends[open_ + 1]] - upto[k, there])[simple])
+            np.add.at(out[:, k], text_of[open_[simple]], (more[lanes] + upto[ends[open_ + 1]] - upto[there])[simple])
             for text in np.flatnonzero(far).tolist():  # a parse that passed a whole stretch by: border after border
                 out[text, k] += self._along(text, k, text_of, begin, ends, open_, lanes, more, met, unmet, state, fresh, at, letter, begins, upto, int(text_end[text]))
         return out
@@ -240,7 +253,7 @@ class Parser:
             if place >= stop:
                 break
             s = int(np.searchsorted(begin, place, side="right")) - 1
-            total += int(upto[k, ends[s]] - upto[k, place])
+            total += int(upto[ends[s]] - upto[place])
         return total
 
     def _slowly(self, k, state, fresh, at, letter, begins, stop) -> tuple[int, int]:
@@ -277,7 +290,7 @@ def predict(df: DataFrame, texts: dict[str, str], text: str = "text", keep: tupl
         parser = parser_of(model)
         langs = [*parser.langs, UNKNOWN]
         for whole in batches:
-            for batch in sub_batches(whole, len(keep), SLICE):
+            for batch in sub_batches(whole, len(keep), min(SLICES[1], max(SLICES[0], SLICE // max(1, len(parser.langs))))):
                 points, sizes = normal(batch.column(len(keep)).to_pylist(), parser.is_letter)
                 known = (sizes > 0) & bool(parser.langs)
                 best, score = np.full(len(sizes), len(parser.langs)), np.zeros(len(sizes))
