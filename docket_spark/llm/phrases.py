@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import map_batches, stored, sub_batches
 
-CHUNK = 4_000_000  # bytes of text at once
+CHUNK = 2_000_000  # bytes of text at once
 BITS = 26  # a bit set holds 2 ** BITS bits
 MASK = np.uint64((1 << BITS) - 1)
 
@@ -58,7 +58,7 @@ def _words(data: np.ndarray):
     inside = kind == 0
     edge = np.diff(np.pad(inside.view(np.int8), 1))
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    piece = np.cumsum(kind == 2)[starts] if len(starts) else starts
+    piece = np.cumsum(kind == 2, dtype=np.int32)[starts] if len(starts) else starts
     offsets = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
     text = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(_LOWER[data[inside]])])
     coded = text.dictionary_encode()
