@@ -8,12 +8,20 @@ from ..functions.regex import captures, count_matches, distinct_captures, matche
 from ..functions.scalars import enough, mapped
 
 
+def holds(text: Column, needs: list[list[str]]) -> Column:
+    """Whether the text holds, as it is, one word of each of the lists."""
+    out = F.lit(True)
+    for words in needs:
+        there = F.lit(False)
+        for w in words:
+            there = there | F.contains(text, F.lit(w))
+        out = out & there
+    return out
+
+
 def gated(text: Column, words: list[str], value: Column) -> Column:
     """The value where the text holds one of the words as they are, else 0: dear patterns run on few rows only."""
-    there = F.lit(False)
-    for w in words:
-        there = there | F.contains(text, F.lit(w))
-    return F.when(there, value).otherwise(F.lit(0))
+    return F.when(holds(text, [words]), value).otherwise(F.lit(0)) if words else value
 
 
 def distinct_numbered(text: Column, pattern: str, groups: int, words: dict[str, str] | None = None, ignore_case: bool = True) -> Column:
@@ -35,19 +43,31 @@ def how_many_of(text: Column, patterns: list[str]) -> Column:
 
 
 def text_features(df: DataFrame, text: str, spec: dict) -> DataFrame:
-    """Adds all features of ``spec`` (see domain.values.TEXT_SPEC); null texts count as empty."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    capitals = lambda w: [w, w.upper(), w.capitalize()]
-    n = spec["numbered"]
-    hits = [how_many_of(t, n["keywords"]), distinct_numbered(t, n["colon"], 1), distinct_numbered(t, n["ordinal"], 1, n["words"]), distinct_numbered(t, n["heading"], 1), gated(t, capitals(n["gate"]), distinct_numbered(t, n["word"], 1, n["words"])), gated(t, capitals(n["gate"]), distinct_numbered(t, n["line"], 1)), distinct_numbered(t, n["anchored"], 2)]
+    """Adds all features of ``spec`` (see domain.values.TEXT_SPEC); null texts count as empty.
+
+    ``needs``, ``first`` and ``inner`` of ``spec`` (each may be absent) say what a match of a pattern needs, how it begins and
+    what its groups hold; they spare passes over the text and change no feature.
+    """
+    needs, first, n = spec.get("needs", {}), spec.get("first", {}), spec["numbered"]
+    df = df.withColumn("__text", F.coalesce(F.col(text), F.lit("")))
+    df = df.withColumn("__low", F.lower("__text"))
+    t, low = F.col("__text"), F.col("__low")
+    stipulated = F.lit(False)
+    for p, need in zip(spec["stipulation"], needs.get("stipulation", [[]] * len(spec["stipulation"])), strict=True):
+        stipulated = stipulated | (holds(low, need) & matches(t, p, True, True))
+    capitals = [n["gate"], n["gate"].upper(), n["gate"].capitalize()]
+    about = [how_many_of(t, n["keywords"]), distinct_numbered(t, n["colon"], 1), distinct_numbered(t, n["ordinal"], 1, n["words"]), gated(t, capitals, distinct_numbered(t, n["word"], 1, n["words"])), gated(t, capitals, distinct_numbered(t, n["line"], 1)), distinct_numbered(t, n["anchored"], 2)]
+    # a heading is the first line or follows a line end, so two of them need one
+    heading = gated(t, ["\n"] if n["least"] > 1 else [], distinct_numbered(t, n["heading"], 1))
+    mentions = F.when(holds(low, needs["numbered"]), enough(about, n["least"])).otherwise(F.lit(0)) if "numbered" in needs else enough(about, n["least"])
     return df.withColumns({
-        "n_grounds": distinct_captures(t, spec["grounds"][0], spec["grounds"][1]),
-        "n_grounds_102": count_matches(t, spec["statute_102"]),
-        "n_grounds_103": count_matches(t, spec["statute_103"]),
-        "has_sotera_stipulation": any_of(t, spec["stipulation"]),
-        "mentions_fintiv_factors": enough(hits, n["least"]),
+        "n_grounds": gated(t, needs.get("grounds", []), distinct_captures(t, spec["grounds"][0], spec["grounds"][1], first=first.get("grounds"), inner=spec.get("inner"))),
+        "n_grounds_102": gated(t, needs.get("statute_102", []), count_matches(t, spec["statute_102"], first=first.get("statute_102"))),
+        "n_grounds_103": gated(t, needs.get("statute_103", []), count_matches(t, spec["statute_103"], first=first.get("statute_103"))),
+        "has_sotera_stipulation": stipulated.cast("int"),
+        "mentions_fintiv_factors": F.greatest(mentions, enough([heading], n["least"])),
         "petition_text_length": F.length(t),
-    })
+    }).drop("__text", "__low")
 
 
 def usable(df: DataFrame, text: str, least: int) -> DataFrame:

@@ -93,8 +93,11 @@ def _trials(spark, sf: str) -> DataFrame:
     own = _lines(spark, sf).groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("x"))
     df = _t(spark, sf, "orders", "o_orderkey", "o_orderdate", "o_orderstatus", "o_custkey").join(own, k == F.col("l_orderkey"), "left")
     of = lambda name: F.transform("x", lambda e: e[name])
-    grounds = F.array_join(F.transform(F.when(k % 4 > 0, F.sequence(F.lit(1), (k % 4).cast("int"))).otherwise(F.array().cast("array<int>")), lambda i: F.concat(F.lit("Ground "), i.cast("string"), F.lit(": obvious. "))), "")
-    said = F.concat(grounds, F.repeat(F.lit("under § 102 now. "), (k % 3).cast("int")), F.repeat(F.lit("under § 103 now. "), (k % 5).cast("int")), F.when(k % 7 == 0, "Petitioner will not pursue such a ground. ").otherwise(""), F.when(k % 6 == 0, "Factor 1: a. Factor 2: b. Factor 3: c. ").otherwise(""), F.repeat(F.lit("plain words. "), F.when(k % 10 == 0, 300).otherwise(400)))
+    # The texts are as long as a petition and are made where the lines are found: of the order's key alone, a filter on
+    # their length would be inferred for the lines too, and make a text of each line.
+    n = F.coalesce(F.col("l_orderkey"), k)
+    grounds = F.array_join(F.transform(F.when(n % 4 > 0, F.sequence(F.lit(1), (n % 4).cast("int"))).otherwise(F.array().cast("array<int>")), lambda i: F.concat(F.lit("Ground "), i.cast("string"), F.lit(": obvious. "))), "")
+    said = F.concat(grounds, F.repeat(F.lit("under § 102 now. "), (n % 3).cast("int")), F.repeat(F.lit("under § 103 now. "), (n % 5).cast("int")), F.when(n % 7 == 0, "Petitioner will not pursue such a ground. ").otherwise(""), F.when(n % 6 == 0, "Factor 1: a. Factor 2: b. Factor 3: c. ").otherwise(""), F.repeat(F.lit("plain words. "), F.when(n % 10 == 0, 300).otherwise(400)))
     return df.select(
         k.cast("string").alias("trial_number"), F.date_add(F.to_date("o_orderdate"), 60).alias("petition_filing_date"), (k % 9000).cast("string").alias("group_art_unit"), (F.col("o_custkey") % 9).cast("string").alias("technology_center"),
         F.col("o_orderstatus").alias("entity_size"), F.lit("P").alias("petitioner_real_party"), F.col("o_custkey").cast("string").alias("owner_real_party"), F.to_date("o_orderdate").alias("grant_date"), F.to_date("o_orderdate").alias("filing_date"),

@@ -123,3 +123,33 @@ def test_arrays_are_cut_to_the_shortest(spark):
     df = spark.sql("SELECT array('a', 'b') AS x, array(date'2020-01-01') AS y, cast(null AS array<date>) AS z, date'2021-01-01' AS t0")
     assert df.select(F.size(A.zipped(F.col("x"), F.col("y"), names=["a", "b"]))).first()[0] == 1
     assert df.select(F.size(A.zipped(F.col("x"), F.col("z"), names=["a", "b"]))).first()[0] == 0
+
+
+ODD = [
+    "Wİll NOT, as to any claims, pursue the same GROUND", "will not ſeek ground", "Stİpulated it wıll not raıse invalidity", "will ceaſe to assert it: invalİdity", "agrees not to bring an INVALIDITY case",
+    "stipulates to cease; invalidity", "İ fACTOR 1: a. fActor 2: b. FACTOR 3. c", "1. Stay\n 2. Trial date\n3. Overlap", "\n  1 102 3\n　\n 2 103 4, 5", " 1 102 3", "35 U.S.C. §§ 102, 35 USC 103, 103(a), 42.103(a), Section 103",
+    "GROUNDS 1 and ٢. Grounds 3 and 4 U.S.C. Ground ٣A Challenge #9 Ground 12B3 ground 8 Ground 7 U.S.C. GROUND\t10", "section 102 and 103 grounds section 103 ground", "Fintiv factors 1 and 2, the third Fintiv factor, Factor 4.", "Factor one Factor two Factor three", "fACTOR one FACTOR two FACTOR three",
+]
+
+
+def test_what_spares_passes_over_a_text_changes_no_feature(spark):
+    from docket_spark.functions.regex import captures
+
+    df = spark.createDataFrame([(s,) for s in [*ODD, *TEXTS, *(a + "\n" + b for a in ODD for b in ODD[::3])]], "t string")
+    plain = {k: v for k, v in V.TEXT_SPEC.items() if k not in ("needs", "first", "inner")}
+    rows = lambda spec: {r["t"]: r for r in text.text_features(df, "t", spec).collect()}
+    got = rows(V.TEXT_SPEC)
+    assert got == rows(plain)
+    assert {k for k in ODD if got[k]["has_sotera_stipulation"]} == set(ODD[:6]) and sum(r["mentions_fintiv_factors"] for r in got.values()) > 3
+    pattern, groups = V.TEXT_SPEC["grounds"]
+    for r in df.select("t", F.sort_array(captures(F.col("t"), pattern, groups)).alias("a"), F.sort_array(captures(F.col("t"), pattern, groups, first="[GC]", inner=r"\d+")).alias("b")).collect():
+        assert r["a"] == r["b"], r["t"]
+
+
+def test_texts_of_trials_are_made_once_a_trial(spark):
+    from checks import DATA
+    from docket_spark.plans.trials import trial_features
+
+    above, below = trial_features(spark, DATA)._jdf.queryExecution().optimizedPlan().toString().split("Join LeftOuter")
+    assert "plain words" in above
+    assert "plain words" not in below and "length(" not in below
