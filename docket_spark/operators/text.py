@@ -45,13 +45,21 @@ def how_many_of(text: Column, patterns: list[str]) -> Column:
 def text_features(df: DataFrame, text: str, spec: dict) -> DataFrame:
     """Adds all features of ``spec`` (see domain.values.TEXT_SPEC); null texts count as empty.
 
-    ``needs``, ``first`` and ``inner`` of ``spec`` (each may be absent) say what a match of a pattern needs, how it begins and
-    what its groups hold; they spare passes over the text and change no feature.
+    ``needs``, ``first``, ``inner`` and ``without_lines`` of ``spec`` (each may be absent) say what a match of a pattern needs,
+    how it begins, what its groups hold and which shorter pattern does without a form that the text lacks; they spare passes over the text and change no feature.
     """
     needs, first, n = spec.get("needs", {}), spec.get("first", {}), spec["numbered"]
     df = df.withColumn("__text", F.coalesce(F.col(text), F.lit("")))
     df = df.withColumn("__low", F.lower("__text"))
     t, low = F.col("__text"), F.col("__low")
+
+    def statute(name: str) -> Column:
+        found = count_matches(t, spec[name], first=first.get(name))
+        if name in spec.get("without_lines", {}):
+            line, pattern, begins = spec["without_lines"][name]
+            found = F.when(matches(t, line), found).otherwise(count_matches(t, pattern, first=begins))
+        return gated(t, needs.get(name, []), found)
+
     stipulated = F.lit(False)
     for p, need in zip(spec["stipulation"], needs.get("stipulation", [[]] * len(spec["stipulation"])), strict=True):
         stipulated = stipulated | (holds(low, need) & matches(t, p, True, True))
@@ -62,8 +70,8 @@ def text_features(df: DataFrame, text: str, spec: dict) -> DataFrame:
     mentions = F.when(holds(low, needs["numbered"]), enough(about, n["least"])).otherwise(F.lit(0)) if "numbered" in needs else enough(about, n["least"])
     return df.withColumns({
         "n_grounds": gated(t, needs.get("grounds", []), distinct_captures(t, spec["grounds"][0], spec["grounds"][1], first=first.get("grounds"), inner=spec.get("inner"))),
-        "n_grounds_102": gated(t, needs.get("statute_102", []), count_matches(t, spec["statute_102"], first=first.get("statute_102"))),
-        "n_grounds_103": gated(t, needs.get("statute_103", []), count_matches(t, spec["statute_103"], first=first.get("statute_103"))),
+        "n_grounds_102": statute("statute_102"),
+        "n_grounds_103": statute("statute_103"),
         "has_sotera_stipulation": stipulated.cast("int"),
         "mentions_fintiv_factors": F.greatest(mentions, enough([heading], n["least"])),
         "petition_text_length": F.length(t),
