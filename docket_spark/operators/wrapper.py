@@ -1,4 +1,8 @@
-"""Raw file wrappers, one JSON text each, to flat rows: the text is parsed once, to a variant, and every column reads that."""
+"""Raw file wrappers, one JSON text each, to flat rows.
+
+The text is parsed once, to a variant, and the variant is read once, as a struct of all paths: what does not fit its type is
+null there, elements and objects too, and takes nothing else along.
+"""
 
 from __future__ import annotations
 
@@ -9,25 +13,37 @@ from ..functions.scalars import lenient_date, yes_no
 from .flatten import polymorphic_list
 
 
-def _object(v: Column) -> Column:
-    return F.coalesce(F.startswith(F.schema_of_variant(v), F.lit("OBJECT")), F.lit(False))
-
-
-def _list(v: Column, path: str) -> Column:
-    """The elements of a list as variants; what is no list has none."""
-    return F.coalesce(F.try_variant_get(v, f"$.{path}", "array<variant>"), F.array().cast("array<variant>"))
-
-
-def _objects(v: Column, path: str) -> Column:
-    return F.filter(_list(v, path), _object)
+def _tree() -> dict:
+    """{field: type or {field: ...}} of all paths; a dict in a list is a list of objects."""
+    inner, bags = WRAPPER["inner"], WRAPPER["bags"]
+    paths = {p: "string" for part in ("texts", "dates", "flags") for p in WRAPPER[part].values()}
+    paths |= {p: "bigint" for p in WRAPPER["numbers"].values()} | {WRAPPER["codes"]: "variant"}
+    paths |= {p: "array<boolean>" for p in WRAPPER["counts"].values()}  # only their sizes count; bags follow below
+    paths |= {
+        bags["inventors"]: [{inner["addresses"]: [{inner["country"]: "string"}]}],
+        bags["events"]: [{inner["event_code"]: "string", inner["event_date"]: "string"}],
+        bags["assignments"]: [{inner["received"]: "string", inner["recorded"]: "string", inner["assignees"]: [{inner["assignee"]: "string"}]}],
+        bags["parents"]: [{inner["parent"]: "string"}],
+    }
+    tree: dict = {}
+    for path, kind in paths.items():
+        *above, name = path.split(".")
+        at = tree
+        for part in above:
+            at = at.setdefault(part, {})
+        at[name] = kind
+    return tree
 
 
-def _text(v: Column, path: str) -> Column:
-    return F.try_variant_get(v, f"$.{path}", "string")
+def _type(kind) -> str:
+    if isinstance(kind, list):
+        return f"array<{_type(kind[0])}>"
+    return "struct<" + ", ".join(f"`{k}`: {_type(v)}" for k, v in kind.items()) + ">" if isinstance(kind, dict) else kind
 
 
-def _day(v: Column, path: str) -> Column:
-    return lenient_date(_text(v, path))
+def _objects(c: Column) -> Column:
+    """The elements that are objects; of what is no list none."""
+    return F.coalesce(F.filter(c, lambda x: x.isNotNull()), F.array())
 
 
 def _filled(texts: Column) -> Column:
@@ -37,12 +53,13 @@ def _filled(texts: Column) -> Column:
 def _codes(raw: Column, v: Column) -> Column:
     """A list of texts, of objects (the first non-empty value of each) or a single value; trimmed, empty ones dropped."""
     path = WRAPPER["codes"]
-    items = F.try_variant_get(v, f"$.{path}", "array<variant>")
-    plain = F.filter(F.transform(items, lambda x: F.trim(F.try_variant_get(x, "$", "string"))), lambda x: F.coalesce(x != "", F.lit(False)))
+    told = lambda kind: F.try_variant_get(v, "$", kind)
+    plain = F.filter(F.transform(told("array<string>"), lambda x: F.trim(x)), lambda x: F.coalesce(x != "", F.lit(False)))
     # variants order the fields of an object by name, the text as they were written
     bag = F.coalesce(F.get_json_object(raw, f"$.{WRAPPER['envelope']}[0].{path}"), F.get_json_object(raw, f"$.{path}"))
-    single = _filled(F.array(F.trim(_text(v, path))))
-    return F.when(F.exists(items, _object), polymorphic_list(bag)).when(items.isNotNull(), plain).otherwise(single)
+    # a struct takes objects only
+    of_objects = F.exists(told("array<struct<`_`: boolean>>"), lambda x: x.isNotNull())
+    return F.when(of_objects, polymorphic_list(bag)).when(plain.isNotNull(), plain).otherwise(_filled(F.array(F.trim(told("string")))))
 
 
 def wrapper_rows(df: DataFrame, raw: str, keep: list[str] = ()) -> DataFrame:
@@ -54,27 +71,26 @@ def wrapper_rows(df: DataFrame, raw: str, keep: list[str] = ()) -> DataFrame:
     arrays.
     """
     parsed = df.select(*keep, F.col(raw).alias("__raw"), F.try_parse_json(raw).alias("__v"))
-    first = F.try_variant_get("__v", f"$.{WRAPPER['envelope']}[0]", "variant")
-    one = F.explode(F.array(F.struct(F.when(_object(first), first).otherwise(F.col("__v")).alias("v")))).alias("__one")
-    bags = {name: _objects(F.col("v"), path) for name, path in WRAPPER["bags"].items()}
-    held = parsed.select(*keep, "__raw", one).select(*keep, "__raw", F.col("__one.v").alias("v"))
-    held = held.select(*keep, "__raw", "v", F.explode(F.array(F.struct(*(b.alias(f"__{n}") for n, b in bags.items())))).alias("__b")).select(*keep, "__raw", "v", "__b.*")
-    v = F.col("v")
-    out = {name: _text(v, path) for name, path in WRAPPER["texts"].items()}
-    out |= {name: _day(v, path) for name, path in WRAPPER["dates"].items()}
-    out |= {name: yes_no(_text(v, path)) for name, path in WRAPPER["flags"].items()}
-    out |= {name: F.try_variant_get(v, f"$.{path}", "bigint") for name, path in WRAPPER["numbers"].items()}
-    out |= {name: F.size(_list(v, path)).cast("bigint") for name, path in WRAPPER["counts"].items()}
+    kind = _type(_tree())
+    record = F.coalesce(F.try_variant_get("__v", f"$.{WRAPPER['envelope']}[0]", kind), F.try_variant_get("__v", "$", kind))
+    # through explode, so that the optimizer does not read the record anew for each column
+    held = parsed.select(*keep, "__raw", F.explode(F.array(record)).alias("__r"))
+    at = lambda path: F.col("__r." + ".".join(f"`{p}`" for p in path.split(".")))
+    bags = {name: _objects(at(path)) for name, path in WRAPPER["bags"].items()}
+    out = {name: at(path) for name, path in (WRAPPER["texts"] | WRAPPER["numbers"]).items()}
+    out |= {name: lenient_date(at(path)) for name, path in WRAPPER["dates"].items()}
+    out |= {name: yes_no(at(path)) for name, path in WRAPPER["flags"].items()}
+    out |= {name: F.coalesce(F.size(at(path)), F.lit(0)).cast("bigint") for name, path in WRAPPER["counts"].items()}
     inner = WRAPPER["inner"]
-    countries = F.flatten(F.transform("__inventors", lambda i: F.transform(_objects(i, inner["addresses"]), lambda a: _text(a, inner["country"]))))
+    countries = F.flatten(F.transform(bags["inventors"], lambda i: F.transform(_objects(i[inner["addresses"]]), lambda a: a[inner["country"]])))
     out |= {
         "inventor_country_codes": F.array_sort(F.array_distinct(_filled(countries))),
-        "cpc_codes": F.coalesce(_codes(F.col("__raw"), v), F.array().cast("array<string>")),
-        "event_codes": F.transform("__events", lambda e: _text(e, inner["event_code"])),
-        "event_dates": F.transform("__events", lambda e: _day(e, inner["event_date"])),
-        "assignment_received_dates": F.transform("__assignments", lambda a: _day(a, inner["received"])),
-        "assignment_recorded_dates": F.transform("__assignments", lambda a: _day(a, inner["recorded"])),
-        "assignees_per_assignment": F.transform("__assignments", lambda a: _filled(F.transform(_objects(a, inner["assignees"]), lambda x: _text(x, inner["assignee"])))),
-        "parent_app_numbers": _filled(F.transform("__parents", lambda p: _text(p, inner["parent"]))),
+        "cpc_codes": F.coalesce(_codes(F.col("__raw"), at(WRAPPER["codes"])), F.array().cast("array<string>")),
+        "event_codes": F.transform(bags["events"], lambda e: e[inner["event_code"]]),
+        "event_dates": F.transform(bags["events"], lambda e: lenient_date(e[inner["event_date"]])),
+        "assignment_received_dates": F.transform(bags["assignments"], lambda a: lenient_date(a[inner["received"]])),
+        "assignment_recorded_dates": F.transform(bags["assignments"], lambda a: lenient_date(a[inner["recorded"]])),
+        "assignees_per_assignment": F.transform(bags["assignments"], lambda a: _filled(F.transform(_objects(a[inner["assignees"]]), lambda x: x[inner["assignee"]]))),
+        "parent_app_numbers": _filled(F.transform(bags["parents"], lambda p: p[inner["parent"]])),
     }
     return held.select(*keep, *(out[c].alias(c) for c in WRAPPER["columns"]))

@@ -50,3 +50,19 @@ def test_codes_of_all_shapes(spark):
     made = lambda bag: {"patentFileWrapperDataBag": [{"applicationMetaData": {"cpcClassificationBag": bag}}]}
     got = [r["cpc_codes"] for r in rows(spark, *(made(b) for b in (["a ", None, 5], [{"z": "", "b": "first", "a": "second"}, " c "], "single", None, [], [{}])))]
     assert got[0] in (["a", "5"], ["a", "null", "5"]) and got[1:] == [["first", "c"], ["single"], [], [], []]
+
+
+def test_a_record_is_read_once(spark):
+    df = wrapper_rows(spark.createDataFrame([("{}",)], "raw string"), "raw")
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    # in the envelope, or bare; a list's elements are not asked for their schema
+    assert plan.count("variant_get(__v") == 2 and "schemaofvariant" not in plan.lower()
+
+
+def test_odd_elements_of_all_bags(spark):
+    odd = {"applicationNumberText": 5, "applicationMetaData": {"inventorBag": [None, {}, {"correspondenceAddressBag": {"countryCode": "US"}}, {"correspondenceAddressBag": [None, {"countryCode": 1}]}], "filingDate": ["x"]}, "recordAttorney": {"attorneyBag": [1, "x", None]},
+           "patentTermAdjustmentData": {"aDelayQuantity": "12", "bDelayQuantity": "x"}, "eventDataBag": [3, {"eventCode": 7, "eventDate": {"a": 1}}, []], "assignmentBag": [{"assigneeBag": "x"}, "y"], "parentContinuityBag": {"parentApplicationNumberText": "1"}}
+    r = rows(spark, {"patentFileWrapperDataBag": [odd]})[0]
+    assert (r["application_number"], r["n_inventors"], r["inventor_country_codes"], r["n_attorneys_of_record"], r["pta_a_delay"], r["pta_b_delay"], r["filing_date"]) == ("5", 4, ["1"], 3, 12, None, None)
+    assert (r["event_codes"], r["event_dates"], r["assignees_per_assignment"], r["assignment_received_dates"], r["parent_app_numbers"]) == (["7"], [None], [[]], [None], [])
+    assert rows(spark, {"patentFileWrapperDataBag": ["x"], "applicationNumberText": "9"})[0]["application_number"] == "9"
