@@ -145,16 +145,18 @@ def rolling(events: DataFrame, queries: DataFrame, rate_keys: list[list[str]], f
     known = grain.select("no", "key", "t", F.sum("n").over(w).alias("bn"), F.sum("s").over(w).alias("bs"), all_rows("n").alias("all_n"), all_rows("s").alias("all_s"))
     known.write.parquet(f"{folder}/known")
     known = spark.read.parquet(f"{folder}/known")
-    found = places.join(known, ["no", "key", "t"]).groupBy("__row").agg(*(F.max(F.when(F.col("no") == i, F.struct("bn", "bs"))).alias(f"__x{i}") for i in range(len(all_keys) + 1)))
+    # Numbers, not structs, so that they are aggregated by hash; narrow rows are dealt out, not half-filled wide ones
+    dealt = places.join(known, ["no", "key", "t"]).select("__row", "no", "bn", "bs").repartition("__row")
+    found = dealt.groupBy("__row").agg(*(F.max(F.when(F.col("no") == i, F.col(c))).alias(f"__{c}{i}") for i in range(len(all_keys) + 1) for c in ("bn", "bs")))
     mean = known.where("no = 0").agg(F.try_divide(F.max("all_s"), F.max("all_n")).alias("__mean"))
     out = asked.join(found, "__row", "left").crossJoin(F.broadcast(mean))
-    fallback = F.coalesce(F.try_divide("__x0.bs", F.when(F.col("__x0.bn") > 0, F.col("__x0.bn"))), F.col("__mean"))
+    fallback = F.coalesce(F.try_divide("__bs0", F.when(F.col("__bn0") > 0, F.col("__bn0"))), F.col("__mean"))
     made = []
     for i, keys in enumerate(rate_keys):
-        n = F.coalesce(F.col(f"__x{i + 1}.bn"), F.lit(0))
-        made += [F.when(n > 0, F.col(f"__x{i + 1}.bs") / n).otherwise(fallback).alias(f"{_plain(keys)}_prior_rate"), n.cast("bigint").alias(f"{_plain(keys)}_prior_count")]
+        n = F.coalesce(F.col(f"__bn{i + 1}"), F.lit(0))
+        made += [F.when(n > 0, F.col(f"__bs{i + 1}") / n).otherwise(fallback).alias(f"{_plain(keys)}_prior_rate"), n.cast("bigint").alias(f"{_plain(keys)}_prior_count")]
     for i, key in enumerate(frequency_keys):
-        n = F.when(F.col(key).isNull(), 0).otherwise(F.coalesce(F.col(f"__x{len(rate_keys) + 1 + i}.bn"), F.lit(0)))
+        n = F.when(F.col(key).isNull(), 0).otherwise(F.coalesce(F.col(f"__bn{len(rate_keys) + 1 + i}"), F.lit(0)))
         made.append(n.cast("bigint").alias(f"{key}_frequency"))
     return out.select(*queries.columns, *made)
 
