@@ -28,11 +28,16 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back, so that its lineage ends there."""
+def stored(df: DataFrame, large_rows: bool = False) -> DataFrame:
+    """Write ``df`` as Parquet into the shared folder and read it back, so that its lineage ends there.
+
+    ``large_rows``: a file for each row.  Parquet's writer looks at its memory after a hundred rows and its reader takes
+    thousands of a file at once, so rows of some MB each would add up by task.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/stored-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    writer = df.write.option("compression", "zstd")
+    (writer.option("maxRecordsPerFile", 1) if large_rows else writer).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out

@@ -645,7 +645,7 @@ def score(df: DataFrame, held_out: Column, text: str = "text", doc_id: str = "do
     sc = spark.sparkContext
     held = F.coalesce(held_out, F.lit(False))
     kind = dict(df.dtypes)[doc_id]
-    whole = stored(windows(df, doc_id, text, held, window))
+    whole = stored(windows(df, doc_id, text, held, window), large_rows=True)
 
     # Words and the dictionary of the frequent ones.
     counted = flat_lists(whole, ["keys", "words", "c", "n"], ["key", "word", "c", "n"], "key bigint, word binary, c int, n int")
@@ -663,13 +663,13 @@ def score(df: DataFrame, held_out: Column, text: str = "text", doc_id: str = "do
     dictionary = sc.broadcast(Dictionary(keys[np.lexsort((keys, -n))]))
     size = dictionary.value.n
     coded = map_batches(words, _with_code(dictionary), "code bigint, word binary, c bigint")
-    texts = stored(map_batches(whole, _with_codes(dictionary), f"window bigint, ids array<{kind}>, held array<boolean>, sizes array<int>, tokens binary, codes binary"))
+    texts = stored(map_batches(whole, _with_codes(dictionary), f"window bigint, ids array<{kind}>, held array<boolean>, sizes array<int>, tokens binary, codes binary"), large_rows=True)
     discard(whole)
 
     # Pairs.
     buckets = max(1, -(-tokens // bucket_tokens))
     merged = map_batches(texts.select("window", "held", "sizes", "tokens", "codes"), _send_pairs(buckets), "bucket int, window bigint, u binary, w binary, c binary").groupBy("bucket").applyInArrow(_merge(size), MERGED)
-    merged = stored(merged)
+    merged = stored(merged, large_rows=True)
     counts = merged.agg(F.sum("ones"), F.sum("twos")).first()
     d = discount(counts[0] or 0, counts[1] or 0)
     fields = "code bigint, tu int, tw int"
@@ -678,7 +678,7 @@ def score(df: DataFrame, held_out: Column, text: str = "text", doc_id: str = "do
     static = stored(coded.join(first, "code", "left").select("code", "word", "c", zero("tu").alias("tables"), zero("tw").alias("customers")))
     asks = stored(flat_lists(merged, ["rare"], ["bucket", "code"], "bucket int, code bigint"))
     names = [x.split()[0] for x in SEATS.split(", ")]
-    seats, slots = stored(merged.select(names)), stored(merged.select("bucket", "windows", "slots"))
+    seats, slots = stored(merged.select(names), large_rows=True), stored(merged.select("bucket", "windows", "slots"), large_rows=True)
     discard(words, merged)
     del counted, words, coded, first, merged
     _let_go(spark)
@@ -713,7 +713,7 @@ def score(df: DataFrame, held_out: Column, text: str = "text", doc_id: str = "do
         sent = sc.broadcast(of_frequent(values, ["log_p", "tables"]))
         rare = asks.join(values, "code")
         seat = _seat_pairs(sent, number, d, strength, number > burn_in)
-        before, done = [values, done], stored(done.select(names).groupBy("bucket").cogroup(rare.groupBy("bucket")).applyInArrow(seat, SEATS + ", codes array<bigint>, tu array<int>, tw array<int>"))
+        before, done = [values, done], stored(done.select(names).groupBy("bucket").cogroup(rare.groupBy("bucket")).applyInArrow(seat, SEATS + ", codes array<bigint>, tu array<int>, tw array<int>"), large_rows=True)
         more = flat_lists(done, ["codes", "tu", "tw"], ["code", "tu", "tw"], fields).groupBy("code").agg(F.sum("tu").alias("tu"), F.sum("tw").alias("tw"))
         now = stored(static.join(more, "code", "left").select("code", "word", (F.col("tables") + zero("tu")).alias("tables"), (F.col("customers") + zero("tw")).alias("customers")))
         values = rated(now, number)
