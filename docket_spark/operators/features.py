@@ -33,14 +33,28 @@ def with_era(df: DataFrame, date: str, eras: DataFrame, name: str = "era", start
 NEEDED = ["trial_number", "petition_filing_date", "group_art_unit", "technology_center", "entity_size", "petitioner_real_party", "owner_real_party", "grant_date", "filing_date", "cpc_codes", "event_codes", "event_dates", "assignment_received_dates", "assignment_recorded_dates", "assignees_per_assignment", "parent_app_numbers", "inventor_country_codes", "petition_text"]
 
 
+#: Tells rows that had a text where its features stand in its place.
+HAD_TEXT = "__had_text"
+
+
+def with_text_features(df: DataFrame, spec: dict) -> DataFrame:
+    """The rows, usable or not, with the features of their texts in place of the texts: the part of build_features that is dear and reads the text only."""
+    return text_features(df.withColumn(HAD_TEXT, F.col("petition_text").isNotNull()), "petition_text", spec["text"]).drop("petition_text")
+
+
 def build_features(df: DataFrame, spec: dict, strict_wrapper: bool = True) -> DataFrame:
-    """One row per trial with a usable text (and a matched wrapper); labels and later facts never leave this stage."""
-    if absent := [c for c in NEEDED + (["wrapper_matched"] if strict_wrapper else ["application_number"]) if c not in df.columns]:
+    """One row per trial with a usable text (and a matched wrapper); labels and later facts never leave this stage.
+
+    Rows of ``with_text_features`` are taken, too.
+    """
+    ready = HAD_TEXT in df.columns
+    if absent := [c for c in NEEDED + (["wrapper_matched"] if strict_wrapper else ["application_number"]) if c not in df.columns and not (ready and c == "petition_text")]:
         raise ValueError(f"missing columns: {absent}")
-    kept = usable(df, "petition_text", spec["least_text"])
+    kept = df.where(F.col(HAD_TEXT) & (F.col("petition_text_length") >= spec["least_text"])) if ready else usable(df, "petition_text", spec["least_text"])
     kept = kept.where("wrapper_matched") if strict_wrapper else kept.where("application_number is not null")
     t0 = lenient_date(F.col("petition_filing_date"))
-    kept = text_features(kept.withColumn("__t0", t0), "petition_text", spec["text"]).drop("petition_text")
+    kept = kept.withColumn("__t0", t0)
+    kept = kept if ready else text_features(kept, "petition_text", spec["text"]).drop("petition_text")
     kept = kept.withColumn("__events", A.events_before(F.col("event_codes"), F.col("event_dates"), F.col("__t0"), spec["categories"], spec["banned"], spec["banned_prefixes"]))
     kept = kept.withColumn("__assigned", A.assignments_before(F.col("assignment_received_dates"), F.col("assignment_recorded_dates"), F.col("assignees_per_assignment"), F.col("__t0")))
     t0 = F.col("__t0")

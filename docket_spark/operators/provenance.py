@@ -59,15 +59,30 @@ def with_other_future(df: DataFrame, t0: str, facts: Facts) -> DataFrame:
 
     Elements without a date count as later.  Rows without a query date have later facts only.
     """
-    new = {}
+    new, was = {}, lambda c: f"__was_{c}"
     for dates, others in facts.bags:
         columns = [*dates, *others]
-        aligned = F.coalesce(F.forall(F.array(*(F.size(c) for c in columns)), lambda n: n == F.size(columns[0])), F.lit(False))
+        aligned = F.coalesce(F.forall(F.array(*(F.size(was(c)) for c in columns)), lambda n: n == F.size(was(columns[0]))), F.lit(False))
         for c in columns:
-            new[c] = _bag(c, df.schema[c].dataType.elementType, [c] if c in dates else dates, t0, c in dates, aligned)
+            new[c] = _bag(was(c), df.schema[c].dataType.elementType, [was(c)] if c in dates else [was(d) for d in dates], t0, c in dates, aligned)
     for c in facts.outcomes:
-        new[c] = _changed(F.col(c), df.schema[c].dataType, F.lit(c))
-    return df.withColumns(new)
+        new[c] = _changed(F.col(was(c)), df.schema[c].dataType, F.lit(c))
+    # within lambdas a name may mean a changed column that stands before; the old ones have names of their own
+    return df.withColumns({was(c): F.col(c) for c in new}).withColumns(new).drop(*map(was, new))
+
+
+def without_facts(df: DataFrame, stage: Callable[[DataFrame], DataFrame], facts: Facts) -> DataFrame:
+    """``stage``, a part of a build, run on rows whose dated facts and outcomes have no names there.
+
+    What it makes cannot change with the future, so it may be made once, stored, and shared by all builds that are checked.
+    """
+    names = list(dict.fromkeys([c for dates, others in facts.bags for c in [*dates, *others]] + facts.outcomes))
+    out = stage(df.select(*(c for c in df.columns if c not in names), F.struct(*names).alias("__facts")))
+    if "__facts" not in out.columns:
+        raise ValueError("the stage has dropped the facts")
+    made = [c for c in out.columns if c != "__facts" and c not in df.columns]
+    kept = [c for c in df.columns if c in names or c in out.columns]  # in their order
+    return out.select(*(F.col("__facts")[c].alias(c) if c in names else F.col(c) for c in kept), *made)
 
 
 def leaks(df: DataFrame, build: Callable[[DataFrame], DataFrame], key: str, t0: str, facts: Facts) -> DataFrame:

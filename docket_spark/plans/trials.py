@@ -141,7 +141,10 @@ def provenance_check(spark, sf):
     facts = provenance.Facts([(["event_dates"], ["event_codes"]), (["assignment_received_dates", "assignment_recorded_dates"], ["assignees_per_assignment"])], ["outcome"])
     honest = lambda df: features.build_features(df, FEATURE_SPEC)
     planted = lambda df: df.select("trial_number", F.size(F.filter("event_codes", lambda c: c == "CTNF")).alias("n_ex"), F.size("event_codes").alias("n_codes"), "entity_size", A.count_category(A.events_before(F.col("event_codes"), F.col("event_dates"), F.col("petition_filing_date"), FEATURE_SPEC["categories"], [], []), "EX").alias("n_before"))
-    df = _trials(spark, sf)
+    # Texts are searched and lines brought to their orders once; all four builds read what is stored.
+    folder = scratch(spark, "provenance")
+    provenance.without_facts(_trials(spark, sf), lambda df: features.with_text_features(df, FEATURE_SPEC), facts).write.parquet(folder)
+    df = spark.read.parquet(folder)
     found = [provenance.leaks(df, build, "trial_number", "petition_filing_date", facts).withColumn("builder", F.lit(name)) for name, build in (("honest", honest), ("planted", planted))]
     return found[0].unionByName(found[1]).select("builder", "trial_number", F.array_join("columns", ",").alias("columns"))
 
